@@ -15,6 +15,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(t) -> Column:
+    """Python's str.strip(): remove leading and trailing Unicode whitespace."""
+    return F.regexp_replace(_c(t), r"(?U)^\s+|\s+$", "")
+
+
 def clean_text(t) -> Column:
     """TX4: strip lines, drop empty ones, join by space, collapse whitespace."""
     return F.trim(F.regexp_replace(F.coalesce(_c(t), F.lit("")), WS_RE, " "))
@@ -32,7 +37,7 @@ def word_count(t) -> Column:
 def ocr_only(t) -> Column:
     """TX3: text after the first 'Image Text:' up to the next one, stripped; null if absent."""
     parts = F.split(_c(t), "Image Text:")
-    return F.when(F.size(parts) > 1, F.trim(F.element_at(parts, 2)))
+    return F.when(F.size(parts) > 1, strip(F.element_at(parts, 2)))
 
 
 def text_preview(t, max_length: int = 500) -> Column:

@@ -32,8 +32,8 @@ def source_domain(url) -> Column:
 def post_id(url) -> Column:
     """URL1: id from ``/comments/<id>`` on the path, else a shortlink id, else null."""
     path = url_path(url)
-    from_comments = F.nullif(F.regexp_extract(path, F.lit(COMMENTS_PATH_RE), 1), F.lit(""))
-    short = F.nullif(F.regexp_extract(path, F.lit(SHORTLINK_PATH_RE), 1), F.lit(""))
+    from_comments = F.nullif(F.regexp_extract(path, COMMENTS_PATH_RE, 1), F.lit(""))
+    short = F.nullif(F.regexp_extract(path, SHORTLINK_PATH_RE, 1), F.lit(""))
     return F.coalesce(from_comments,
                       F.when(source_domain(url).isin(*SHORTLINK_HOSTS), short))
 
@@ -42,7 +42,7 @@ def slug_keywords(url) -> Column:
     """URL2: lower-cased slug split on '-'/'_' runs, words of 4+ chars; [] for shortlinks."""
     path = url_path(url)
     has = F.coalesce(F.regexp_like(path, F.lit(COMMENTS_PATH_RE)), F.lit(False))
-    slug = F.lower(F.regexp_extract(path, F.lit(COMMENTS_PATH_RE), 2))
+    slug = F.lower(F.regexp_extract(path, COMMENTS_PATH_RE, 2))
     words = F.filter(F.split(slug, SLUG_SPLIT_RE), lambda w: F.length(w) >= SLUG_MIN_LEN)
     return F.when(has, words).otherwise(F.array().cast("array<string>"))
 

@@ -57,7 +57,7 @@ SELECT *, '/r/' || subreddit || '/comments/' || CAST(post_id AS VARCHAR) || '/'
 FROM v_posts""", ["v_posts"]),
     "v_gallery": ("""
 SELECT post_id, list_transform(range(0, CAST(post_id % 7 + 1 AS BIGINT)),
-         k -> 'https://i.redd.it/g' || CAST(post_id AS VARCHAR) || '_' || CAST(k AS VARCHAR) || '.jpg') AS gallery_data
+         lambda k: 'https://i.redd.it/g' || CAST(post_id AS VARCHAR) || '_' || CAST(k AS VARCHAR) || '.jpg') AS gallery_data
 FROM v_posts WHERE is_gallery""", ["v_posts"]),
     "v_ocr": ("""
 SELECT url AS image_url, substring(selftext, 1, 120) AS extracted_text FROM v_posts

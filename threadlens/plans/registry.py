@@ -145,3 +145,7 @@ SELECT post_id, count(*) AS total,
 FROM v_enriched GROUP BY post_id""", "v_enriched"))
 def q_consensus_rollup(spark, d):
     return stats.consensus_rollup(_v(spark, d).enriched())
+
+
+# Query modules register themselves on import.
+from threadlens.plans import q_scalars  # noqa: E402,F401
