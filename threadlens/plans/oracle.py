@@ -20,6 +20,12 @@ FROM conversations""", []),
 SELECT post_id, comment_id, CASE WHEN seq = 0 THEN NULL ELSE comment_id - 1 END AS parent_id,
        seq, author, body, is_submitter, score
 FROM v_comments""", ["v_comments"]),
+    "v_threads": ("""
+SELECT doc_id % 20 AS post_id, doc_id AS comment_id,
+       CASE WHEN (doc_id // 20) % 8 = 0 THEN NULL ELSE doc_id - 20 END AS parent_id,
+       doc_id // 20 AS seq, 'u' || CAST(doc_id % 97 AS VARCHAR) AS author, text AS body,
+       (doc_id * 37) % 400 - 40 AS score
+FROM documents""", []),
     "v_enriched": ("""
 SELECT user_id AS post_id, event_id AS comment_id, event_id AS seq, ts AS created_utc,
        CAST(props->>'$.k' AS BIGINT) AS score,
@@ -132,9 +138,11 @@ def _deps(names, out):
     return out
 
 
-def sql(body: str, *views: str, extra: list[tuple[str, str]] | None = None) -> str:
+def sql(body: str, *views: str, extra: list[tuple[str, str]] | None = None,
+        recursive: bool = False) -> str:
     """Prefix ``body`` with the fixture views it reads (dependencies first) and extra CTEs."""
     names = _deps(list(views), [])
     ctes = [f"{n} AS ({VIEWS[n][0].strip()})" for n in names]
     ctes += [f"{n} AS ({q.strip()})" for n, q in (extra or [])]
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body.strip()
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return (head + ",\n".join(ctes) + "\n" if ctes else "") + body.strip()

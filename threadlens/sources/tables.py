@@ -50,6 +50,17 @@ class Views:
             "parent_id", F.when(F.col("seq") == 0, F.lit(None).cast("bigint"))
                           .otherwise(F.col("comment_id") - 1))
 
+    def threads(self) -> DataFrame:
+        """v_threads: 20 large threads over documents; reply chains 8 deep (depth cut at 5)."""
+        d = self.t("documents")
+        i = F.col("doc_id")
+        step = F.floor(i / 20).cast("bigint")
+        return d.select(
+            (i % 20).alias("post_id"), i.alias("comment_id"),
+            F.when(step % 8 == 0, F.lit(None).cast("bigint")).otherwise(i - 20).alias("parent_id"),
+            step.alias("seq"), F.concat(F.lit("u"), (i % 97).cast("string")).alias("author"),
+            F.col("text").alias("body"), ((i * 37) % 400 - 40).alias("score"))
+
     def enriched(self) -> DataFrame:
         """v_enriched: annotated comments; the 'error' event plays a missing label."""
         e = self.t("events")
