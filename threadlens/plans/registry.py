@@ -150,3 +150,4 @@ def q_consensus_rollup(spark, d):
 # Query modules register themselves on import.
 from threadlens.plans import q_scalars  # noqa: E402,F401
 from threadlens.plans import q_threads  # noqa: E402,F401
+from threadlens.plans import q_enrich  # noqa: E402,F401
