@@ -151,3 +151,4 @@ def q_consensus_rollup(spark, d):
 from threadlens.plans import q_scalars  # noqa: E402,F401
 from threadlens.plans import q_threads  # noqa: E402,F401
 from threadlens.plans import q_enrich  # noqa: E402,F401
+from threadlens.plans import q_memo  # noqa: E402,F401
