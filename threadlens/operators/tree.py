@@ -41,24 +41,36 @@ def build_tree(comments: DataFrame, max_depth: int = 5, max_roots: int | None =
 
     Adds ``depth INT``, ``root_id`` and ``path ARRAY<STRUCT<k DOUBLE, s BIGINT>>``.
     ``max_roots`` keeps the first N roots in sibling order with all their replies.
+
+    Each comment climbs its ancestor chain, one level per equi-join of a narrow
+    (post, id, parent, key) projection against the same ancestor table (Spark reuses that
+    shuffle at every level). After ``max_depth`` climbs, comments that have not reached a
+    root are deeper than the cut; comments whose chain breaks (missing parent) are
+    unreachable. The wide comment rows are joined back once at the end.
     """
-    c = comments.withColumn("_key", sibling_key(order))
-    roots = c.filter(F.col(parent).isNull())
+    keyed = comments.select(post, cid, parent, sibling_key(order).alias("_key"))
+    anc = keyed.select(F.col(post).alias("_ap"), F.col(cid).alias("_aid"),
+                       F.col(parent).alias("_apar"), F.col("_key").alias("_akey"))
+    x = keyed.select(post, cid, F.array("_key").alias("path"), F.col(parent).alias("_cur"),
+                     F.col(cid).alias("root_id"), F.lit(0).alias("depth"), F.lit(True).alias("_ok"))
+    for _ in range(max_depth):
+        j = x.join(anc, (x[post] == anc["_ap"]) & (x["_cur"] == anc["_aid"]), "left")
+        up = F.col("_cur").isNotNull()
+        hit = up & F.col("_aid").isNotNull()
+        x = j.select(post, cid,
+                     F.when(hit, F.concat(F.array("_akey"), F.col("path"))).otherwise(F.col("path")).alias("path"),
+                     F.when(up, F.col("_apar")).alias("_cur"),
+                     F.when(hit, F.col("_aid")).otherwise(F.col("root_id")).alias("root_id"),
+                     (F.col("depth") + F.when(hit, 1).otherwise(0)).alias("depth"),
+                     (F.col("_ok") & ~(up & ~hit)).alias("_ok"))
+    reach = x.filter(F.col("_cur").isNull() & F.col("_ok")).drop("_cur", "_ok")
     if max_roots is not None:
-        w = Window.partitionBy(post).orderBy("_key")
-        roots = roots.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_roots).drop("_r")
-    level = roots.select(*comments.columns, F.lit(0).alias("depth"), F.col(cid).alias("root_id"),
-                         F.array("_key").alias("path"))
-    out = level
-    kids = c.filter(F.col(parent).isNotNull())
-    for d in range(1, max_depth + 1):
-        front = level.select(F.col(post).alias("_p"), F.col(cid).alias("_pid"),
-                             F.col("root_id").alias("_root"), F.col("path").alias("_path"))
-        level = (kids.join(front, (kids[post] == front["_p"]) & (kids[parent] == front["_pid"]))
-                     .select(*comments.columns, F.lit(d).alias("depth"), F.col("_root").alias("root_id"),
-                             F.concat(F.col("_path"), F.array("_key")).alias("path")))
-        out = out.unionByName(level)
-    return out
+        roots = (reach.filter(F.col("depth") == 0)
+                      .withColumn("_r", F.row_number().over(Window.partitionBy(post).orderBy("path")))
+                      .filter(F.col("_r") <= max_roots)
+                      .select(post, F.col(cid).alias("root_id")))
+        reach = reach.join(roots, [post, "root_id"], "left_semi")
+    return comments.join(reach, [post, cid], "inner")
 
 
 def preorder(tree: DataFrame, post: str = "post_id") -> DataFrame:
