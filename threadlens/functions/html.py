@@ -70,9 +70,23 @@ def page_text(html, cut: int = 10000) -> Column:
 
 
 def extract_page(df, url_col: str = "url", html_col: str = "html", cut: int = 10000):
-    """TX5 over a pages(url, html) table: adds title, text, source_domain, found."""
-    text = page_text(html_col, cut)
-    return (df.withColumn("title", page_title(html_col))
-              .withColumn("text", text)
-              .withColumn("source_domain", source_domain(url_col))
-              .withColumn("found", text.isNotNull()))
+    """TX5 over a pages(url, html) table: adds title, text, source_domain, found.
+
+    The cleaned HTML and the main element are computed once per row in their own
+    projections (they feed several expressions).
+    """
+    h = df.withColumn("_clean", _without_removed(F.col(html_col)))
+    found = None
+    for tag in reversed(MAIN_TAGS):
+        f = F.regexp_like(F.col("_clean"), F.lit(rf"(?is)<{tag}\b"))
+        inner = F.regexp_extract(F.col("_clean"), rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)", 1)
+        found = F.when(f, inner) if found is None else F.when(f, inner).otherwise(found)
+    m = h.withColumn("_main", found)
+    t = m.withColumn("_t", F.trim(F.regexp_replace(decode_entities(F.regexp_replace("_main", "<[^>]*>", " ")),
+                                                   r"(?U)\s+", " ")))
+    text = F.when(F.length("_t") > cut, F.concat(F.substring("_t", 1, cut), F.lit("..."))).otherwise(F.col("_t"))
+    return (t.withColumn("title", page_title(html_col))
+             .withColumn("text", text)
+             .withColumn("source_domain", source_domain(url_col))
+             .withColumn("found", F.col("_main").isNotNull())
+             .drop("_clean", "_main", "_t"))

@@ -372,3 +372,37 @@ def rule_annotate(ranked: DataFrame, batch_size: int = 20) -> DataFrame:
     b = assign_batches(ranked, batch_size)
     return (b.withColumn("annotation", rule_annotation())
              .withColumn("annotation_status", F.lit("rule")))
+
+
+# ---------------------------------------------------------------- EN4 synthesis prompt
+
+SYNTHESIS_TEMPLATE = "POST DATA:\n{post_data}\n\nTOP COMMENTS DATA:\n{comments_data}"
+SYNTHESIS_CUT = 5000
+
+
+def synthesis_prompt(posts: DataFrame, flat: DataFrame, k: int = 20, by=BY,
+                     template: str = SYNTHESIS_TEMPLATE) -> DataFrame:
+    """EN4: post JSON (title, core_issue, sentiment, summaries) and the top-k comments by
+    relevance x score as JSON, each cut to 5000 characters, placed in the template.
+
+    posts: (post_id, title, post_annotation); flat: annotated comment rows.
+    """
+    from threadlens.operators.ranking import top_comments
+    pretty = {"pretty": "true"}
+    pa = F.col("post_annotation")
+    post_json = F.to_json(F.struct(F.col("title"), pa["core_issue"].alias("core_issue"),
+                                   pa["sentiment"].alias("sentiment"), pa["summaries"].alias("summaries")), pretty)
+    tie = "rank" if "rank" in flat.columns else "seq"
+    t = top_comments(flat.withColumnRenamed("rank", "_pre") if tie == "rank" else flat, k, by,
+                     tie="_pre" if tie == "rank" else tie)
+    packed = (t.groupBy(*by)
+               .agg(F.array_sort(F.collect_list(F.struct(
+                   F.col("rank").alias("_k"), F.coalesce(F.col("score"), F.lit(0)).alias("score"),
+                   F.substring(F.coalesce(F.col("body"), F.lit("")), 1, 500).alias("body"),
+                   F.coalesce(F.col("intent_primary"), F.lit("")).alias("intent"),
+                   F.col("sentiment"), F.col("key_insights")))).alias("_c"))
+               .select(*by, F.to_json(F.transform("_c", lambda x: x.dropFields("_k")), pretty).alias("_cj")))
+    x = posts.select(*by, post_json.alias("_pj")).join(packed, by, "left")
+    return x.select(*by, fill_template(template, post_data=F.substring("_pj", 1, SYNTHESIS_CUT),
+                                       comments_data=F.substring(F.coalesce("_cj", F.lit("[]")), 1, SYNTHESIS_CUT))
+                    .alias("prompt"))

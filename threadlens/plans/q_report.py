@@ -153,13 +153,10 @@ UNION ALL SELECT post_id, 'tone', overall_tone, count(*) FROM flat GROUP BY ALL
 UNION ALL SELECT post_id, 'intent', intent_primary, count(*) FROM flat GROUP BY ALL"""))
 def q_build_report(spark, d):
     ca = F.col("report")["comments_analysis"]
-    rep = _reports(spark, d)
-    out = None
-    for kind, col in (("sentiment", "sentiment_distribution"), ("tone", "tone_distribution"),
-                      ("intent", "intent_distribution")):
-        x = rep.select("post_id", F.lit(kind).alias("kind"), F.explode(ca[col]).alias("label", "n"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), ca[c].alias("m")) for k, c in (
+        ("sentiment", "sentiment_distribution"), ("tone", "tone_distribution"), ("intent", "intent_distribution"))])
+    x = _reports(spark, d).select("post_id", F.explode(kinds).alias("k"))
+    return x.select("post_id", F.col("k.kind").alias("kind"), F.explode("k.m").alias("label", "n"))
 
 
 def _md_sql():

@@ -153,3 +153,4 @@ from threadlens.plans import q_threads  # noqa: E402,F401
 from threadlens.plans import q_enrich  # noqa: E402,F401
 from threadlens.plans import q_memo  # noqa: E402,F401
 from threadlens.plans import q_report  # noqa: E402,F401
+from threadlens.plans import q_misc  # noqa: E402,F401

@@ -27,10 +27,16 @@ def write_reports_json(reports: DataFrame, path: str, partition_by: str | None =
 
 
 def write_reports_markdown(reports: DataFrame, path: str, md_col: str = "markdown",
-                           key: str = "post_id", mode: str = "overwrite") -> None:
-    """SNK2: the Markdown rendering per post, one folder per post id."""
-    (reports.select(F.col(key).cast("string").alias(key), F.col(md_col).alias("value"))
-            .write.mode(mode).partitionBy(key).text(path))
+                           key: str = "post_id", ts: str | None = None, mode: str = "overwrite") -> None:
+    """SNK2: the Markdown rendering per post as JSON lines (post_id, file_name, markdown).
+
+    One row per post in a few large files: a folder or file per post would put millions of
+    small files on the shared file system at scale. ``file_name`` is SNK4's name.
+    """
+    (reports.select(F.col(key).cast("string").alias(key),
+                    output_name(F.col(key), "md", ts).alias("file_name"),
+                    F.col(md_col).alias("markdown"))
+            .write.mode(mode).json(path))
 
 
 def save_reports(reports: DataFrame, path: str, output_format: str = "both",

@@ -27,11 +27,25 @@ SCHEMAS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A large input already scans in at least as many splits as there are cores and is
+    returned unchanged (no shuffle); a small file with a single row group would otherwise
+    run every per-row expression in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
     r = spark.read
     if name in SCHEMAS:
         r = r.schema(SCHEMAS[name])
-    return r.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = r.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if spread_small else df
 
 
 class Views:
