@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlens.operators import enrich as EN
+from threadlens.operators.annotators import scripted_python_annotator
 from threadlens.operators import ranking as R
 from threadlens.operators import tree as T
 from threadlens.plans.oracle import WS, sql
@@ -239,17 +240,6 @@ def q_rule_quality(spark, d):
                     a["relevance_score"].alias("relevance_score"))
 
 
-def scripted_python_annotator(prompts: list[str]) -> list[str]:
-    """A Python annotator for EN10: answers each batch prompt with one element per line."""
-    out = []
-    for p in prompts:
-        n = sum(1 for line in p.split("\n\n") if line[:1].isdigit() and ". [Score: " in line)
-        els = [f'{{"comment_id": "{i + 1}", "quality_score": {(len(p) + i) % 11}, "intent_primary": "ASK"}}'
-               for i in range(n)]
-        out.append("[" + ", ".join(els) + "]")
-    return out
-
-
 @register("enrich_comments_udf", None)
 def q_enrich_comments_udf(spark, d):
     """EN10 with a Python annotator over Arrow batches (rows check only)."""

@@ -146,11 +146,3 @@ FROM v_enriched GROUP BY post_id""", "v_enriched"))
 def q_consensus_rollup(spark, d):
     return stats.consensus_rollup(_v(spark, d).enriched())
 
-
-# Query modules register themselves on import.
-from threadlens.plans import q_scalars  # noqa: E402,F401
-from threadlens.plans import q_threads  # noqa: E402,F401
-from threadlens.plans import q_enrich  # noqa: E402,F401
-from threadlens.plans import q_memo  # noqa: E402,F401
-from threadlens.plans import q_report  # noqa: E402,F401
-from threadlens.plans import q_misc  # noqa: E402,F401
