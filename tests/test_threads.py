@@ -89,3 +89,22 @@ def test_partition_invariance(spark):
     b = sorted(R.pre_filter(T.build_tree(t.repartition(7).orderBy(F.rand(3))), 5)
                .select("post_id", "comment_id", "rank").collect())
     assert a == b
+
+
+def test_group_positions_hot_group(spark):
+    """One thread with most of the rows: positions equal a plain row_number, and the hot
+    thread is spread over several range partitions."""
+    from pyspark.sql import Window
+    from threadlens.operators.positions import group_positions
+    df = spark.range(0, 5000).select((F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(F.lit(100)))
+                                     .alias("post_id"), F.col("id").alias("seq"),
+                                     ((F.col("id") * 7919) % 1000).alias("score"))
+    got = group_positions(df, ["post_id"], [("score", True), ("seq", False)], key=["seq"], out="pos", size="n",
+                          partitions=8)
+    want = df.withColumn("pos", F.row_number().over(
+        Window.partitionBy("post_id").orderBy(F.col("score").desc(), "seq")))
+    assert sorted(got.select("post_id", "seq", "pos").collect()) == sorted(want.collect() and
+                                                                          want.select("post_id", "seq", "pos").collect())
+    hot = df.filter("post_id = 100").repartitionByRange(8, "post_id", F.col("score").desc(), "seq")
+    assert hot.select(F.spark_partition_id()).distinct().count() > 1
+    assert got.filter("post_id = 100").select("n").distinct().first()[0] == df.filter("post_id = 100").count()

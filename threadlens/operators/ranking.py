@@ -96,16 +96,15 @@ def apply_sampling(df: DataFrame, max_comments: int, by=BY, tie="seq") -> DataFr
     """SA2: threads with at most max comments keep all in source order; larger ones keep the
     top 70 % by score and then every step-th of the rest, step = len(rest) // (max - top).
 
-    Adds ``sample_pos`` (1-based position in the sampled list).
+    Adds ``sample_pos`` (1-based position in the sampled list). Both ranks are computed with
+    range-partitioned segments, so a hot thread is split over many tasks.
     """
+    from threadlens.operators.positions import group_positions
     top = int(max_comments * 0.7)
     room = max_comments - top
-    w_n = Window.partitionBy(*by)
-    w_score = Window.partitionBy(*by).orderBy(F.coalesce(F.col("score"), F.lit(0)).desc(), F.col(tie))
-    w_src = Window.partitionBy(*by).orderBy(F.col(tie))
-    x = (df.withColumn("_n", F.count(F.lit(1)).over(w_n))
-           .withColumn("_rn", F.row_number().over(w_score))
-           .withColumn("_src", F.row_number().over(w_src)))
+    x = group_positions(df, by, [(F.coalesce(F.col("score"), F.lit(0)), True), (tie, False)], key=[tie],
+                        out="_rn", size="_n")
+    x = group_positions(x, by, [(tie, False)], key=[tie], out="_src")
     step = F.greatest(F.floor((F.col("_n") - top) / F.lit(max(1, room))).cast("bigint"), F.lit(1))
     idx = F.col("_rn") - top - 1
     small = F.col("_n") <= max_comments

@@ -74,9 +74,14 @@ def build_tree(comments: DataFrame, max_depth: int = 5, max_roots: int | None =
 
 
 def preorder(tree: DataFrame, post: str = "post_id") -> DataFrame:
-    """TR2: 1-based pre-order position within the thread (``preorder``)."""
-    w = Window.partitionBy(post).orderBy("path")
-    return tree.withColumn("preorder", F.row_number().over(w).cast("bigint"))
+    """TR2: 1-based pre-order position within the thread (``preorder``).
+
+    ``path`` is a total order within a thread (sibling keys end with the unique seq), and
+    the position is computed with range-partitioned segments, so a hot thread is split
+    over many tasks (see ``positions.group_positions``).
+    """
+    from threadlens.operators.positions import group_positions
+    return group_positions(tree, [post], [("path", False)], key=["comment_id"], out="preorder")
 
 
 def root_limit(comments: DataFrame, n: int = 100, **kw) -> DataFrame:
@@ -106,5 +111,6 @@ def from_nested(posts_with_replies: DataFrame, levels: int = 6, post: str = "pos
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o, allowMissingColumns=True)
-    w = Window.partitionBy(post).orderBy("_ord")
-    return res.withColumn("seq", F.row_number().over(w).cast("bigint") - 1).drop("_ord")
+    from threadlens.operators.positions import group_positions
+    res = group_positions(res, [post], [("_ord", False)], key=["_ord"], out="seq")
+    return res.withColumn("seq", F.col("seq") - 1).drop("_ord")
