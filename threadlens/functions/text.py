@@ -30,8 +30,8 @@ def words(t) -> Column:
 
 
 def word_count(t) -> Column:
-    """TX8: number of whitespace-separated words."""
-    return F.size(words(t)).cast("bigint")
+    """TX8: number of whitespace-separated words (maximal runs of non-whitespace)."""
+    return F.regexp_count(F.coalesce(_c(t), F.lit("")), F.lit(r"(?U)\S+")).cast("bigint")
 
 
 def ocr_only(t) -> Column:

@@ -321,39 +321,63 @@ def native(fn):
 
 # ---------------------------------------------------------------- EN11 rule annotator
 
-# Fixed values of the rule annotator (our weights for the stated quality rubric).
-ADVICE_CUE_RE = r"(^|[^a-z0-9_])(try|should|recommend|use)([^a-z0-9_]|$)"
-EXPERIENCE_RE = r"(^|[^a-z0-9_])(i|my|me)([^a-z0-9_]|$)"
-SUPPORT_RE = r"(^|[^a-z0-9_])(thanks|agree|great|love)([^a-z0-9_]|$)"
-CRITIC_RE = r"(^|[^a-z0-9_])(wrong|disagree|bad|hate)([^a-z0-9_]|$)"
+# Fixed values of the rule annotator (our weights for the stated quality rubric): cue words,
+# matched as whole tokens of the lower-cased body (tokens are runs of [a-z0-9_]).
+ADVICE_WORDS = ["try", "should", "recommend", "use"]
+EXPERIENCE_WORDS = ["i", "my", "me"]
+SUPPORT_WORDS = ["thanks", "agree", "great", "love"]
+CRITIC_WORDS = ["wrong", "disagree", "bad", "hate"]
+TOKEN_SPLIT_RE = "[^a-z0-9_]+"
+
+
+def _word_re(words: list[str]) -> str:
+    """The same test as a regex (used by the SQL oracle)."""
+    return r"(^|[^a-z0-9_])(" + "|".join(words) + r")([^a-z0-9_]|$)"
+
+
+ADVICE_CUE_RE = _word_re(ADVICE_WORDS)
+EXPERIENCE_RE = _word_re(EXPERIENCE_WORDS)
+SUPPORT_RE = _word_re(SUPPORT_WORDS)
+CRITIC_RE = _word_re(CRITIC_WORDS)
+
+
+def _has_word(tokens: Column, words: list[str]) -> Column:
+    return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
+
+
+def tokens_of(lower_body) -> Column:
+    return F.split(_c(lower_body), TOKEN_SPLIT_RE)
 URL_RE = r"https?://"
 FIRST_SENTENCE_RE = r"^[^.!?]*[.!?]?"
 
 
 def rule_quality(body="body", score="score") -> Column:
     """EN11: 4*min(words/20,1) + 3*min(max(score,0)/100,1) + 2*[advice cue] + 1*[URL]."""
-    b = F.coalesce(_c(body), F.lit(""))
-    lb = F.lower(b)
-    w = word_count(b).cast("double")
-    s = F.coalesce(_c(score), F.lit(0)).cast("double")
-    return (F.lit(4.0) * F.least(w / F.lit(20.0), F.lit(1.0))
-            + F.lit(3.0) * F.least(F.greatest(s, F.lit(0.0)) / F.lit(100.0), F.lit(1.0))
-            + F.when(F.regexp_like(lb, F.lit(ADVICE_CUE_RE)), F.lit(2.0)).otherwise(F.lit(0.0))
-            + F.when(F.regexp_like(b, F.lit(URL_RE)), F.lit(1.0)).otherwise(F.lit(0.0)))
+    return rule_annotation(body, score)["quality_score"]
 
 
-def rule_annotation(body="body", score="score", comment_id="comment_id") -> Column:
-    """EN11: a complete comment annotation from native rules (no model call)."""
+def rule_annotation(body="body", score="score", comment_id="comment_id", *, tokens=None, words=None) -> Column:
+    """EN11: a complete comment annotation from native rules (no model call).
+
+    ``tokens`` / ``words`` may name precomputed columns (see ``rule_annotate``).
+    """
     b = F.coalesce(_c(body), F.lit(""))
-    lb = F.lower(b)
-    q = rule_quality(body, score)
-    cue = F.regexp_like(lb, F.lit(ADVICE_CUE_RE))
+    tk = _c(tokens) if tokens is not None else tokens_of(F.lower(b))
+    w = (_c(words) if words is not None else word_count(b)).cast("double")
+    cue = _has_word(tk, ADVICE_WORDS)
+    s = F.coalesce(_c(score), F.lit(0)).cast("double")
+    q = (F.lit(4.0) * F.least(w / F.lit(20.0), F.lit(1.0))
+         + F.lit(3.0) * F.least(F.greatest(s, F.lit(0.0)) / F.lit(100.0), F.lit(1.0))
+         + F.when(cue, F.lit(2.0)).otherwise(F.lit(0.0))
+         + F.when(F.regexp_like(b, F.lit(URL_RE)), F.lit(1.0)).otherwise(F.lit(0.0)))
     intent = (F.when(F.contains(b, F.lit("?")), F.lit("QUESTION")).when(cue, F.lit("ADVICE"))
-               .when(F.regexp_like(lb, F.lit(EXPERIENCE_RE)), F.lit("EXPERIENCE"))
+               .when(_has_word(tk, EXPERIENCE_WORDS), F.lit("EXPERIENCE"))
                .otherwise(F.lit("DISCUSSION")))
-    toward = (F.when(F.regexp_like(lb, F.lit(SUPPORT_RE)), F.lit("supportive"))
-               .when(F.regexp_like(lb, F.lit(CRITIC_RE)), F.lit("critical")).otherwise(F.lit("neutral")))
-    first = F.substring(F.regexp_extract(clean_text(b), FIRST_SENTENCE_RE, 0), 1, 200)
+    toward = (F.when(_has_word(tk, SUPPORT_WORDS), F.lit("supportive"))
+               .when(_has_word(tk, CRITIC_WORDS), F.lit("critical")).otherwise(F.lit("neutral")))
+    # first sentence of the cleaned text = the cleaned first sentence of the raw text
+    first = F.substring(clean_text(F.regexp_extract(F.regexp_replace(b, r"^(?U)\s+", ""), FIRST_SENTENCE_RE, 0)),
+                        1, 200)
     empty = F.array().cast("array<string>")
     return F.struct(
         _c(comment_id).cast("string").alias("comment_id"), q.alias("quality_score"),
@@ -363,15 +387,18 @@ def rule_annotation(body="body", score="score", comment_id="comment_id") -> Colu
         F.when(q >= 5.0, F.array(first)).otherwise(empty).alias("key_insights"),
         F.when(cue, F.array(first)).otherwise(empty).alias("actionable_advice"),
         empty.alias("shared_experiences"),
-        F.least(word_count(b).cast("double") / F.lit(10.0), F.lit(10.0)).alias("relevance_score"),
+        F.least(w / F.lit(10.0), F.lit(10.0)).alias("relevance_score"),
     ).cast(COMMENT_ANNOTATION)
 
 
 def rule_annotate(ranked: DataFrame, batch_size: int = 20) -> DataFrame:
     """EN11 in the enrichment flow: batches assigned as for a model, annotation from rules."""
     b = assign_batches(ranked, batch_size)
-    return (b.withColumn("annotation", rule_annotation())
-             .withColumn("annotation_status", F.lit("rule")))
+    pre = b.withColumns({"_tk": tokens_of(F.lower(F.coalesce(F.col("body"), F.lit("")))),
+                         "_w": word_count("body")})
+    return (pre.withColumns({"annotation": rule_annotation(tokens="_tk", words="_w"),
+                             "annotation_status": F.lit("rule")})
+               .drop("_tk", "_w"))
 
 
 # ---------------------------------------------------------------- EN4 synthesis prompt
