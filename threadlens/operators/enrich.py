@@ -351,9 +351,18 @@ URL_RE = r"https?://"
 FIRST_SENTENCE_RE = r"^[^.!?]*[.!?]?"
 
 
+def _quality(b: Column, w: Column, cue: Column, score) -> Column:
+    s = F.coalesce(_c(score), F.lit(0)).cast("double")
+    return (F.lit(4.0) * F.least(w / F.lit(20.0), F.lit(1.0))
+            + F.lit(3.0) * F.least(F.greatest(s, F.lit(0.0)) / F.lit(100.0), F.lit(1.0))
+            + F.when(cue, F.lit(2.0)).otherwise(F.lit(0.0))
+            + F.when(F.regexp_like(b, F.lit(URL_RE)), F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
 def rule_quality(body="body", score="score") -> Column:
     """EN11: 4*min(words/20,1) + 3*min(max(score,0)/100,1) + 2*[advice cue] + 1*[URL]."""
-    return rule_annotation(body, score)["quality_score"]
+    b = F.coalesce(_c(body), F.lit(""))
+    return _quality(b, word_count(b).cast("double"), _has_word(tokens_of(F.lower(b)), ADVICE_WORDS), score)
 
 
 def rule_annotation(body="body", score="score", comment_id="comment_id", *, tokens=None, words=None) -> Column:
@@ -365,11 +374,7 @@ def rule_annotation(body="body", score="score", comment_id="comment_id", *, toke
     tk = _c(tokens) if tokens is not None else tokens_of(F.lower(b))
     w = (_c(words) if words is not None else word_count(b)).cast("double")
     cue = _has_word(tk, ADVICE_WORDS)
-    s = F.coalesce(_c(score), F.lit(0)).cast("double")
-    q = (F.lit(4.0) * F.least(w / F.lit(20.0), F.lit(1.0))
-         + F.lit(3.0) * F.least(F.greatest(s, F.lit(0.0)) / F.lit(100.0), F.lit(1.0))
-         + F.when(cue, F.lit(2.0)).otherwise(F.lit(0.0))
-         + F.when(F.regexp_like(b, F.lit(URL_RE)), F.lit(1.0)).otherwise(F.lit(0.0)))
+    q = _quality(b, w, cue, score)
     intent = (F.when(F.contains(b, F.lit("?")), F.lit("QUESTION")).when(cue, F.lit("ADVICE"))
                .when(_has_word(tk, EXPERIENCE_WORDS), F.lit("EXPERIENCE"))
                .otherwise(F.lit("DISCUSSION")))

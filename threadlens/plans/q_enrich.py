@@ -17,12 +17,13 @@ from threadlens.operators import tree as T
 from threadlens.plans.oracle import WS, sql
 from threadlens.plans.q_scalars import _TX1_SQL, _assembled
 from threadlens.plans.q_threads import _HEUR, _tree_sql
-from threadlens.plans.registry import register, _v
+from threadlens.plans.registry import register, shared_plan, _v
 
 _BATCH = 20
 _MAX = 100
 
 
+@shared_plan
 def _batched(spark, d):
     t = T.build_tree(_v(spark, d).threads())
     return EN.assign_batches(R.pre_filter(t, _MAX), _BATCH)

@@ -14,19 +14,21 @@ from threadlens.plans import pipeline as PL
 from threadlens.plans.oracle import WS, sql
 from threadlens.plans.q_scalars import _SRC1_SQL
 from threadlens.plans.q_threads import _HEUR, _tree_sql
-from threadlens.plans.registry import register, _v
+from threadlens.plans.registry import register, shared_plan, _v
 from threadlens.sources import posts as P
 
 AS_OF = "2024-01-31T00:00:00"
 _MAX, _THR = 100, 2.0
 
 
+@shared_plan
 def _posts(spark, d):
     v = _v(spark, d)
     p = P.normalize_posts(v.raw_posts(), id_col="post_id").withColumn("post_id", F.col("id").cast("bigint"))
     return PL.post_content(p, v.ocr(), v.links())
 
 
+@shared_plan
 def _reports(spark, d):
     return PL.analyze(_posts(spark, d), _v(spark, d).threads(), AS_OF)
 

@@ -10,7 +10,7 @@ from threadlens.functions import urls as U
 from threadlens.functions.html import extract_page
 from threadlens.plans.oracle import (WS, authority, decode_entities, page_text, page_title, sql,
                                      strip_unicode, url_path)
-from threadlens.plans.registry import register, _v
+from threadlens.plans.registry import register, shared_plan, _v
 from threadlens.session import scratch_path
 from threadlens.sources import posts as P
 from threadlens.sources.urllist import load_url_list
@@ -20,6 +20,7 @@ SELECT post_id AS id, url, title FROM v_posts
 UNION ALL SELECT page_id + 1000000000 AS id, url, NULL AS title FROM pages""")
 
 
+@shared_plan
 def _urls(spark, d):
     v = _v(spark, d)
     pages = v.t("pages").select((F.col("page_id") + 1000000000).alias("id"), "url",
@@ -150,6 +151,7 @@ def q_gallery_urls(spark, d):
 
 # ---------------------------------------------------------------- text assembly (2.3)
 
+@shared_plan
 def _assembled(spark, d):
     v = _v(spark, d)
     p = v.posts().withColumn("content_type",

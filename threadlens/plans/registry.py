@@ -26,8 +26,32 @@ def register(name: str, oracle: str | None):
     return deco
 
 
+_VIEWS: dict = {}
+_PLANS: dict = {}
+
+
+def _session_key(spark, sf_dir):
+    return (spark.sparkContext.applicationId, id(spark), sf_dir)
+
+
 def _v(spark, sf_dir) -> Views:
-    return Views(spark, sf_dir)
+    """The views of one folder, shared by all queries of a session (table reads happen once)."""
+    k = _session_key(spark, sf_dir)
+    if k not in _VIEWS:
+        _VIEWS[k] = Views(spark, sf_dir)
+    return _VIEWS[k]
+
+
+def shared_plan(fn):
+    """Build a (lazy) DataFrame once per session and folder; queries that start from the same
+    plan reuse the object instead of re-constructing it. No data is cached."""
+    def wrapper(spark, sf_dir):
+        k = (fn.__module__, fn.__name__, *_session_key(spark, sf_dir))
+        if k not in _PLANS:
+            _PLANS[k] = fn(spark, sf_dir)
+        return _PLANS[k]
+    wrapper.__name__, wrapper.__doc__ = fn.__name__, fn.__doc__
+    return wrapper
 
 
 # ---------------------------------------------------------------- aggregations (2.6)
