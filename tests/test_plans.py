@@ -97,6 +97,26 @@ def test_stream_dedupe(spark, tmp_path):
     assert sorted(r.post_url for r in out) == ["u1", "u2"]
 
 
+def test_stream_dedupe_reprocesses_after_ttl(spark, tmp_path):
+    """Micro-batches in event-time order: a repeat within the TTL is dropped; once the
+    watermark has passed first_seen + TTL the URL is processed again."""
+    from threadlens.streaming import dedupe as ST
+    src = tmp_path / "in"
+    days = [[("u1", "2024-01-01 00:00:00")], [("u1", "2024-01-01 12:00:00")], [("u9", "2024-01-03 12:00:00")],
+            [("u8", "2024-01-03 13:00:00")], [("u1", "2024-01-03 18:00:00")]]
+    for i, rows in enumerate(days):   # one folder per batch, written in order
+        spark.createDataFrame(rows, "post_url string, s string") \
+            .select("post_url", F.to_timestamp("s").alias("requested_at")).coalesce(1) \
+            .write.parquet(str(src / f"part={i}"))
+    out = []
+    q = ST.start(spark, str(src), str(tmp_path / "ckpt"), lambda b, e: out.extend(b.collect()), ttl_hours=24,
+                 schema=ST.REQUEST_SCHEMA + ", part INT", max_files_per_trigger=1)
+    q.awaitTermination(180)
+    got = sorted((r.post_url, str(r.requested_at)) for r in out)
+    assert got == [("u1", "2024-01-01 00:00:00"), ("u1", "2024-01-03 18:00:00"), ("u8", "2024-01-03 13:00:00"),
+                   ("u9", "2024-01-03 12:00:00")]
+
+
 def test_pipeline_report_shape(spark):
     import __spark_entry__ as E
     from threadlens.plans.q_report import _reports

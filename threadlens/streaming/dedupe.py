@@ -2,7 +2,10 @@
 
 Incoming requests (post_url, requested_at) are deduplicated with
 ``dropDuplicatesWithinWatermark``: a URL seen again within ``ttl_hours`` of event time is
-dropped, one seen later is processed again. State is bounded by the watermark; each
+always dropped. Its state lives until the watermark (latest event time seen minus the
+TTL) passes first_seen + TTL; Spark evicts it at the end of the micro-batch that runs with
+that watermark, and a later request for the URL is processed again. State is bounded by
+the watermark; each
 micro-batch goes to ``process(batch_df, epoch_id)`` (e.g. the PL1 pipeline plus a memo
 upsert). The checkpoint folder makes the query restartable after a failure.
 """
