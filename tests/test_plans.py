@@ -141,3 +141,27 @@ def test_from_nested_roundtrip(spark):
         "replies array<struct<id string>>>>>>")
     flat = T.from_nested(nested, levels=3).orderBy("seq").collect()
     assert [(r.id, r.parent_id, r.depth, r.seq) for r in flat] == [("a", None, 0, 0), ("b", "a", 1, 1), ("c", None, 0, 2)]
+
+
+def test_pipeline_with_python_annotator(spark):
+    """PL1 with a model-style Python annotator: prompts carry the post context, responses are
+    parsed and matched, and the annotated rows are checkpointed (never re-annotated)."""
+    from threadlens.operators.annotators import scripted_python_annotator
+    from threadlens.plans import pipeline as PL
+    from threadlens.plans.q_report import _posts
+    from threadlens.params import Params
+    v = Views(spark, SF_SMALL)
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        calls.add(len(prompts))
+        return scripted_python_annotator(prompts)
+
+    rep = PL.analyze(_posts(spark, SF_SMALL), v.threads(), "2024-01-31T00:00:00", Params(batch_size=5), annotator=model)
+    n_calls = calls.value
+    rows = rep.collect()
+    rep.count()
+    assert calls.value == n_calls > 0           # the model ran once, before the actions
+    with_comments = [r for r in rows if r.report.comments_analysis.total_processed > 0]
+    assert with_comments and all(r.report.comments_analysis.intent_distribution for r in with_comments)
+    assert set().union(*[set(r.report.comments_analysis.intent_distribution) for r in with_comments]) <= {"ASK"}

@@ -25,10 +25,6 @@ def clean_text(t) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(_c(t), F.lit("")), WS_RE, " "))
 
 
-def words(t) -> Column:
-    return F.filter(F.split(F.coalesce(_c(t), F.lit("")), WS_RE), lambda w: w != "")
-
-
 def word_count(t) -> Column:
     """TX8: number of whitespace-separated words (maximal runs of non-whitespace)."""
     return F.regexp_count(F.coalesce(_c(t), F.lit("")), F.lit(r"(?U)\S+")).cast("bigint")

@@ -34,10 +34,12 @@ def spread(df: DataFrame) -> DataFrame:
     returned unchanged (no shuffle); a small file with a single row group would otherwise
     run every per-row expression in one task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as is
         return df
-    return df.repartition(cores)
+    return df if splits >= cores else df.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:

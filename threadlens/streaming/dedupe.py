@@ -28,8 +28,14 @@ def fresh_requests(stream: DataFrame, ttl_hours: int = 24, key: str = "post_url"
 
 def start(spark: SparkSession, source: str, checkpoint: str, process: Callable[[DataFrame, int], None],
           ttl_hours: int = 24, available_now: bool = True, schema: str = REQUEST_SCHEMA,
-          max_files_per_trigger: int | None = None) -> StreamingQuery:
-    r = spark.readStream.schema(schema)
+          max_files_per_trigger: int | None = None, state_partitions: int | None = None) -> StreamingQuery:
+    """Start the dedupe stream. ``state_partitions`` sizes the state store (fixed for the life
+    of the checkpoint); the stream runs in a child session so the caller's SQL settings are
+    not changed. Default: the cluster's default parallelism."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions",
+                     str(state_partitions or spark.sparkContext.defaultParallelism))
+    r = session.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     w = (fresh_requests(r.parquet(source), ttl_hours)
