@@ -226,16 +226,20 @@ def match_annotations(batched: DataFrame, responses: DataFrame, by=BY,
     default annotation. Adds ``annotation`` (struct) and ``annotation_status``.
     """
     keys = [*by, "batch_id"]
-    r = responses.select(*keys, annotation_list(parse_response(F.col(response))).alias("_elems"))
-    x = batched.join(r, keys, "left")
-    elem = F.get(F.col("_elems"), F.col("pos").cast("int"))
-    parsed = F.when(_is_object(elem), F.try_variant_get(elem, "$", COMMENT_ANNOTATION))
+    r = (responses.select(*keys, parse_response(F.col(response)).alias("_v"))
+                  .select(*keys, annotation_list(F.col("_v")).alias("_elems")))
+    x = (batched.join(r, keys, "left")
+                .withColumn("_elem", F.get(F.col("_elems"), F.col("pos").cast("int"))))
     usable = F.col("_elems").isNotNull()
-    x = x.filter(~usable | elem.isNotNull())
+    x = (x.filter(~usable | F.col("_elem").isNotNull())
+          .withColumn("_parsed", F.when(_is_object(F.col("_elem")),
+                                        F.try_variant_get(F.col("_elem"), "$", COMMENT_ANNOTATION))))
+    parsed = F.col("_parsed")
     ann = F.when(usable & parsed.isNotNull(), parsed).otherwise(default_comment_annotation(F.col(id_col)))
     status = (F.when(~usable, F.lit("default_batch"))
                .when(parsed.isNull(), F.lit("default_element")).otherwise(F.lit("parsed")))
-    return x.withColumn("annotation", ann).withColumn("annotation_status", status).drop("_elems")
+    return (x.withColumns({"annotation": ann, "annotation_status": status})
+             .drop("_elems", "_elem", "_parsed"))
 
 
 def merge_annotation(df: DataFrame, ann: str = "annotation") -> DataFrame:

@@ -96,20 +96,21 @@ def apply_sampling(df: DataFrame, max_comments: int, by=BY, tie="seq") -> DataFr
     """SA2: threads with at most max comments keep all in source order; larger ones keep the
     top 70 % by score and then every step-th of the rest, step = len(rest) // (max - top).
 
-    Adds ``sample_pos`` (1-based position in the sampled list). Both ranks are computed with
-    range-partitioned segments, so a hot thread is split over many tasks.
+    Adds ``sample_pos`` (1-based position in the sampled list). The score rank and thread size
+    come from range-partitioned segments (a hot thread is split over many tasks); the source
+    order is only needed for threads of at most ``max_comments`` rows, a bounded window.
     """
     from threadlens.operators.positions import group_positions
     top = int(max_comments * 0.7)
     room = max_comments - top
     x = group_positions(df, by, [(F.coalesce(F.col("score"), F.lit(0)), True), (tie, False)], key=[tie],
                         out="_rn", size="_n")
-    x = group_positions(x, by, [(tie, False)], key=[tie], out="_src")
+    small = x.filter(F.col("_n") <= max_comments).withColumn(
+        "sample_pos", F.row_number().over(Window.partitionBy(*by).orderBy(tie)).cast("bigint"))
     step = F.greatest(F.floor((F.col("_n") - top) / F.lit(max(1, room))).cast("bigint"), F.lit(1))
     idx = F.col("_rn") - top - 1
-    small = F.col("_n") <= max_comments
-    keep = small | (F.col("_rn") <= top) | ((idx % step == 0) & (F.floor(idx / step) < room))
-    pos = (F.when(small, F.col("_src")).when(F.col("_rn") <= top, F.col("_rn"))
-            .otherwise(F.floor(idx / step) + top + 1))
-    return (x.filter(keep).withColumn("sample_pos", pos.cast("bigint"))
-              .drop("_n", "_rn", "_src"))
+    keep = (F.col("_rn") <= top) | ((idx % step == 0) & (F.floor(idx / step) < room))
+    pos = F.when(F.col("_rn") <= top, F.col("_rn")).otherwise(F.floor(idx / step) + top + 1)
+    big = (x.filter(F.col("_n") > max_comments).filter(keep)
+            .withColumn("sample_pos", pos.cast("bigint")))
+    return small.unionByName(big).drop("_n", "_rn")
