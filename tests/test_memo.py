@@ -73,3 +73,18 @@ def test_snapshot_store(spark):
     store.write(memo(spark, [("a", "1", t)]))
     store.upsert(memo(spark, [("a", "2", t), ("b", "3", t)]), "url")
     assert {r.url: r.payload for r in store.read().collect()} == {"a": "2", "b": "3"}
+
+
+def test_report_sinks_switch(spark, tmp_path):
+    import pytest
+    from threadlens.sources import reports as SR
+    df = spark.createDataFrame([(1, "x", "# md")], "post_id bigint, summary string, markdown string")
+    assert SR.save_reports(df, str(tmp_path / "a"), "json") == [str(tmp_path / "a") + "/json"]
+    assert SR.save_reports(df, str(tmp_path / "b"), "both", save_to_file=False) == []
+    out = SR.save_reports(df, str(tmp_path / "c"), "markdown")
+    md = spark.read.json(out[0]).first()
+    assert (md.post_id, md.file_name, md.markdown) == ("1", "1.md", "# md")
+    back = SR.load_reports(spark, str(tmp_path / "a") + "/json").first()
+    assert back.summary == "x" and "markdown" not in back.asDict()
+    with pytest.raises(ValueError):
+        SR.save_reports(df, str(tmp_path / "d"), "pdf")

@@ -108,3 +108,13 @@ def test_group_positions_hot_group(spark):
     hot = df.filter("post_id = 100").repartitionByRange(8, "post_id", F.col("score").desc(), "seq")
     assert hot.select(F.spark_partition_id()).distinct().count() > 1
     assert got.filter("post_id = 100").select("n").distinct().first()[0] == df.filter("post_id = 100").count()
+
+
+def test_new_order(spark):
+    import datetime as dt
+    rows = [(1, 10, None, 0, dt.datetime(2024, 1, 1)), (1, 20, None, 1, dt.datetime(2024, 1, 3)),
+            (1, 11, 10, 2, dt.datetime(2024, 1, 2))]
+    df = spark.createDataFrame(rows, "post_id bigint, comment_id bigint, parent_id bigint, seq bigint, "
+                                     "created_utc timestamp")
+    p = T.preorder(T.build_tree(df, order="new")).orderBy("preorder").collect()
+    assert [r.comment_id for r in p] == [20, 10, 11]
