@@ -54,7 +54,12 @@ def build_tree(comments: DataFrame, max_depth: int = 5, max_roots: int | None =
     x = keyed.select(post, cid, F.array("_key").alias("path"), F.col(parent).alias("_cur"),
                      F.col(cid).alias("root_id"), F.lit(0).alias("depth"), F.lit(True).alias("_ok"))
     for _ in range(max_depth):
-        j = x.join(anc, (x[post] == anc["_ap"]) & (x["_cur"] == anc["_aid"]), "left")
+        # Rows that reached their root have no ancestor to look up. Their join key is their
+        # own id (so a thread's finished rows spread over all tasks instead of hashing to
+        # (post_id, null)), and the non-equi guard keeps them from matching.
+        probe = x.withColumn("_key", F.coalesce(F.col("_cur"), F.col(cid)))
+        j = probe.join(anc, (probe[post] == anc["_ap"]) & (probe["_key"] == anc["_aid"])
+                       & probe["_cur"].isNotNull(), "left")
         up = F.col("_cur").isNotNull()
         hit = up & F.col("_aid").isNotNull()
         x = j.select(post, cid,
