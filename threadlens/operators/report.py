@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.rounding import pct_tenths, tenths_str
 from threadlens.functions.text import format_score
-from threadlens.operators import ranking as R
-from threadlens.operators import stats as S
 
 BY = ["post_id"]
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
@@ -24,61 +22,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def label_maps(annotated: DataFrame, by=BY) -> DataFrame:
-    """AG1-AG3 as maps per thread, from one scan: sentiment/tone/intent_distribution."""
-    d = S.distributions(annotated, by)
-    m = (d.groupBy(*by, "kind")
-          .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("m")))
-    return (m.groupBy(*by)
-             .agg(*[F.max_by("m", F.col("kind") == k).alias(f"{k}_distribution") for k in S.KINDS]))
-
-
-def theme_map(annotated: DataFrame, k: int = 5, by=BY) -> DataFrame:
-    """AG4 as an ordered map theme -> percentage (rank order)."""
-    t = S.theme_percentages(annotated, by, k)
-    return (t.groupBy(*by)
-             .agg(F.array_sort(F.collect_list(F.struct("rank", "theme", "pct"))).alias("_t"))
-             .select(*by, F.map_from_entries(F.transform("_t", lambda x: F.struct(x["theme"], x["pct"])))
-                     .alias("theme_percentages")))
-
-
-TOP_FIELDS = ["comment_id", "score", "body", "author", "depth", "quality_score", "intent_primary",
-              "intent_secondary", "sentiment", "key_insights", "actionable_advice", "shared_experiences",
-              "relevance_score"]
-
-
-def top_comment_list(quality: DataFrame, k: int = 10, by=BY, tie: str = "rank") -> DataFrame:
-    """RK4 packed per thread: array of comment structs in rank order, ``text`` = body."""
-    t = R.top_comments(quality.withColumnRenamed("rank", "_pre_rank"), k, by,
-                       tie="_pre_rank" if tie == "rank" else tie)
-    fields = [f for f in TOP_FIELDS if f in t.columns]
-    return (t.groupBy(*by)
-             .agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("_k"), *fields,
-                                                       F.col("text")))).alias("_t"))
-             .select(*by, F.transform("_t", lambda x: x.dropFields("_k")).alias("top_comments")))
-
-
-def insight_lists(quality: DataFrame, by=BY) -> DataFrame:
-    """AG6: sorted distinct insights and advice over the quality comments."""
-    def one(col, out):
-        return (quality.select(*by, F.explode(col).alias("v")).filter(F.col("v").isNotNull())
-                .groupBy(*by).agg(F.sort_array(F.collect_set("v")).alias(out)))
-    return one("key_insights", "all_insights").join(one("actionable_advice", "all_advice"), by, "full")
-
-
-def consensus(annotated: DataFrame, by=BY) -> DataFrame:
-    """AG11 per thread, plus validation status and agreement level derived from it."""
-    c = S.consensus_rollup(annotated, by)
-    mx = F.greatest("n_supportive", "n_critical", "n_neutral")
-    status = (F.when(F.col("n_supportive") > F.col("n_critical"), F.lit("validated"))
-               .when(F.col("n_critical") > F.col("n_supportive"), F.lit("disputed")).otherwise(F.lit("mixed")))
-    level = (F.when(mx * 10 >= F.col("total") * 6, F.lit("high"))
-              .when(mx * 10 >= F.col("total") * 4, F.lit("medium")).otherwise(F.lit("low")))
-    return c.select(*by, status.alias("validation_status"), level.alias("agreement_level"),
-                    F.create_map(*[x for k in ("supportive", "critical", "neutral")
-                                   for x in (F.lit(k), F.col(f"pct_{k}"))]).alias("sentiment_breakdown"))
-
-
 def _empty_map(t: str) -> Column:
     return F.create_map().cast(t)
 
