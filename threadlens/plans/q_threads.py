@@ -146,3 +146,15 @@ FROM (SELECT *, greatest((n - 14) // 6, 1) AS step FROM (
 WHERE n <= 20 OR rn <= 14 OR ((rn - 15) % step = 0 AND (rn - 15) // step < 6)""", "v_enriched"))
 def q_apply_sampling(spark, d):
     return R.apply_sampling(_v(spark, d).enriched(), 20).select("post_id", "comment_id", "sample_pos")
+
+
+@register("filter_quality_labels", sql("""
+SELECT d.doc_id AS comment_id, CAST(d.doc_id % 20 AS BIGINT) AS post_id, CAST(l.quality AS DOUBLE) * 10.0 AS quality_score
+FROM documents d JOIN labels l USING (doc_id) WHERE coalesce(CAST(l.quality AS DOUBLE) * 10.0, 0) >= 5.0"""))
+def q_filter_quality_labels(spark, d):
+    """RK3 with the labels table as the quality source (quality 0/1 scaled to 0/10)."""
+    v = _v(spark, d)
+    c = v.threads().join(v.t("labels").select(F.col("doc_id").alias("comment_id"),
+                                              (F.col("quality").cast("double") * 10.0).alias("quality_score")),
+                         "comment_id")
+    return R.filter_quality(c, 5.0).select("comment_id", "post_id", "quality_score")
