@@ -165,3 +165,29 @@ def test_pipeline_with_python_annotator(spark):
     with_comments = [r for r in rows if r.report.comments_analysis.total_processed > 0]
     assert with_comments and all(r.report.comments_analysis.intent_distribution for r in with_comments)
     assert set().union(*[set(r.report.comments_analysis.intent_distribution) for r in with_comments]) <= {"ASK"}
+
+
+def test_stream_into_pipeline_and_memo(spark, tmp_path):
+    """ST1 + PL2/PL1 + M3: each micro-batch's requested posts are analysed and upserted."""
+    from threadlens.operators.memo import MemoStore
+    from threadlens.plans.q_report import _posts
+    from threadlens.streaming import dedupe as ST
+    v = Views(spark, SF_SMALL)
+    posts = _posts(spark, SF_SMALL)
+    src = tmp_path / "in"
+    urls = [("https://reddit.com/r/src3/comments/3/", "2024-01-01 00:00:00"),
+            ("https://reddit.com/r/src4/comments/4/", "2024-01-01 01:00:00"),
+            ("https://reddit.com/r/src3/comments/3/", "2024-01-01 02:00:00"),
+            ("https://example.com/no-post", "2024-01-01 03:00:00")]
+    for i, row in enumerate(urls):
+        spark.createDataFrame([row], "post_url string, s string") \
+            .select("post_url", F.to_timestamp("s").alias("requested_at")).coalesce(1) \
+            .write.parquet(str(src / f"part={i}"))
+    store = MemoStore(spark, str(tmp_path / "memo"))
+    proc = ST.analyze_batches(posts, v.threads(), store, "2024-01-31T00:00:00")
+    q = ST.start(spark, str(src), str(tmp_path / "ckpt"), proc, schema=ST.REQUEST_SCHEMA + ", part INT",
+                 max_files_per_trigger=2)
+    q.awaitTermination(300)
+    got = {r.url: r.version for r in store.read().collect()}
+    assert set(got) == {"https://reddit.com/r/src3/comments/3/", "https://reddit.com/r/src4/comments/4/"}
+    assert '"post_id":"3"' in store.read().filter("url LIKE '%/3/'").first().enriched_data

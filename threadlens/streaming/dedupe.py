@@ -42,3 +42,36 @@ def start(spark: SparkSession, source: str, checkpoint: str, process: Callable[[
          .writeStream.option("checkpointLocation", checkpoint).foreachBatch(process))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def analyze_batches(posts: DataFrame, comments: DataFrame, store, as_of: str, params=None,
+                    annotator="rule", url_col: str = "post_url") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: analyse the posts a micro-batch asks for (PL2 -> PL1) and
+    upsert their reports into the memo store (M3), keyed by the requested URL.
+
+    ``posts`` / ``comments`` are the tables the reports are computed from; ``store`` is a
+    ``threadlens.operators.memo.MemoStore``.
+    """
+    from pyspark.sql import functions as F
+
+    from threadlens.functions.urls import post_id
+    from threadlens.params import DEFAULT
+    from threadlens.plans import pipeline as PL
+
+    p = params or DEFAULT
+
+    def process(batch: DataFrame, epoch: int) -> None:
+        wanted = (batch.select(F.col(url_col).alias("post_url"), post_id(F.col(url_col)).alias("_pid"))
+                       .filter(F.col("_pid").isNotNull()))
+        ids = wanted.select(F.col("_pid").alias("_k")).distinct()
+        sel_posts = posts.join(ids, posts["post_id"].cast("string") == ids["_k"], "left_semi")
+        sel_comments = comments.join(ids, comments["post_id"].cast("string") == ids["_k"], "left_semi")
+        reports = PL.analyze(sel_posts, sel_comments, as_of, p, annotator=annotator)
+        rows = (wanted.join(reports.select(F.col("post_id").cast("string").alias("_pid"), "report", "markdown"),
+                            "_pid")
+                      .select(F.col("post_url").alias("url"), F.to_json("report").alias("enriched_data"),
+                              "markdown", F.lit(as_of).cast("timestamp_ntz").alias("cached_at"),
+                              F.lit(epoch).cast("bigint").alias("version")))
+        store.upsert(rows, "url", ("cached_at", "version"))
+
+    return process
