@@ -91,3 +91,10 @@ def test_url_ids(spark):
     assert [x[0] for x in df2.select(U.slug_title_mismatch("k", "t")).collect()] == [False, True, False]
     assert one(spark, U.source_domain("x"), [("http://user@news.example.org:8080/a",)]) == \
         ["user@news.example.org:8080"]
+
+
+def test_urls_the_uri_parser_rejects(spark):
+    df = spark.createDataFrame([("https://www.reddit.com/r/a b/comments/xyz12/some slug/",), ("not a url",)], "x string")
+    r = df.select(U.post_id("x"), U.source_domain("x")).collect()
+    assert (r[0][0], r[0][1]) == ("xyz12", "www.reddit.com")
+    assert (r[1][0], r[1][1]) == (None, "")

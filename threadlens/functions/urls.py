@@ -20,13 +20,20 @@ SIMPLE_ID_RE = r"/comments/([a-z0-9]+)"
 VALID_URL_RE = r"^https?://(www\.)?reddit\.com/r/\w+/comments/[a-z0-9]+/"
 
 
+# Lenient split of scheme://authority/path for URLs the URI parser rejects (spaces, etc.).
+AUTHORITY_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+PATH_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+
+
 def url_path(url) -> Column:
-    return F.try_parse_url(_c(url), F.lit("PATH"))
+    u = _c(url)
+    return F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.regexp_extract(u, PATH_RE, 1))
 
 
 def source_domain(url) -> Column:
-    """URL7: the network location, keeping user info and port."""
-    return F.try_parse_url(_c(url), F.lit("AUTHORITY"))
+    """URL7: the network location, keeping user info and port ('' when there is none)."""
+    u = _c(url)
+    return F.coalesce(F.try_parse_url(u, F.lit("AUTHORITY")), F.regexp_extract(u, AUTHORITY_RE, 1))
 
 
 def post_id(url) -> Column:
