@@ -46,6 +46,11 @@ def save_reports(reports: DataFrame, path: str, output_format: str = "both",
         raise ValueError(f"output_format must be one of {FORMATS}")
     if not save_to_file:
         return []
+    if output_format == "both":
+        # both sinks read one reliable checkpoint (shared folder) instead of computing twice
+        from threadlens.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(reports.sparkSession)
+        reports = reports.checkpoint(eager=True)
     written = []
     if output_format in ("json", "both"):
         write_reports_json(reports.drop("markdown") if "markdown" in reports.columns else reports,
