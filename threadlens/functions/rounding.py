@@ -18,7 +18,7 @@ def _c(x) -> Column:
 def half_even_div(num, den) -> Column:
     """round_half_even(num / den) for non-negative integer columns, as BIGINT."""
     num, den = _c(num).cast("bigint"), _c(den).cast("bigint")
-    q = F.floor(num / den).cast("bigint")
+    q = F.floor(F.try_divide(num, den)).cast("bigint")
     r = num - q * den
     bump = (r * 2 > den) | ((r * 2 == den) & (q % 2 == 1))
     return F.when(den > 0, q + F.when(bump, 1).otherwise(0))

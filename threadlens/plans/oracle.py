@@ -28,13 +28,13 @@ SELECT doc_id % 20 AS post_id, doc_id AS comment_id,
 FROM documents""", []),
     "v_enriched": ("""
 SELECT user_id AS post_id, event_id AS comment_id, event_id AS seq, ts AS created_utc,
-       CAST(props->>'$.k' AS BIGINT) AS score,
+       TRY_CAST(props->>'$.k' AS BIGINT) AS score,
        least(value / 10, 10.0) AS quality_score, least(value / 25, 10.0) AS relevance_score,
        CASE WHEN event_type = 'error' THEN NULL ELSE upper(event_type) END AS intent_primary,
        CASE WHEN event_type IN ('purchase', 'signup') THEN 'supportive' WHEN event_type = 'click' THEN 'critical'
             WHEN event_type = 'view' THEN 'neutral' END AS toward_op,
        CASE WHEN event_type = 'purchase' THEN 'helpful' WHEN event_type = 'click' THEN 'cynical' END AS overall_tone,
-       event_type || '-' || CAST(CAST(props->>'$.k' AS BIGINT) % 7 AS VARCHAR) AS insight
+       event_type || '-' || CAST(TRY_CAST(props->>'$.k' AS BIGINT) % 7 AS VARCHAR) AS insight
 FROM events""", []),
     "v_posts": ("""
 SELECT doc_id AS post_id, substring(text, 1, 60) AS title, text AS selftext, source AS subreddit, lang,

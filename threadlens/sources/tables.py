@@ -97,7 +97,7 @@ class Views:
     def enriched(self) -> DataFrame:
         """v_enriched: annotated comments; the 'error' event plays a missing label."""
         e = self.t("events")
-        k = F.get_json_object("props", "$.k").cast("bigint")
+        k = F.get_json_object("props", "$.k").try_cast("bigint")
         et = F.col("event_type")
         return e.select(
             F.col("user_id").alias("post_id"), F.col("event_id").alias("comment_id"),
