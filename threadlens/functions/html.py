@@ -7,6 +7,7 @@ text nodes are joined by single spaces; entities are decoded with '&amp;' last.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,3 +91,89 @@ def extract_page(df, url_col: str = "url", html_col: str = "html", cut: int = 10
              .withColumn("source_domain", source_domain(url_col))
              .withColumn("found", F.col("_main").isNotNull())
              .drop("_clean", "_main", "_t"))
+
+
+# ---------------------------------------------------------------- parser-based variant (opt-in)
+
+class _Node:
+    __slots__ = ("tag", "children")
+
+    def __init__(self, tag):
+        self.tag, self.children = tag, []
+
+
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+def _parse_page(html: str, cut: int = 10000):
+    """Title and main text of one page with the stdlib HTML parser (same rules as TX5)."""
+    from html.parser import HTMLParser
+
+    root = _Node(None)
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack = [root]
+
+        def handle_starttag(self, tag, attrs):
+            n = _Node(tag)
+            self.stack[-1].children.append(n)
+            if tag not in _VOID:
+                self.stack.append(n)
+
+        def handle_endtag(self, tag):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag == tag:
+                    del self.stack[i:]
+                    break
+
+        def handle_data(self, data):
+            self.stack[-1].children.append(data)
+
+    p = P()
+    p.feed(html or "")
+    p.close()
+
+    def find(node, tag):
+        for c in node.children:
+            if isinstance(c, _Node):
+                if c.tag == tag:
+                    return c
+                f = find(c, tag)
+                if f is not None:
+                    return f
+        return None
+
+    def texts(node, out, skip=()):
+        for c in node.children:
+            if isinstance(c, str):
+                out.append(c)
+            elif c.tag not in skip:
+                texts(c, out, skip)
+        return out
+
+    t = find(root, "title")
+    title = "".join(texts(t, [])).strip() if t is not None else ""
+    main = next((m for m in (find(root, tag) for tag in MAIN_TAGS) if m is not None), None)
+    if main is None:
+        return title, None
+    parts = [s.strip() for s in texts(main, [], set(REMOVED_TAGS))]
+    text = " ".join(" ".join(x for x in parts if x).split())
+    return title, (text[:cut] + "...") if len(text) > cut else text
+
+
+def extract_page_parsed(df, url_col: str = "url", html_col: str = "html", cut: int = 10000):
+    """TX5 through Python's stdlib HTML parser in Arrow batches (opt-in for malformed pages
+    and character references beyond the native entity table). Same output columns as
+    ``extract_page``."""
+
+    @F.pandas_udf("title string, text string")
+    def parse(h: pd.Series) -> pd.DataFrame:
+        rows = [_parse_page(x, cut) for x in h]
+        return pd.DataFrame(rows, columns=["title", "text"])
+
+    x = df.withColumn("_p", parse(F.col(html_col)))
+    return (x.withColumn("title", F.col("_p.title")).withColumn("text", F.col("_p.text"))
+             .withColumn("source_domain", source_domain(url_col))
+             .withColumn("found", F.col("_p.text").isNotNull()).drop("_p"))

@@ -341,3 +341,12 @@ def q_output_name(spark, d):
     p = P.normalize_posts(_v(spark, d).raw_posts(), id_col="post_id")
     return p.select("id", output_name("id", "json", "created_utc").alias("json_name"),
                     output_name("id", "md").alias("md_name"))
+
+
+@register("extract_page_parsed", sql(f"""
+SELECT page_id, {page_title('html')} AS title, {page_text('html')} AS text, {authority('url')} AS source_domain
+FROM pages"""))
+def q_extract_page_parsed(spark, d):
+    """TX5 through the stdlib-parser variant (Arrow pandas_udf); same oracle as extract_page."""
+    from threadlens.functions.html import extract_page_parsed
+    return extract_page_parsed(_v(spark, d).t("pages")).select("page_id", "title", "text", "source_domain")
