@@ -98,3 +98,29 @@ def test_urls_the_uri_parser_rejects(spark):
     r = df.select(U.post_id("x"), U.source_domain("x")).collect()
     assert (r[0][0], r[0][1]) == ("xyz12", "www.reddit.com")
     assert (r[1][0], r[1][1]) == (None, "")
+
+
+def test_normalize_post_and_comment(spark):
+    import datetime as dt
+    from threadlens.sources import posts as P
+    raw = spark.createDataFrame(
+        [("abc123", "Test Post", "Test content", "test_user", "test", 100, 0.95, 50, 1234567890,
+          "https://reddit.com/r/test/comments/abc123", "/r/test/comments/abc123", True, None, False, False,
+          False, False), ("x", "T", "", None, "s", 1, 1.0, 0, 0, "https://v.redd.it/q", "/r/s/comments/x", False,
+                          None, False, False, False, False)],
+        "id string, title string, selftext string, author string, subreddit string, score bigint, "
+        "upvote_ratio double, num_comments bigint, created_epoch bigint, url string, permalink string, "
+        "is_self boolean, link_flair_text string, over_18 boolean, spoiler boolean, stickied boolean, locked boolean")
+    r = P.normalize_posts(raw).orderBy("id").collect()
+    a = r[0]
+    assert (a.id, a.title, a.selftext, a.author, a.subreddit, a.score) == \
+        ("abc123", "Test Post", "Test content", "test_user", "test", 100)
+    assert a.permalink == "https://reddit.com/r/test/comments/abc123" and a.content_type == "text"
+    assert a.created_utc == dt.datetime(2009, 2, 13, 23, 31, 30)
+    assert (r[1].author, r[1].content_type) == ("[deleted]", "video")
+    c = spark.createDataFrame([("c1", "Test comment", None, 50, 1234567890, False, False, 0.0, 0),
+                               ("c2", "b", "u", 1, 0, True, False, 1700000000.0, 1)],
+                              "id string, body string, author string, score bigint, created_epoch bigint, "
+                              "is_submitter boolean, stickied boolean, edited double, controversiality int")
+    got = {x.id: (x.author, x.edited) for x in P.normalize_comments(c).collect()}
+    assert got == {"c1": ("[deleted]", False), "c2": ("u", True)}
