@@ -13,8 +13,6 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Windows and joins keyed by (post_id, x) may reuse a post_id partitioning.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
