@@ -51,24 +51,25 @@ def build_tree(comments: DataFrame, max_depth: int = 5, max_roots: int | None =
     keyed = comments.select(post, cid, parent, sibling_key(order).alias("_key"))
     anc = keyed.select(F.col(post).alias("_ap"), F.col(cid).alias("_aid"),
                        F.col(parent).alias("_apar"), F.col("_key").alias("_akey"))
+    # Rows that reached their root have no ancestor to look up. Their join key (_jk) is their
+    # own id, so a thread's finished rows spread over all tasks instead of hashing to
+    # (post_id, null); the non-equi guard on _cur keeps them from matching.
     x = keyed.select(post, cid, F.array("_key").alias("path"), F.col(parent).alias("_cur"),
-                     F.col(cid).alias("root_id"), F.lit(0).alias("depth"), F.lit(True).alias("_ok"))
+                     F.col(cid).alias("root_id"), F.lit(0).alias("depth"), F.lit(True).alias("_ok"),
+                     F.coalesce(F.col(parent), F.col(cid)).alias("_jk"))
     for _ in range(max_depth):
-        # Rows that reached their root have no ancestor to look up. Their join key is their
-        # own id (so a thread's finished rows spread over all tasks instead of hashing to
-        # (post_id, null)), and the non-equi guard keeps them from matching.
-        probe = x.withColumn("_key", F.coalesce(F.col("_cur"), F.col(cid)))
-        j = probe.join(anc, (probe[post] == anc["_ap"]) & (probe["_key"] == anc["_aid"])
-                       & probe["_cur"].isNotNull(), "left")
+        j = x.join(anc, (x[post] == anc["_ap"]) & (x["_jk"] == anc["_aid"]) & x["_cur"].isNotNull(), "left")
         up = F.col("_cur").isNotNull()
         hit = up & F.col("_aid").isNotNull()
+        nxt = F.when(up, F.col("_apar"))
         x = j.select(post, cid,
                      F.when(hit, F.concat(F.array("_akey"), F.col("path"))).otherwise(F.col("path")).alias("path"),
-                     F.when(up, F.col("_apar")).alias("_cur"),
+                     nxt.alias("_cur"),
                      F.when(hit, F.col("_aid")).otherwise(F.col("root_id")).alias("root_id"),
                      (F.col("depth") + F.when(hit, 1).otherwise(0)).alias("depth"),
-                     (F.col("_ok") & ~(up & ~hit)).alias("_ok"))
-    reach = x.filter(F.col("_cur").isNull() & F.col("_ok")).drop("_cur", "_ok")
+                     (F.col("_ok") & ~(up & ~hit)).alias("_ok"),
+                     F.coalesce(nxt, F.col(cid)).alias("_jk"))
+    reach = x.filter(F.col("_cur").isNull() & F.col("_ok")).drop("_cur", "_ok", "_jk")
     if max_roots is not None:
         roots = (reach.filter(F.col("depth") == 0)
                       .withColumn("_r", F.row_number().over(Window.partitionBy(post).orderBy("path")))

@@ -50,18 +50,31 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True
     return spread(df) if spread_small else df
 
 
+def _memo(method):
+    """Build a view's (lazy) DataFrame once per Views instance."""
+    def wrapper(self):
+        key = method.__name__
+        if key not in self._built:
+            self._built[key] = method(self)
+        return self._built[key]
+    wrapper.__name__, wrapper.__doc__ = method.__name__, method.__doc__
+    return wrapper
+
+
 class Views:
     """Thread-shaped views over one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._tables: dict[str, DataFrame] = {}
+        self._built: dict[str, DataFrame] = {}
 
     def t(self, name: str) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = table(self.spark, self.sf_dir, name)
         return self._tables[name]
 
+    @_memo
     def comments(self) -> DataFrame:
         """v_comments: a forest with two roots per thread."""
         c = self.t("conversations")
@@ -77,12 +90,14 @@ class Views:
             (F.col("role") == "user").alias("is_submitter"),
             ((conv * 37 + turn * 11) % 400 - 40).alias("score"))
 
+    @_memo
     def chain(self) -> DataFrame:
         """v_chain: each turn replies to the previous one (depth reaches 7)."""
         return self.comments().withColumn(
             "parent_id", F.when(F.col("seq") == 0, F.lit(None).cast("bigint"))
                           .otherwise(F.col("comment_id") - 1))
 
+    @_memo
     def threads(self) -> DataFrame:
         """v_threads: 20 large threads over documents; reply chains 8 deep (depth cut at 5)."""
         d = self.t("documents")
@@ -94,6 +109,7 @@ class Views:
             step.alias("seq"), F.concat(F.lit("u"), (i % 97).cast("string")).alias("author"),
             F.col("text").alias("body"), ((i * 37) % 400 - 40).alias("score"))
 
+    @_memo
     def enriched(self) -> DataFrame:
         """v_enriched: annotated comments; the 'error' event plays a missing label."""
         e = self.t("events")
@@ -113,6 +129,7 @@ class Views:
              .when(et == "click", F.lit("cynical")).alias("overall_tone"),
             F.concat(et, F.lit("-"), (k % 7).cast("string")).alias("insight"))
 
+    @_memo
     def posts(self) -> DataFrame:
         """v_posts: one post per document."""
         d = self.t("documents")
@@ -135,6 +152,7 @@ class Views:
             (i % 3 == 0).alias("is_self"), (i % 29 == 0).alias("is_video"),
             (i % 23 == 0).alias("is_gallery"), url.alias("url"))
 
+    @_memo
     def memo(self) -> DataFrame:
         """v_memo: a memo log with several versions per key."""
         e = self.t("events")
@@ -143,6 +161,7 @@ class Views:
             F.col("props").alias("payload"), F.col("ts").alias("cached_at"),
             F.col("event_id").alias("version"))
 
+    @_memo
     def raw_posts(self) -> DataFrame:
         """v_raw_posts: v_posts as an API dump (epoch seconds, relative permalink)."""
         p = self.posts()
@@ -157,6 +176,7 @@ class Views:
             (F.col("post_id") % 31 == 0).alias("stickied"),
             (F.col("post_id") % 37 == 0).alias("locked"))
 
+    @_memo
     def gallery(self) -> DataFrame:
         """v_gallery: gallery image URLs for gallery posts (1 to 7 images, in order)."""
         p = self.posts().filter("is_gallery")
@@ -166,6 +186,7 @@ class Views:
             lambda k: F.concat(F.lit("https://i.redd.it/g"), F.col("post_id").cast("string"),
                                F.lit("_"), k.cast("string"), F.lit(".jpg"))).alias("gallery_data"))
 
+    @_memo
     def ocr(self) -> DataFrame:
         """v_ocr: OCR memo for post images and gallery images (every third gallery image has none)."""
         p = self.posts()
@@ -177,6 +198,7 @@ class Views:
              .select("image_url", F.substring("selftext", F.col("k") * 100 + 1, 80).alias("extracted_text")))
         return post_img.unionByName(g)
 
+    @_memo
     def links(self) -> DataFrame:
         """v_links: link memo rows, one page per story URL."""
         from threadlens.functions.html import extract_page
