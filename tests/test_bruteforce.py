@@ -170,3 +170,45 @@ def test_response_parsing_random(spark):
     got = {r.i: r.j for r in df.select("i", extract_json_text("t").alias("j")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == ref_extract(t), repr(t)
+
+
+def test_stats_random(spark):
+    from collections import Counter
+    from threadlens.operators import stats as S
+    rnd = random.Random(29)
+    labels = ["supportive", "critical", "neutral", None]
+    intents = ["ASK", "ADVICE", "STORY", "JOKE", "META", "RANT", None]
+    rows = []
+    for p in range(30):
+        for s in range(rnd.randint(1, 40)):
+            rows.append((p, s, rnd.choice(labels), rnd.choice(intents), rnd.choice([None, 0.5, 2.0, 5.0, 9.5]),
+                         [rnd.choice(["Tip", "tip ", "Other", " other", "x"]) for _ in range(rnd.randint(0, 3))]))
+    df = spark.createDataFrame(rows, "post_id bigint, seq bigint, toward_op string, intent_primary string, "
+                                     "quality_score double, l array<string>")
+    by_post = {}
+    for r in rows:
+        by_post.setdefault(r[0], []).append(r)
+    sent = {(r.post_id, r.toward_op): r.n for r in S.sentiment_distribution(df).collect()}
+    themes = {}
+    for r in S.theme_percentages(df).orderBy("post_id", "rank").collect():
+        themes.setdefault(r.post_id, []).append((r.theme, r.pct))
+    qc = {r.post_id: (r.total_processed, r.high_quality_count, r.high_quality_percentage)
+          for r in S.quality_counts(df, 2.0).collect()}
+    merged = {}
+    for r in S.merge_insights(df, "l", "seq").orderBy("post_id", "first_src", "first_pos").collect():
+        merged.setdefault(r.post_id, []).append(r.insight)
+    for p, rs in by_post.items():
+        c = Counter(r[2] or "neutral" for r in rs)
+        assert {k: v for (pp, k), v in sent.items() if pp == p} == dict(c)
+        ic = Counter(r[3] or "UNKNOWN" for r in rs)
+        top = sorted(ic.items(), key=lambda kv: (-kv[1], kv[0]))[:5]
+        assert themes[p] == [(k, round(Fraction(1000 * v, len(rs))) / 10) for k, v in top]
+        hq = sum(1 for r in rs if (r[4] or 0) >= 2.0)
+        assert qc[p] == (len(rs), hq, round(Fraction(1000 * hq, len(rs))) / 10)
+        seen, first = set(), []
+        for r in sorted(rs, key=lambda r: r[1]):
+            for x in r[5]:
+                if x.lower().strip() not in seen:
+                    seen.add(x.lower().strip())
+                    first.append(x)
+        assert merged.get(p, []) == first
