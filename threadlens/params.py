@@ -20,7 +20,9 @@ class Params:
     markdown_top_k: int = 5          # RK4 in the Markdown rendering
     themes_top_k: int = 5            # AG4
     output_format: str = "both"      # SNK3: json | markdown | both
-    max_concurrent_calls: int = 3    # PL3: partitions feeding the annotator
+    # PL3: partitions feeding a Python annotator, i.e. at most this many concurrent model
+    # calls (the reference used 3). None keeps Spark's partitioning (no cap).
+    max_concurrent_calls: int | None = None
 
 
 DEFAULT = Params()
