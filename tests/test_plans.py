@@ -202,3 +202,10 @@ def test_extract_page_parser_variant_agrees(spark):
     odd = spark.createDataFrame([("u", "<title>A &#233; B</title><main>x &#x41; <p>y<p>z</main>")], "url string, html string")
     r = extract_page_parsed(odd).first()
     assert (r.title, r.text) == ("A é B", "x A y z")
+
+
+def test_sql_over_registered_views(spark):
+    names = Views(spark, SF_SMALL).register()
+    assert "v_enriched" in names and "v_threads" in names
+    r = spark.sql("SELECT post_id, count(*) AS n FROM v_enriched GROUP BY post_id ORDER BY n DESC LIMIT 1").first()
+    assert r.n > 0

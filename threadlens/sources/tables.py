@@ -69,6 +69,19 @@ class Views:
         self._tables: dict[str, DataFrame] = {}
         self._built: dict[str, DataFrame] = {}
 
+    VIEW_NAMES = ["comments", "chain", "threads", "enriched", "posts", "memo", "raw_posts", "gallery", "ocr", "links"]
+
+    def register(self, prefix: str = "v_") -> list[str]:
+        """Register the views (and the raw tables) as temporary views for Spark SQL."""
+        names = []
+        for n in self.VIEW_NAMES:
+            getattr(self, n)().createOrReplaceTempView(prefix + n)
+            names.append(prefix + n)
+        for t in ("events", "documents", "pages", "conversations", "labels"):
+            self.t(t).createOrReplaceTempView(t)
+            names.append(t)
+        return names
+
     def t(self, name: str) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = table(self.spark, self.sf_dir, name)
