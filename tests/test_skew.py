@@ -88,3 +88,20 @@ def test_hot_thread_spreads_in_tree_joins(spark):
     key = F.coalesce(F.col("parent_id"), F.col("comment_id"))
     parts = df.repartition(8, "post_id", key).select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts == 8
+
+
+def test_invariant_to_shuffle_partitions(spark):
+    """Same results with 1 and 64 shuffle partitions (positions, top-k, sampling, aggregates)."""
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    names = ["tree_preorder", "pre_filter", "apply_sampling", "theme_percentages", "best_comment", "memo_upsert"]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    results = {}
+    try:
+        for n in ("1", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results[n] = {q: sorted(map(tuple, E.queries()[q](spark, SF_SMALL).collect())) for q in names}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for q in names:
+        assert results["1"][q] == results["64"][q], q
