@@ -209,3 +209,19 @@ def test_sql_over_registered_views(spark):
     assert "v_enriched" in names and "v_threads" in names
     r = spark.sql("SELECT post_id, count(*) AS n FROM v_enriched GROUP BY post_id ORDER BY n DESC LIMIT 1").first()
     assert r.n > 0
+
+
+def test_cli_analyze_and_batch(spark, tmp_path):
+    from threadlens.__main__ import main
+    from threadlens.plans.q_report import _posts
+    v = Views(spark, SF_SMALL)
+    _posts(spark, SF_SMALL).write.parquet(str(tmp_path / "posts"))
+    v.threads().write.parquet(str(tmp_path / "comments"))
+    (tmp_path / "urls.txt").write_text("# header\nhttps://reddit.com/r/src3/comments/3/\n\n  https://example.com/x  \n")
+    common = ["--posts", str(tmp_path / "posts"), "--comments", str(tmp_path / "comments"),
+              "--as-of", "2024-01-31T00:00:00"]
+    assert main(["analyze", *common, "--out", str(tmp_path / "out"), "--format", "json"]) == 0
+    assert spark.read.json(str(tmp_path / "out" / "json")).count() == v.posts().count()
+    assert main(["batch", *common, "--out", str(tmp_path / "b"), "--urls", str(tmp_path / "urls.txt")]) == 1
+    rows = {r.post_url: r.success for r in spark.read.json(str(tmp_path / "b" / "batch")).collect()}
+    assert rows == {"https://reddit.com/r/src3/comments/3/": True, "https://example.com/x": False}
