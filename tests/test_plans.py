@@ -225,3 +225,26 @@ def test_cli_analyze_and_batch(spark, tmp_path):
     assert main(["batch", *common, "--out", str(tmp_path / "b"), "--urls", str(tmp_path / "urls.txt")]) == 1
     rows = {r.post_url: r.success for r in spark.read.json(str(tmp_path / "b" / "batch")).collect()}
     assert rows == {"https://reddit.com/r/src3/comments/3/": True, "https://example.com/x": False}
+
+
+def test_post_annotator_and_synthesizer_hooks(spark):
+    from threadlens.plans import pipeline as PL
+    from threadlens.plans.q_report import _posts
+
+    def post_model(prompts):
+        return ['{"core_issue": "issue", "summaries": {"one_sentence": "one", "analytical": "deep"}}'
+                if "Subreddit: r/src1" in p else "no idea" for p in prompts]
+
+    def synth(x):   # native synthesizer: response text from the thread's columns
+        return F.concat(F.lit('{"executive_summary": "n='), F.coalesce(F.col("total_processed"), F.lit(0)).cast("string"),
+                        F.lit('", "community_consensus": {"validation_status": "validated"}}'))
+
+    rep = PL.analyze(_posts(spark, SF_SMALL), Views(spark, SF_SMALL).threads(), "2024-01-31T00:00:00",
+                     post_annotator=post_model, synthesizer=synth)
+    rows = {r.post_id: r for r in rep.collect()}
+    r1, r2 = rows[1], rows[2]
+    assert r1.report.post_analysis.core_issue == "issue" and r1.report.post_analysis.summaries.analytical == "deep"
+    assert r2.report.post_analysis.core_issue == "Unable to analyze"
+    s = r1.report.synthesis
+    assert s.executive_summary.startswith("n=") and s.community_consensus.validation == "validated"
+    assert s.context == "Unavailable" or s.context is None
