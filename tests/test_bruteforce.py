@@ -212,3 +212,42 @@ def test_stats_random(spark):
                     seen.add(x.lower().strip())
                     first.append(x)
         assert merged.get(p, []) == first
+
+
+def ref_assemble(ct, title, body, ocr, gallery, link):
+    parts = []
+    if title:
+        parts.append(f"Title: {title}")
+    if ct == "text" and body:
+        parts.append(f"Body: {body}")
+    elif ct == "image" and ocr:
+        parts.append(f"Image Text: {ocr}")
+    elif ct == "gallery":
+        for i, t in enumerate((gallery or [])[:5]):
+            if t:
+                parts.append(f"Image {i + 1} Text: {t}")
+    elif ct == "link" and link is not None:
+        parts.append(f"Linked Article Title: {link[0] or ''}")
+        if link[1]:
+            parts.append(f"Article Content: {link[1][:5000]}")
+    elif ct == "video":
+        parts.append("[Video content - unsupported for text extraction]")
+    return "\n\n".join(parts)
+
+
+def test_assemble_text_random(spark):
+    from threadlens.functions.content import assemble_text
+    rnd = random.Random(31)
+    maybe = lambda: rnd.choice([None, "", "some text", "x" * rnd.randint(1, 20)])
+    rows = []
+    for i in range(300):
+        ct = rnd.choice(["text", "image", "gallery", "link", "video"])
+        gal = None if rnd.random() < 0.3 else [maybe() for _ in range(rnd.randint(0, 8))]
+        link = None if rnd.random() < 0.3 else (maybe(), rnd.choice([None, "", "a" * rnd.randint(1, 6000)]))
+        rows.append((i, ct, maybe(), maybe(), maybe(), gal, link is not None,
+                     link[0] if link else None, link[1] if link else None))
+    df = spark.createDataFrame(rows, "i int, ct string, t string, b string, o string, g array<string>, "
+                                     "lf boolean, lt string, lc string")
+    got = {r.i: r.x for r in df.select("i", assemble_text("ct", "t", "b", "o", "g", "lf", "lt", "lc").alias("x")).collect()}
+    for (i, ct, t, b, o, g, lf, lt, lc) in rows:
+        assert got[i] == ref_assemble(ct, t, b, o, g, (lt, lc) if lf else None), rows[i]
