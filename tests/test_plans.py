@@ -248,3 +248,42 @@ def test_post_annotator_and_synthesizer_hooks(spark):
     s = r1.report.synthesis
     assert s.executive_summary.startswith("n=") and s.community_consensus.validation == "validated"
     assert s.context == "Unavailable" or s.context is None
+
+
+def _render_markdown(r):
+    """The report's Markdown, line by line as the reference builds it (Python rendering)."""
+    md, pa, ca, sy = r.metadata, r.post_analysis, r.comments_analysis, r.synthesis
+    out = ["# Reddit Post Analysis Report\n", f"**Subreddit:** r/{md.subreddit}", f"**Author:** u/{md.author}",
+           f"**Score:** {md.score} ({(md.upvote_ratio or 0) * 100:.0f}% upvoted)", f"**Comments:** {md.comment_count}",
+           f"**Posted:** {md.timestamp}", f"**Analyzed:** {md.analysis_timestamp}\n", "## Executive Summary\n",
+           sy.executive_summary, "", "## Post Analysis\n", f"**Type:** {pa.content_type}",
+           f"**Core Issue:** {pa.core_issue}\n", "### Summary", pa.summaries.analytical or "", "", "### Sentiment",
+           f"- **Primary:** {pa.sentiment.primary or 'N/A'}", f"- **Intensity:** {pa.sentiment.intensity or 'N/A'}",
+           f"- **Tone:** {pa.sentiment.emotional_tone or 'N/A'}\n", "## Community Response\n",
+           f"**Validation Status:** {sy.community_consensus.validation_status or 'N/A'}",
+           f"**Agreement Level:** {sy.community_consensus.agreement_level or 'N/A'}\n"]
+    if ca.theme_percentages:
+        out.append("### Comment Themes\n")
+        out += [f"- **{k}**: {v}%" for k, v in ca.theme_percentages.items()]
+        out.append("")
+    if sy.key_insights:
+        out.append("### Key Insights\n")
+        out += [f"- {v.toPython() if hasattr(v, 'toPython') else v}" for v in sy.key_insights]
+        out.append("")
+    if sy.recommended_actions:
+        out.append("### Recommended Actions\n")
+        out += [f"- {a}" for a in sy.recommended_actions]
+        out.append("")
+    out.append("## Top Comments\n")
+    for i, c in enumerate(ca.top_comments[:5], 1):
+        out += [f"### Comment {i} (Score: {c.score or 0})", f"**Intent:** {c.intent_primary or 'N/A'}",
+                f"**Sentiment toward OP:** {c.sentiment.toward_op or 'N/A'}", f"\n{(c.body or '')[:500]}...\n"]
+    return "\n".join(out)
+
+
+def test_markdown_matches_python_rendering(spark):
+    from threadlens.plans.q_report import _reports
+    rows = _reports(spark, SF_SMALL).collect()
+    assert any(r.report.comments_analysis.top_comments for r in rows)
+    for r in rows:
+        assert r.markdown == _render_markdown(r.report), r.post_id
