@@ -251,3 +251,54 @@ def test_assemble_text_random(spark):
     got = {r.i: r.x for r in df.select("i", assemble_text("ct", "t", "b", "o", "g", "lf", "lt", "lc").alias("x")).collect()}
     for (i, ct, t, b, o, g, lf, lt, lc) in rows:
         assert got[i] == ref_assemble(ct, t, b, o, g, (lt, lc) if lf else None), rows[i]
+
+
+def test_memo_random(spark):
+    import datetime as dt
+    from threadlens.operators import memo as M
+    rnd = random.Random(41)
+    base = dt.datetime(2024, 1, 20)
+    as_of = dt.datetime(2024, 1, 31)
+
+    def log(n, v0):
+        out = []
+        for v in range(n):
+            ts = None if rnd.random() < 0.05 else base + dt.timedelta(hours=rnd.randint(0, 24 * 12))
+            out.append((f"k{rnd.randint(0, 60)}", f"p{v0 + v}", ts, v0 + v))
+        return out
+
+    old, new = log(400, 0), log(150, 1000)
+    schema = "url string, payload string, cached_at timestamp_ntz, version bigint"
+    o, n = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+
+    def latest(rows):
+        best = {}
+        for r in rows:
+            key = (r[2] is not None, r[2] or dt.datetime.min, r[3])
+            if r[0] not in best or key > best[r[0]][0]:
+                best[r[0]] = (key, r)
+        return {k: v[1] for k, v in best.items()}
+
+    cur = latest(old)
+    got = {r.url: (r.payload, r.version) for r in M.current(o, "url", ("cached_at", "version")).collect()}
+    assert got == {k: (v[1], v[3]) for k, v in cur.items()}
+    up = dict(cur)
+    up.update(latest(new))
+    got = {r.url: r.payload for r in M.memo_upsert(o, n, "url", ("cached_at", "version")).collect()}
+    assert got == {k: v[1] for k, v in up.items()}
+
+    def expired(ts, hours=24):
+        return ts is None or ts < as_of - dt.timedelta(hours=hours)
+
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(0, 80)], "url string")
+    state = M.current(o, "url", ("cached_at", "version"))
+    look = {r.url: (r.hit, r.payload) for r in M.memo_lookup(keys, state, "url", as_of, 24).collect()}
+    for i in range(80):
+        k = f"k{i}"
+        live = k in cur and not expired(cur[k][2])
+        assert look[k] == ((True, cur[k][1]) if live else (False, None)), k
+    miss = {r.url for r in M.memo_misses(keys, state, "url", as_of, 24).collect()}
+    assert miss == {k for k, v in look.items() if not v[0]}
+    _, counts = M.memo_purge({"posts": state}, as_of, 24)
+    c = counts.first()
+    assert (c.purged, c.kept) == (sum(expired(v[2]) for v in cur.values()), sum(not expired(v[2]) for v in cur.values()))
