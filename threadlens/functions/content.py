@@ -73,6 +73,10 @@ def assemble_text(content_type, title, selftext, image_text, gallery_texts,
                   article_cut: int = 5000) -> Column:
     """TX1: the post's text, parts joined by a blank line.
 
+    Fixed values: the part labels ("Title: ", "Body: ", "Image Text: ", "Image {n} Text: ",
+    "Linked Article Title: ", "Article Content: ") and the video placeholder are the
+    reference's, in the order the parts appear.
+
     image_text: OCR text of the post image; gallery_texts: ARRAY<STRING> of OCR texts aligned
     with gallery_data (null or '' when an image has none); link_found/link_title/link_text:
     the linked page as extracted by TX5.

@@ -34,6 +34,12 @@ DEFAULT_RELEVANCE = 5.0
 DEFAULT_INTENT = "UNKNOWN"
 DEFAULT_LABEL = "neutral"
 UNAVAILABLE = "Analysis unavailable"
+POST_DEFAULTS = {"primary": "neutral", "intensity": "medium", "emotional_tone": "neutral",
+                 "core_issue": "Unable to analyze", "classification_type": "other"}
+SYNTHESIS_DEFAULTS = {"executive_summary": "Synthesis unavailable", "key_issue": "Unable to synthesize",
+                      "validation_status": "unknown", "agreement_level": "unknown",
+                      "context_and_background": "Unavailable", "factual_accuracy": "unknown",
+                      "expert_input": "unknown", "source_citations": "unknown"}
 
 COMMENT_LINE_BODY_CUT = 1000
 POST_SUMMARY_CUT = 1000
@@ -169,14 +175,13 @@ def default_post_annotation() -> Column:
     return F.struct(
         F.struct(empty.alias("organizations"), empty.alias("people"), empty.alias("products"),
                  empty.alias("locations")).alias("entities"),
-        F.struct(F.lit("neutral").alias("primary"), F.lit("medium").alias("intensity"),
-                 F.lit("neutral").alias("emotional_tone"),
+        F.struct(*[F.lit(POST_DEFAULTS[k]).alias(k) for k in ("primary", "intensity", "emotional_tone")],
                  F.create_map().cast("map<string,string>").alias("targets")).alias("sentiment"),
-        F.lit("Unable to analyze").alias("core_issue"),
+        F.lit(POST_DEFAULTS["core_issue"]).alias("core_issue"),
         F.lit(None).cast("string").alias("irony_or_contradiction"),
         F.struct(F.lit(UNAVAILABLE).alias("one_sentence"), F.lit(UNAVAILABLE).alias("actionable"),
                  F.lit(UNAVAILABLE).alias("analytical")).alias("summaries"),
-        F.struct(F.lit("other").alias("type"), empty.alias("topics")).alias("classification"),
+        F.struct(F.lit(POST_DEFAULTS["classification_type"]).alias("type"), empty.alias("topics")).alias("classification"),
     ).cast(POST_ANNOTATION)
 
 
@@ -184,17 +189,19 @@ def default_synthesis() -> Column:
     """EN9: the synthesis used when the response does not parse."""
     empty = F.array().cast("array<string>")
     return F.struct(
-        F.lit("Synthesis unavailable").alias("executive_summary"),
-        F.lit("Unable to synthesize").alias("key_issue"),
-        F.struct(F.lit("unknown").alias("validation_status"), F.lit("unknown").alias("agreement_level"),
+        F.lit(SYNTHESIS_DEFAULTS["executive_summary"]).alias("executive_summary"),
+        F.lit(SYNTHESIS_DEFAULTS["key_issue"]).alias("key_issue"),
+        F.struct(F.lit(SYNTHESIS_DEFAULTS["validation_status"]).alias("validation_status"),
+                 F.lit(SYNTHESIS_DEFAULTS["agreement_level"]).alias("agreement_level"),
                  empty.alias("top_solutions"),
                  F.create_map().cast("map<string,double>").alias("sentiment_breakdown"),
                  F.lit(None).cast("string").alias("validation")).alias("community_consensus"),
-        F.lit("Unavailable").alias("context_and_background"), F.lit(None).cast("string").alias("context"),
+        F.lit(SYNTHESIS_DEFAULTS["context_and_background"]).alias("context_and_background"),
+        F.lit(None).cast("string").alias("context"),
         empty.alias("recommended_actions"), F.array().cast("array<variant>").alias("key_insights"),
         empty.alias("systemic_patterns"), empty.alias("notable_perspectives"),
-        F.struct(F.lit("unknown").alias("factual_accuracy"), F.lit("unknown").alias("expert_input"),
-                 F.lit("unknown").alias("source_citations")).alias("information_quality"),
+        F.struct(*[F.lit(SYNTHESIS_DEFAULTS[k]).alias(k) for k in ("factual_accuracy", "expert_input",
+                                                                   "source_citations")]).alias("information_quality"),
         F.lit(None).cast("map<string,double>").alias("comment_themes"),
         F.lit(None).cast("map<string,double>").alias("engagement_metrics"),
     ).cast(SYNTHESIS)

@@ -130,7 +130,11 @@ def _insight_text(v: Column) -> Column:
 
 
 def markdown_report(report="report", top_k: int = 5) -> Column:
-    """REP1: the Markdown rendering of a report (fixed section order)."""
+    """REP1: the Markdown rendering of a report (fixed section order).
+
+    Fixed values: the headings and labels below are the reference's Markdown layout, in the
+    order they appear in the document.
+    """
     r = _c(report)
     md, pa, ca, sy = r["metadata"], r["post_analysis"], r["comments_analysis"], r["synthesis"]
     cc = sy["community_consensus"]
@@ -182,7 +186,10 @@ def markdown_report(report="report", top_k: int = 5) -> Column:
 
 
 def analysis_summary(report="report") -> Column:
-    """REP2: header, executive summary and the first three insights."""
+    """REP2: header, executive summary and the first three insights.
+
+    Fixed values: the line labels below are the reference's summary layout, in order.
+    """
     r = _c(report)
     md, sy = r["metadata"], r["synthesis"]
     ins = F.coalesce(sy["key_insights"], F.array().cast("array<variant>"))
