@@ -287,3 +287,15 @@ def test_markdown_matches_python_rendering(spark):
     assert any(r.report.comments_analysis.top_comments for r in rows)
     for r in rows:
         assert r.markdown == _render_markdown(r.report), r.post_id
+
+
+def test_pipeline_comment_order(spark):
+    """Params.comment_order decides which roots survive the root limit."""
+    from threadlens.params import Params
+    from threadlens.plans import pipeline as PL
+    rows = [(1, i, None, i, "w " * 30, i * 10) for i in range(5)]
+    c = spark.createDataFrame(rows, "post_id bigint, comment_id bigint, parent_id bigint, seq bigint, body string, "
+                                    "score bigint")
+    src = {r.comment_id for r in PL.annotate_comments(c, Params(max_comments=2)).collect()}
+    top = {r.comment_id for r in PL.annotate_comments(c, Params(max_comments=2, comment_order="top")).collect()}
+    assert src == {"0", "1"} and top == {"4", "3"}

@@ -12,6 +12,7 @@ class Params:
     quality_threshold: float = 2.0   # RK3; the reference's function default is 5.0
     batch_size: int = 20             # EN1
     max_depth: int = 5               # TR1: replies followed while depth < 5
+    comment_order: str = "source"    # TR3: sibling order for the root limit and pre-order: source | new | top
     gallery_images: int = 5          # TX1
     page_text_cut: int = 10000       # TX5
     article_cut: int = 5000          # TX1

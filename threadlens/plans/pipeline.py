@@ -64,7 +64,7 @@ def annotate_comments(comments: DataFrame, params: Params = DEFAULT, annotator="
                       context: DataFrame | None = None, by=BY) -> DataFrame:
     """TR1/FL1 -> RK2 -> EN1 -> annotator (rule, native Column function, or Python callable)
     -> EN6/EN7 -> EN13 flat columns (quality_score, intent_primary, toward_op, ...)."""
-    tree = T.build_tree(comments, params.max_depth, max_roots=params.max_comments)
+    tree = T.build_tree(comments, params.max_depth, max_roots=params.max_comments, order=params.comment_order)
     ranked = R.pre_filter(tree, params.max_comments, by)
     if annotator == "rule":
         ann = EN.rule_annotate(ranked, params.batch_size)
