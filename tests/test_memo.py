@@ -88,3 +88,14 @@ def test_report_sinks_switch(spark, tmp_path):
     assert back.summary == "x" and "markdown" not in back.asDict()
     with pytest.raises(ValueError):
         SR.save_reports(df, str(tmp_path / "d"), "pdf")
+
+
+def test_cli_memo_commands(spark, tmp_path, capsys):
+    from threadlens.__main__ import main
+    t = dt.datetime(2024, 1, 30, 12)
+    store = M.MemoStore(spark, str(tmp_path / "posts"))
+    store.write(memo(spark, [("a", "1", t), ("b", "2", t - dt.timedelta(days=3))]))
+    assert main(["memo-stats", "--store", f"posts={tmp_path / 'posts'}"]) == 0
+    assert "posts\t2" in capsys.readouterr().out
+    assert main(["memo-purge", "--store", f"posts={tmp_path / 'posts'}", "--as-of", AS_OF]) == 0
+    assert [r.url for r in store.read().collect()] == ["a"]
