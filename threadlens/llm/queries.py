@@ -8,10 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import decontaminate, importance, mixing, ngram_join, sharding
+from threadlens.llm import (chat_views, cover_search, decontaminate, importance, language_id, mixing, ngram_join, ppm,
+                            sharding, site_style)
 from threadlens.llm.common import table
 
 
+def op1_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -25,16 +30,50 @@ def op4_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_views.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.ppm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_cover_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = r"""
+WITH t AS (SELECT conv_id, turn, CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown' ELSE lower(trim(role)) END AS speaker,
+        coalesce(text, '') AS text, coalesce(CAST(conv_id AS VARCHAR), '') AS conv FROM conversations),
+w AS (SELECT DISTINCT conv, speaker AS perspective FROM t WHERE speaker NOT IN ('system', 'tool', 'unknown')),
+r AS (SELECT t.*, perspective, CASE WHEN speaker = perspective THEN 'assistant'
+        WHEN speaker IN ('system', 'tool') THEN speaker ELSE 'user' END AS role FROM t JOIN w ON t.conv = w.conv),
+n AS (SELECT *, CASE WHEN role = 'user' THEN speaker END AS name FROM r),
+h AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || regexp_replace(name, '\s+', '_', 'g'), '') || chr(10) AS head FROM n),
+g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
+s AS (SELECT *, row_number() OVER o - 1 AS position,
+        coalesce(sum(length(segment)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+    FROM g WINDOW o AS (PARTITION BY conv, perspective ORDER BY turn NULLS FIRST, speaker, text))
+SELECT conv_id, perspective, position::BIGINT AS position, turn, speaker, role, name, segment, start,
+    CASE WHEN role = 'assistant' THEN start + length(head) END AS mask_start,
+    CASE WHEN role = 'assistant' THEN start + length(head) + length(text) END AS mask_end
+FROM s
+"""
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, source,
         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -69,9 +108,14 @@ LEFT JOIN ends ON d.source IS NOT DISTINCT FROM ends.source
 """
 
 QUERIES = {
+    "op1_site_style": (op1_site_style, None),
     "op2_ngram_jaccard_join": (op2_ngram_jaccard_join, None),
     "op3_mix_sources": (op3_mix_sources, OP3_SQL),
     "op4_quality_resample": (op4_quality_resample, None),
+    "op5_perspectives": (op5_perspectives, OP5_SQL),
     "op6_decontaminate": (op6_decontaminate, None),
+    "op7_language_id": (op7_language_id, None),
+    "op8_ppm": (op8_ppm, None),
     "op9_hilbert_shards": (op9_hilbert_shards, None),
+    "op10_cover_search": (op10_cover_search, None),
 }
