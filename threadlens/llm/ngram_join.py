@@ -10,8 +10,8 @@ Scale: equal texts are one *class* and only one text of each is processed (copie
 dropped inside each task, so a hot text never meets in one place). Shingle counts are exact over
 the whole corpus, but travel packed: texts are split into chunks, each chunk sends its sorted
 distinct shingles, 4 bytes each, to buckets by hash range, and one byte each comes back. A group
-of near copies is not expanded into pairs: first every text is compared with one leader per
-index entry, the links are joined to components, and then only pairs *between* components are
+of near copies is not expanded into pairs: in a few rounds every text is compared with one leader
+per index entry and the links are joined to components; then only pairs *between* components are
 compared, so no link between different components is lost.
 """
 
@@ -31,7 +31,9 @@ PERCENT = 85
 CHUNK_WORDS = 1_000_000    # words in a chunk of texts, which one task holds at a time
 BUCKET_WORDS = 2_000_000   # shingles in a hash range, which one task holds at a time
 LEAST_PARTS = 64
-CELLS = 16                 # hash cells of the suffix filter
+SKETCH_BITS = 9            # the suffix filter's sketches have 2 ** 9 bits
+ROUNDS = 3                 # rounds of comparing with leaders
+BEFORE = 16                # earlier index entries by which a pair is known to have met before
 
 
 def shingle_set(words: list[bytes], hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -131,7 +133,7 @@ def _count_adder(key, table):
                      "rarity": pa.array([x.tobytes() for x in np.split(byte, ends)], pa.binary())})
 
 
-SETS = ("digest binary, n bigint, shingles array<bigint>, places array<int>, cells array<int>, members binary")
+SETS = ("digest binary, n bigint, shingles array<bigint>, places array<int>, sketch array<bigint>, members binary")
 
 
 def pack48(s: np.ndarray) -> bytes:
@@ -159,13 +161,14 @@ def _prefixes(size: int, percent: int):
             places = np.flatnonzero(r[order])                   # those that occur in one text only find nobody
             row = [d, n, None, None, None, None]
             if len(places):
-                cells = np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=CELLS)
-                row[2:] = [s[order[places]].astype(np.int64).tolist(), places.tolist(), cells.tolist(), pack48(s)]
+                cells = np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                sketch = np.packbits((cells & 1).astype(np.uint8)).view("<i8")
+                row[2:] = [s[order[places]].astype(np.int64).tolist(), places.tolist(), sketch.tolist(), pack48(s)]
             for c, v in zip(cols, row):
                 c.append(v)
-        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)],
-                        names=["digest", "n", "shingles", "places", "cells", "members"])
+                        names=["digest", "n", "shingles", "places", "sketch", "members"])
     return run
 
 
@@ -194,8 +197,8 @@ def _filters(percent: int) -> list:
     return [
         F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"),
         F.expr(f"least(x.place, y.place) + 1 + least(x.n - x.place, y.n - y.place) - 1 >= {need}"),
-        F.expr("aggregate(zip_with(x.cells, y.cells, (p, q) -> abs(p - q)), 0, (s, v) -> s + v)"
-               f" <= x.n + y.n - 2 * {need}"),
+        F.expr(" + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(1 << SKETCH_BITS - 6))
+               + f" <= x.n + y.n - 2 * {need}"),
     ]
 
 
@@ -219,39 +222,66 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a binary, b binary, linked boolean")
 
 
-def links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links ``(a, b)`` between classes that determine the components, and the roots.
+def index_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """The inverted index: a row for each class and shared shingle of its prefix, rarest first.
 
-    Pairs inside a component found already are not compared; every other pair that the filters
-    let through is.
+    ``before`` has the class's first entries before this one, ``band`` its size on a scale on which
+    sizes that are apart by more than one can't be linked.
     """
-    index = sets.where("shingles is not null").select(
-        "digest", "n", "cells", F.floor(F.log("n") / -F.log(F.lit(percent / 100.0))).alias("band"),
-        F.explode(F.arrays_zip("shingles", "places")).alias("e")).select(
-        "digest", "n", "cells", "band", F.col("e.shingles").alias("shingle"), F.col("e.places").alias("place"))
-    x, y = index.alias("x"), index.alias("y")
-    leaders = index.groupBy("shingle", "band").agg(F.min(F.struct("digest", "n", "cells", "place")).alias("y"),
-                                                   F.count(F.lit(1)).alias("many")).where("many > 1")
-    near = x.join(leaders.select("shingle", "band", "y"), ["shingle", "band"]).where("x.digest <> y.digest")
+    e = sets.where("shingles is not null").select(
+        "digest", "n", "sketch", F.floor(F.log("n") / -F.log(F.lit(percent / 100.0))).alias("band"), "shingles",
+        F.posexplode(F.arrays_zip("shingles", "places")).alias("at", "e"))
+    return e.select("digest", "n", "sketch", "band", F.col("e.shingles").alias("shingle"),
+                    F.col("e.places").alias("place"),
+                    F.slice("shingles", F.lit(1), F.least(F.col("at"), F.lit(BEFORE))).alias("before"))
+
+
+def _filtered(met: DataFrame, percent: int) -> DataFrame:
     for f in _filters(percent):
-        near = near.where(f)
-    first = store(verified(near.select(F.col("x.digest").alias("b"), F.col("y.digest").alias("a"))
-                               .distinct().select("a", "b"), sets, percent), "links")
-    roots = components(first.where("linked").select("a", "b"))
-    index = index.join(roots, index.digest == roots.node, "left").select(
+        met = met.where(f)
+    return met.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+
+
+def _rooted(index: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return index.withColumn("root", F.col("digest"))
+    return index.join(roots, index["digest"] == roots["node"], "left").select(
         index["*"], F.coalesce("root", "digest").alias("root"))
-    mixed = index.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    index = store(index.join(mixed.select("shingle"), "shingle", "left_semi"), "index")
-    x, y = index.alias("x"), index.alias("y")
-    far = x.join(y, "shingle").where("x.digest < y.digest and x.root <> y.root")
-    for f in _filters(percent):
-        far = far.where(f)
-    pairs = far.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
-    pairs = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = store(verified(pairs, sets, percent).where("linked"), "links")
-    every = first.where("linked").select("a", "b").unionAll(second.select("a", "b"))
-    return every, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-                                  .unionAll(second.select("a", "b")))
+
+
+def links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Verified links ``(a, b)`` between classes that make up the components, and the roots.
+
+    Pairs inside a component found already are not compared; every other pair that the filters
+    let through is, once.
+    """
+    index, roots, done = store(index_rows(sets, percent), "index"), None, None
+    for r in range(ROUNDS):
+        x = _rooted(index, roots)
+        leaders = x.groupBy("shingle", "band").agg(
+            F.min(F.struct(F.xxhash64("digest", F.lit(r)), "digest", "n", "sketch", "place", "root")).alias("y"),
+            F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "band", "y")
+        met = x.alias("x").join(leaders, ["shingle", "band"]).where("x.root <> y.root")
+        pairs = _filtered(met, percent)
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        done, roots = _compare(pairs, sets, percent, done, roots)
+    x = _rooted(index, roots)
+    mixed = x.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    x = store(x.join(mixed.select("shingle"), "shingle", "left_semi"), "mixed")
+    met = x.alias("x").join(x.alias("y"), "shingle").where(
+        "x.digest < y.digest and x.root <> y.root and not arrays_overlap(x.before, y.before)")
+    done, roots = _compare(_filtered(met, percent).join(done, ["a", "b"], "left_anti"), sets, percent, done, roots)
+    return done.where("linked").select("a", "b"), roots
+
+
+def _compare(pairs, sets, percent, done, roots):
+    """Verify new pairs; all pairs compared so far, and the components of all links."""
+    new = store(verified(pairs, sets, percent), "links")
+    edges = new.where("linked").select("a", "b")
+    if roots is not None:
+        edges = edges.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return new if done is None else done.unionAll(new), components(edges)
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
