@@ -31,7 +31,7 @@ CHUNK_BYTES = 10_000_000
 BUCKET_BYTES = 32_000_000
 LEAST_PARTS = 64
 SLAB = 1 << 20
-SLOT_BITS = 20
+SLOT_BITS = 19
 SLOT_KEY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,18 +135,28 @@ class Trie:
         rows = sorted(contexts, key=lambda r: (r[0], r[1]))
         if not rows or rows[0][0]:
             rows = [(0, 0, [], []), *rows]
-        at = {(o, c): i for i, (o, c, _, _) in enumerate(rows)}
-        counts = np.zeros((len(rows), SYMBOLS))
-        for i, (_, _, s, n) in enumerate(rows):
-            counts[i, s] = n
-        parent = np.array([at[o - 1, c & ((1 << 8 * (o - 1)) - 1)] if o else -1 for o, c, _, _ in rows])
-        self.log = np.empty((len(rows), SYMBOLS), np.float32)
-        for lo in range(0, len(rows), 4096):
-            self.log[lo:lo + 4096] = np.log10(self._chances(counts, parent, np.arange(lo, min(lo + 4096, len(rows)))))
+        self.orders = np.array([r[0] for r in rows], np.uint8)
+        self.contexts = np.array([r[1] for r in rows], np.uint64)
+        self.sizes = np.array([len(r[2]) for r in rows], np.uint16)
+        self.symbols = np.array([x for r in rows for x in r[2]], np.uint8)
+        self.counts = np.array([x for r in rows for x in r[3]], np.int64)
+        at = {(r[0], r[1]): i for i, r in enumerate(rows)}
+        self.parent = np.array([at[o - 1, c & ((1 << 8 * (o - 1)) - 1)] if o else -1 for o, c, _, _ in rows], np.int32)
+        self.log = None
+
+    def build(self) -> None:
+        """Make the tables from the counts: done where they are used, so only the counts travel."""
+        n = len(self.orders)
+        counts = np.zeros((n, SYMBOLS), np.float32)
+        counts[np.repeat(np.arange(n), self.sizes), self.symbols] = self.counts
+        self.log = np.empty((n, SYMBOLS), np.float32)
+        for lo in range(0, n, 2048):
+            hi = min(lo + 2048, n)
+            self.log[lo:hi] = np.log10(self._chances(counts, self.parent, np.arange(lo, hi)))
         self.keys, self.ids = [], []
         for o in range(1, ORDER + 1):
-            ids = np.array([i for i, r in enumerate(rows) if r[0] == o], np.int64)
-            ctx = np.array([rows[i][1] for i in ids], np.uint64)
+            ids = np.flatnonzero(self.orders == o)
+            ctx = self.contexts[ids]
             key, own = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
             slot = self.slot(ctx)
             key[slot], own[slot] = ctx, ids         # of two in one slot the later stays
@@ -163,7 +173,7 @@ class Trie:
         p, mass = np.zeros((len(ids), SYMBOLS)), np.ones((len(ids), 1))
         out, level = np.zeros((len(ids), SYMBOLS), bool), ids.copy()
         while (level >= 0).any():
-            c = np.where(out | (level < 0)[:, None], 0.0, counts[np.maximum(level, 0)])
+            c = np.where(out | (level < 0)[:, None], 0.0, counts[np.maximum(level, 0)].astype(np.float64))
             n, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
             left = SYMBOLS - out.sum(axis=1, keepdims=True) - kinds
             escapes = np.where(left > 0, kinds, 0)  # nothing is left to escape to: no escape
@@ -177,6 +187,8 @@ class Trie:
 
     def code(self, text: bytes) -> np.ndarray:
         """Log10 probability of each byte after the first ``ORDER`` of ``text``."""
+        if self.log is None:
+            self.build()
         a = np.frombuffer(text, np.uint8)
         if len(a) <= ORDER:
             return np.zeros(0, np.float32)
