@@ -178,7 +178,8 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 def _meet(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """Search each query block in every data block of its node; a node's blocks are dealt by salt."""
     q = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return q.join(blocks, ["node", "salt"]).select("queries", "data").mapInArrow(_searcher(k), FOUND)
+    # blocks are large for their number, so they are never broadcast
+    return q.join(blocks.hint("merge"), ["node", "salt"]).select("queries", "data").mapInArrow(_searcher(k), FOUND)
 
 
 def _blocks(df: DataFrame, counts, size: int):
