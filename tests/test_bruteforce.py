@@ -68,110 +68,6 @@ def test_rounding_and_scores(spark):
         assert r.f == fmt(r.s), r.s
 
 
-def ref_post_id(url):
-    """The URL1 rule with Python's URL parser."""
-    p = urlparse(url)
-    m = re.search(r"/comments/([a-z0-9]+)/?([^/]*)", p.path, re.IGNORECASE)
-    if m:
-        return m.group(1)
-    m2 = re.search(r"^/([a-z0-9]{5,8})/?", p.path, re.IGNORECASE)
-    return m2.group(1) if m2 and p.netloc in {"redd.it", "www.redd.it"} else None
-
-
-def test_url_ids(spark):
-    rnd = random.Random(3)
-    hosts = ["www.reddit.com", "reddit.com", "redd.it", "www.redd.it", "old.reddit.com", "example.org", "redd.it:80"]
-    ids = ["abc12", "XyZ9q", "1h4l0zd", "a", "abcdefghi", "ab_cd", "12345678"]
-    urls = []
-    for _ in range(300):
-        h, i = rnd.choice(hosts), rnd.choice(ids)
-        path = rnd.choice([f"/r/sub/comments/{i}/slug_here/", f"/comments/{i}", f"/{i}", f"/{i}/", f"/r/x/{i}",
-                           f"/r/sub/COMMENTS/{i}/x-y/"])
-        urls.append(f"https://{h}{path}" + rnd.choice(["", "?a=1", "#frag"]))
-    df = spark.createDataFrame([(u,) for u in urls], "u string")
-    for r in df.select("u", U.post_id("u").alias("pid"), U.post_id_simple("u").alias("simple")).collect():
-        assert r.pid == ref_post_id(r.u), r.u
-        m = re.search(r"/comments/([a-z0-9]+)", r.u)
-        assert r.simple == (m.group(1) if m else ""), r.u
-
-
-def ref_sampling(scores, max_c):
-    """SA2 on a list of (seq, score) in source order -> sampled seqs in sampled order."""
-    if len(scores) <= max_c:
-        return [s for s, _ in scores]
-    ranked = sorted(scores, key=lambda x: x[1], reverse=True)      # stable
-    top = int(max_c * 0.7)
-    rest = ranked[top:]
-    step = max(1, len(rest) // max(1, max_c - top))
-    return [s for s, _ in ranked[:top] + rest[::step][:max_c - top]]
-
-
-def test_sampling_random_threads(spark):
-    from threadlens.operators.ranking import apply_sampling
-    rnd = random.Random(17)
-    rows, expect = [], {}
-    threads = [(p, rnd.randint(1, 120)) for p in range(40)]
-    for p, n in threads:
-        sc = [(p * 1000 + i, rnd.randint(0, 30)) for i in range(n)]
-        rows += [(p, s, v) for s, v in sc]
-        expect[p] = ref_sampling(sc, 20)
-    df = spark.createDataFrame(rows, "post_id bigint, seq bigint, score bigint")
-    got = {}
-    for r in apply_sampling(df, 20).orderBy("post_id", "sample_pos").collect():
-        got.setdefault(r.post_id, []).append(r.seq)
-    assert got == expect
-
-
-def ref_extract(text):
-    """EN5 with Python's json module: whole text, first fenced block, first embedded object,
-    then array, whose JSON text is longer than 50 characters."""
-    import json
-    try:
-        json.loads(text)
-        return text
-    except ValueError:
-        pass
-    m = re.findall(r"```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```", text, re.DOTALL)
-    if m:
-        try:
-            json.loads(m[0])
-            return m[0]
-        except ValueError:
-            pass
-    for pat in (r"\{(?:[^{}]|(?:\{[^{}]*\}))*\}", r"\[(?:[^\[\]]|(?:\[[^\[\]]*\]))*\]"):
-        for x in re.findall(pat, text, re.DOTALL):
-            try:
-                json.loads(x)
-            except ValueError:
-                continue
-            if len(x) > 50:
-                return x
-    return None
-
-
-def test_response_parsing_random(spark):
-    from threadlens.operators.enrich import extract_json_text
-    rnd = random.Random(23)
-
-    def obj():
-        return '{"comment_id": "%d", "quality_score": %d, "tags": ["a", "b"], "s": {"t": "%s"}}' % (
-            rnd.randint(1, 9), rnd.randint(0, 10), "x" * rnd.randint(0, 30))
-
-    def arr():
-        return "[" + ", ".join(obj() for _ in range(rnd.randint(0, 3))) + "]"
-
-    texts = []
-    for _ in range(300):
-        body = rnd.choice([obj(), arr(), '{"a": 1}', "[1, 2]", '{"a": [1, {"b": 2}]}', "{broken", "[" + obj()])
-        wrap = rnd.choice(["{}", "```json\n{}\n```", "Here: {} done", "```\n{}\n```", "text {} and ```json\n{}\n```",
-                           "no json here", "  {}  "])
-        texts.append(wrap.replace("{}", body))
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: r.j for r in df.select("i", extract_json_text("t").alias("j")).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == ref_extract(t), repr(t)
-
-
 def test_stats_random(spark):
     from collections import Counter
     from threadlens.operators import stats as S
@@ -214,45 +110,6 @@ def test_stats_random(spark):
         assert merged.get(p, []) == first
 
 
-def ref_assemble(ct, title, body, ocr, gallery, link):
-    parts = []
-    if title:
-        parts.append(f"Title: {title}")
-    if ct == "text" and body:
-        parts.append(f"Body: {body}")
-    elif ct == "image" and ocr:
-        parts.append(f"Image Text: {ocr}")
-    elif ct == "gallery":
-        for i, t in enumerate((gallery or [])[:5]):
-            if t:
-                parts.append(f"Image {i + 1} Text: {t}")
-    elif ct == "link" and link is not None:
-        parts.append(f"Linked Article Title: {link[0] or ''}")
-        if link[1]:
-            parts.append(f"Article Content: {link[1][:5000]}")
-    elif ct == "video":
-        parts.append("[Video content - unsupported for text extraction]")
-    return "\n\n".join(parts)
-
-
-def test_assemble_text_random(spark):
-    from threadlens.functions.content import assemble_text
-    rnd = random.Random(31)
-    maybe = lambda: rnd.choice([None, "", "some text", "x" * rnd.randint(1, 20)])
-    rows = []
-    for i in range(300):
-        ct = rnd.choice(["text", "image", "gallery", "link", "video"])
-        gal = None if rnd.random() < 0.3 else [maybe() for _ in range(rnd.randint(0, 8))]
-        link = None if rnd.random() < 0.3 else (maybe(), rnd.choice([None, "", "a" * rnd.randint(1, 6000)]))
-        rows.append((i, ct, maybe(), maybe(), maybe(), gal, link is not None,
-                     link[0] if link else None, link[1] if link else None))
-    df = spark.createDataFrame(rows, "i int, ct string, t string, b string, o string, g array<string>, "
-                                     "lf boolean, lt string, lc string")
-    got = {r.i: r.x for r in df.select("i", assemble_text("ct", "t", "b", "o", "g", "lf", "lt", "lc").alias("x")).collect()}
-    for (i, ct, t, b, o, g, lf, lt, lc) in rows:
-        assert got[i] == ref_assemble(ct, t, b, o, g, (lt, lc) if lf else None), rows[i]
-
-
 def test_memo_random(spark):
     import datetime as dt
     from threadlens.operators import memo as M

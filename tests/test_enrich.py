@@ -21,6 +21,15 @@ def test_parse_rules(spark):
     assert got[5] == ("embedded", OBJ)     # objects are tried before arrays
 
 
+def test_long_responses(spark):
+    """Long answers parse or become null; none of them ends the JVM."""
+    body, nested = "x" * 1_000_000, "{" * 10_000 + "}" * 10_000
+    rows = [("so " + '{"a": "' + "y" * 4_000 + '"} end',), ("so " + '{"a": "' + body + '"} end',),
+            ("open { " + body,), (nested,), ("[" * 10_000 + " " + body,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(EN.extract_json_text("t")).collect()]
+    assert got == ['{"a": "' + "y" * 4_000 + '"}', '{"a": "' + body + '"}', None, None, None]
+
+
 def test_match_and_defaults(spark):
     batched = spark.createDataFrame(
         [(1, 0, p, 100 + p) for p in range(3)] + [(2, 0, p, 200 + p) for p in range(2)] +
@@ -32,6 +41,7 @@ def test_match_and_defaults(spark):
     m = EN.merge_annotation(EN.match_annotations(batched, responses)).orderBy("post_id", "pos").collect()
     got = [(r.post_id, r.pos, r.comment_id, r.quality_score, r.intent_primary, r.annotation_status) for r in m]
     assert got == [(1, 0, "1", 7.0, "ASK", "parsed"), (1, 1, "101", 5.0, "UNKNOWN", "default_element"),
+                   (1, 2, "102", 5.0, "UNKNOWN", "default_missing"),
                    (2, 0, "200", 5.0, "UNKNOWN", "default_batch"), (2, 1, "201", 5.0, "UNKNOWN", "default_batch"),
                    (3, 0, "300", 5.0, "UNKNOWN", "default_batch")]
 
@@ -42,7 +52,9 @@ def test_prompts(spark):
     b = EN.assign_batches(df, 1)
     assert [(r.batch_id, r.pos) for r in b.orderBy("rank").collect()] == [(0, 0), (1, 0)]
     p = EN.comments_prompt(EN.assign_batches(df, 20)).first()
-    assert p.comments_text == '1. [Score: 5] "hello"\n\n2. [Score: -3] "' + "x" * 1000 + '"'
+    assert p.comments_text == '1. [Score: 5] "hello"\n\n2. [Score: -3] "' + "x" * 1200 + '"'
+    short = EN.comments_prompt(EN.assign_batches(df, 20), body_cut=1000).first()
+    assert short.comments_text.endswith('"' + "x" * 1000 + '"')
     assert p.prompt.startswith("Post context: \n\nComments:\n1. [Score: 5]")
 
 

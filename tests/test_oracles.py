@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB oracle on sf0.001 (row count, columns, values)."""
 
 import math
+import re
 
 import pytest
 
@@ -36,7 +37,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(ORACLES)))
+@pytest.mark.parametrize("name", [n for n in sorted(set(E.queries()) - set(ORACLES)) if not re.match(r"op\d+_|pipeline$", n)])
 def test_rows_only_queries_run(spark, name):
     from conftest import SF_SMALL
     assert E.queries()[name](spark, SF_SMALL).count() >= 0

@@ -117,6 +117,31 @@ def test_stream_dedupe_reprocesses_after_ttl(spark, tmp_path):
                    ("u9", "2024-01-03 12:00:00")]
 
 
+def test_stream_dedupe_rule_is_exact(spark, tmp_path):
+    """A URL is due again just after 24 hours since it was last processed, not since it was last seen."""
+    from threadlens.streaming import dedupe as ST
+    src = tmp_path / "in"
+    times = ["2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-01-02 00:00:01", "2024-01-02 23:00:00", "2024-01-03 01:00:00"]
+    for i, t in enumerate(times):
+        spark.createDataFrame([("u", t)], "post_url string, s string").select(
+            "post_url", F.to_timestamp("s").alias("requested_at")).coalesce(1).write.parquet(str(src / f"part={i}"))
+    out = []
+    q = ST.start(spark, str(src), str(tmp_path / "ckpt"), lambda b, e: out.extend(b.collect()), ttl_hours=24,
+                 schema=ST.REQUEST_SCHEMA + ", part INT", max_files_per_trigger=1)
+    assert q.awaitTermination(180)
+    assert sorted(str(r.requested_at) for r in out) == [times[0], times[2], times[4]]
+
+
+def test_memo_versions_do_not_repeat_posts(spark):
+    from threadlens.plans import pipeline as PL
+    p = spark.createDataFrame([(1, "t", "", "http://i.redd.it/a.png", False)],
+                              "post_id bigint, title string, selftext string, url string, is_self boolean")
+    ocr = spark.createDataFrame([("http://i.redd.it/a.png", "old", "2024-01-01"), ("http://i.redd.it/a.png", "new", "2024-01-02")],
+                                "image_url string, extracted_text string, cached_at string")
+    rows = PL.post_content(p, ocr).collect()
+    assert len(rows) == 1 and "new" in rows[0].extracted_text and "old" not in rows[0].extracted_text
+
+
 def test_pipeline_report_shape(spark):
     import __spark_entry__ as E
     from threadlens.plans.q_report import _reports
@@ -164,7 +189,7 @@ def test_pipeline_with_python_annotator(spark):
     assert calls.value == n_calls > 0           # the model ran once, before the actions
     with_comments = [r for r in rows if r.report.comments_analysis.total_processed > 0]
     assert with_comments and all(r.report.comments_analysis.intent_distribution for r in with_comments)
-    assert set().union(*[set(r.report.comments_analysis.intent_distribution) for r in with_comments]) <= {"ASK"}
+    assert set().union(*[set(r.report.comments_analysis.intent_distribution) for r in with_comments]) <= {"ASK", "UNKNOWN"}  # unanswered comments keep the default
 
 
 def test_stream_into_pipeline_and_memo(spark, tmp_path):
@@ -250,45 +275,6 @@ def test_post_annotator_and_synthesizer_hooks(spark):
     assert s.context == "Unavailable" or s.context is None
 
 
-def _render_markdown(r):
-    """The report's Markdown, line by line as the reference builds it (Python rendering)."""
-    md, pa, ca, sy = r.metadata, r.post_analysis, r.comments_analysis, r.synthesis
-    out = ["# Reddit Post Analysis Report\n", f"**Subreddit:** r/{md.subreddit}", f"**Author:** u/{md.author}",
-           f"**Score:** {md.score} ({(md.upvote_ratio or 0) * 100:.0f}% upvoted)", f"**Comments:** {md.comment_count}",
-           f"**Posted:** {md.timestamp}", f"**Analyzed:** {md.analysis_timestamp}\n", "## Executive Summary\n",
-           sy.executive_summary, "", "## Post Analysis\n", f"**Type:** {pa.content_type}",
-           f"**Core Issue:** {pa.core_issue}\n", "### Summary", pa.summaries.analytical or "", "", "### Sentiment",
-           f"- **Primary:** {pa.sentiment.primary or 'N/A'}", f"- **Intensity:** {pa.sentiment.intensity or 'N/A'}",
-           f"- **Tone:** {pa.sentiment.emotional_tone or 'N/A'}\n", "## Community Response\n",
-           f"**Validation Status:** {sy.community_consensus.validation_status or 'N/A'}",
-           f"**Agreement Level:** {sy.community_consensus.agreement_level or 'N/A'}\n"]
-    if ca.theme_percentages:
-        out.append("### Comment Themes\n")
-        out += [f"- **{k}**: {v}%" for k, v in ca.theme_percentages.items()]
-        out.append("")
-    if sy.key_insights:
-        out.append("### Key Insights\n")
-        out += [f"- {v.toPython() if hasattr(v, 'toPython') else v}" for v in sy.key_insights]
-        out.append("")
-    if sy.recommended_actions:
-        out.append("### Recommended Actions\n")
-        out += [f"- {a}" for a in sy.recommended_actions]
-        out.append("")
-    out.append("## Top Comments\n")
-    for i, c in enumerate(ca.top_comments[:5], 1):
-        out += [f"### Comment {i} (Score: {c.score or 0})", f"**Intent:** {c.intent_primary or 'N/A'}",
-                f"**Sentiment toward OP:** {c.sentiment.toward_op or 'N/A'}", f"\n{(c.body or '')[:500]}...\n"]
-    return "\n".join(out)
-
-
-def test_markdown_matches_python_rendering(spark):
-    from threadlens.plans.q_report import _reports
-    rows = _reports(spark, SF_SMALL).collect()
-    assert any(r.report.comments_analysis.top_comments for r in rows)
-    for r in rows:
-        assert r.markdown == _render_markdown(r.report), r.post_id
-
-
 def test_pipeline_comment_order(spark):
     """Params.comment_order decides which roots survive the root limit."""
     from threadlens.params import Params

@@ -24,8 +24,9 @@ BY = ["post_id"]
 
 # Response-extraction patterns (fenced block, then one-level-nested object / array).
 FENCED_RE = r"(?s)```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```"
-OBJECT_RE = r"\{(?:[^{}]|(?:\{[^{}]*\}))*\}"
-ARRAY_RE = r"\[(?:[^\[\]]|(?:\[[^\[\]]*\]))*\]"
+# Runs are possessive: the same language, but long answers need no recursion per character.
+OBJECT_RE = r"\{(?:[^{}]++|\{[^{}]*+\})*+\}"
+ARRAY_RE = r"\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\]"
 MIN_EMBEDDED_LEN = 50
 
 # Default annotations used when a response is missing or unusable.
@@ -41,10 +42,6 @@ SYNTHESIS_DEFAULTS = {"executive_summary": "Synthesis unavailable", "key_issue":
                       "context_and_background": "Unavailable", "factual_accuracy": "unknown",
                       "expert_input": "unknown", "source_citations": "unknown"}
 
-COMMENT_LINE_BODY_CUT = 1000
-POST_SUMMARY_CUT = 1000
-POST_TEXT_CUT = 10000
-
 # Prompt wording is caller configuration; these templates only place the computed parts.
 COMMENTS_TEMPLATE = "Post context: {post_summary}\n\nComments:\n{comments_text}"
 POST_TEMPLATE = "Subreddit: r/{subreddit}\nTitle: {title}\n\n{post_text}"
@@ -69,6 +66,11 @@ def fill_template(template: str, **parts) -> Column:
 
 # ---------------------------------------------------------------- EN1-EN3, EN12
 
+def _cut(c, limit: int | None) -> Column:
+    """The first ``limit`` characters, or all of them without a limit."""
+    return _c(c) if limit is None else F.substring(_c(c), 1, limit)
+
+
 def assign_batches(ranked: DataFrame, size: int = 20, rank: str = "rank") -> DataFrame:
     """EN1: consecutive chunks of ``size`` in ranked order: batch_id and pos (both 0-based)."""
     r = F.col(rank).cast("bigint") - 1
@@ -76,31 +78,33 @@ def assign_batches(ranked: DataFrame, size: int = 20, rank: str = "rank") -> Dat
                   .withColumn("pos", (r % size).cast("bigint")))
 
 
-def comment_line(pos="pos", score="score", body="body") -> Column:
-    """``{i}. [Score: s] "{body[:1000]}"`` with i restarting at 1 per batch."""
+def comment_line(pos="pos", score="score", body="body", body_cut: int | None = None) -> Column:
+    """``{i}. [Score: s] "{body}"`` with i restarting at 1 per batch; ``body_cut`` shortens the body."""
     return F.concat((_c(pos) + 1).cast("string"), F.lit(". [Score: "),
                     F.coalesce(_c(score), F.lit(0)).cast("string"), F.lit('] "'),
-                    F.substring(F.coalesce(_c(body), F.lit("")), 1, COMMENT_LINE_BODY_CUT), F.lit('"'))
+                    _cut(F.coalesce(_c(body), F.lit("")), body_cut), F.lit('"'))
 
 
 def comments_prompt(batched: DataFrame, by=BY, context: str | None = None,
-                    template: str = COMMENTS_TEMPLATE) -> DataFrame:
+                    template: str = COMMENTS_TEMPLATE, body_cut: int | None = None,
+                    summary_cut: int | None = None) -> DataFrame:
     """EN2: one prompt per (thread, batch); lines joined by a blank line in batch order."""
-    x = batched.withColumn("_line", comment_line())
+    x = batched.withColumn("_line", comment_line(body_cut=body_cut))
     keys = [*by, "batch_id"]
     aggs = [F.expr("listagg(_line, '\\n\\n') WITHIN GROUP (ORDER BY pos)").alias("comments_text"),
             F.count(F.lit(1)).alias("n_comments")]
     if context:
         aggs.append(F.first(context).alias("_ctx"))
     out = x.groupBy(*keys).agg(*aggs)
-    ctx = F.substring(F.col("_ctx"), 1, POST_SUMMARY_CUT) if context else F.lit("")
+    ctx = _cut("_ctx", summary_cut) if context else F.lit("")
     out = out.withColumn("prompt", fill_template(template, post_summary=ctx, comments_text="comments_text"))
     return out.drop("_ctx") if context else out
 
 
-def post_prompt(posts: DataFrame, text: str = "extracted_text", template: str = POST_TEMPLATE) -> Column:
-    """EN3: the post prompt from text[:10000], subreddit and title."""
-    return fill_template(template, post_text=F.substring(F.col(text), 1, POST_TEXT_CUT),
+def post_prompt(posts: DataFrame, text: str = "extracted_text", template: str = POST_TEMPLATE,
+                text_cut: int | None = None) -> Column:
+    """EN3: the post prompt from the text (its first ``text_cut`` characters), subreddit and title."""
+    return fill_template(template, post_text=_cut(text, text_cut),
                          subreddit="subreddit", title="title")
 
 
@@ -227,9 +231,9 @@ def match_annotations(batched: DataFrame, responses: DataFrame, by=BY,
                       response: str = "response", id_col: str = "comment_id") -> DataFrame:
     """EN6 + EN7: zip each usable batch response with its comments by position.
 
-    A usable response is a non-empty JSON list: element i annotates the comment at pos i
-    (surplus elements and surplus comments are dropped; an element that is not an object
-    gets the default). Any other response, or none, gives every comment of the batch the
+    A usable response is a non-empty JSON list: element i annotates the comment at pos i.
+    Surplus elements are dropped; an element that is not an object, or one that is missing,
+    gives its comment the default (``default_element``, ``default_missing``). Any other response, or none, gives every comment of the batch the
     default annotation. Adds ``annotation`` (struct) and ``annotation_status``.
     """
     keys = [*by, "batch_id"]
@@ -238,12 +242,12 @@ def match_annotations(batched: DataFrame, responses: DataFrame, by=BY,
     x = (batched.join(r, keys, "left")
                 .withColumn("_elem", F.get(F.col("_elems"), F.col("pos").cast("int"))))
     usable = F.col("_elems").isNotNull()
-    x = (x.filter(~usable | F.col("_elem").isNotNull())
-          .withColumn("_parsed", F.when(_is_object(F.col("_elem")),
-                                        F.try_variant_get(F.col("_elem"), "$", COMMENT_ANNOTATION))))
+    x = x.withColumn("_parsed", F.when(_is_object(F.col("_elem")),
+                                       F.try_variant_get(F.col("_elem"), "$", COMMENT_ANNOTATION)))
     parsed = F.col("_parsed")
     ann = F.when(usable & parsed.isNotNull(), parsed).otherwise(default_comment_annotation(F.col(id_col)))
     status = (F.when(~usable, F.lit("default_batch"))
+               .when(F.col("_elem").isNull(), F.lit("default_missing"))
                .when(parsed.isNull(), F.lit("default_element")).otherwise(F.lit("parsed")))
     return (x.withColumns({"annotation": ann, "annotation_status": status})
              .drop("_elems", "_elem", "_parsed"))
@@ -319,7 +323,8 @@ def enrich_posts(posts: DataFrame, annotator, text: str = "extracted_text",
     if getattr(annotator, "native", False):
         r = p.withColumn("response", annotator(F.col("prompt")))
     else:
-        resp = call_annotator(p, annotator, ["post_id"], partitions=partitions)
+        # written once: the answers feed both the comment prompts and the report
+        resp = call_annotator(p, annotator, ["post_id"], partitions=partitions).checkpoint(eager=True)
         r = p.join(resp, "post_id", "left")
     return r.withColumn("post_annotation", post_annotation_from(F.col("response"))).drop("prompt", "response")
 
@@ -392,8 +397,7 @@ def rule_annotation(body="body", score="score", comment_id="comment_id", *, toke
     toward = (F.when(_has_word(tk, SUPPORT_WORDS), F.lit("supportive"))
                .when(_has_word(tk, CRITIC_WORDS), F.lit("critical")).otherwise(F.lit("neutral")))
     # first sentence of the cleaned text = the cleaned first sentence of the raw text
-    first = F.substring(clean_text(F.regexp_extract(F.regexp_replace(b, r"^(?U)\s+", ""), FIRST_SENTENCE_RE, 0)),
-                        1, 200)
+    first = clean_text(F.regexp_extract(F.regexp_replace(b, r"^(?U)\s+", ""), FIRST_SENTENCE_RE, 0))
     empty = F.array().cast("array<string>")
     return F.struct(
         _c(comment_id).cast("string").alias("comment_id"), q.alias("quality_score"),
@@ -420,13 +424,13 @@ def rule_annotate(ranked: DataFrame, batch_size: int = 20) -> DataFrame:
 # ---------------------------------------------------------------- EN4 synthesis prompt
 
 SYNTHESIS_TEMPLATE = "POST DATA:\n{post_data}\n\nTOP COMMENTS DATA:\n{comments_data}"
-SYNTHESIS_CUT = 5000
 
 
 def synthesis_prompt(posts: DataFrame, flat: DataFrame, k: int = 20, by=BY,
-                     template: str = SYNTHESIS_TEMPLATE) -> DataFrame:
+                     template: str = SYNTHESIS_TEMPLATE, body_cut: int | None = None) -> DataFrame:
     """EN4: post JSON (title, core_issue, sentiment, summaries) and the top-k comments by
-    relevance x score as JSON, each cut to 5000 characters, placed in the template.
+    relevance x score as JSON, placed whole in the template (``body_cut`` shortens the bodies,
+    never the JSON).
 
     posts: (post_id, title, post_annotation); flat: annotated comment rows.
     """
@@ -441,11 +445,10 @@ def synthesis_prompt(posts: DataFrame, flat: DataFrame, k: int = 20, by=BY,
     packed = (t.groupBy(*by)
                .agg(F.array_sort(F.collect_list(F.struct(
                    F.col("rank").alias("_k"), F.coalesce(F.col("score"), F.lit(0)).alias("score"),
-                   F.substring(F.coalesce(F.col("body"), F.lit("")), 1, 500).alias("body"),
+                   _cut(F.coalesce(F.col("body"), F.lit("")), body_cut).alias("body"),
                    F.coalesce(F.col("intent_primary"), F.lit("")).alias("intent"),
                    F.col("sentiment"), F.col("key_insights")))).alias("_c"))
                .select(*by, F.to_json(F.transform("_c", lambda x: x.dropFields("_k")), pretty).alias("_cj")))
     x = posts.select(*by, post_json.alias("_pj")).join(packed, by, "left")
-    return x.select(*by, fill_template(template, post_data=F.substring("_pj", 1, SYNTHESIS_CUT),
-                                       comments_data=F.substring(F.coalesce("_cj", F.lit("[]")), 1, SYNTHESIS_CUT))
+    return x.select(*by, fill_template(template, post_data="_pj", comments_data=F.coalesce("_cj", F.lit("[]")))
                     .alias("prompt"))

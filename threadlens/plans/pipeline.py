@@ -27,11 +27,20 @@ from threadlens.operators import tree as T
 BY = ["post_id"]
 
 
+def _latest(memo: DataFrame, key: str, order=("cached_at", "version")) -> DataFrame:
+    """One row per key of a memo log: its latest entry; without any order column, its greatest."""
+    own = [c for c in order if c in memo.columns]
+    others = [c for c in memo.columns if c != key]
+    return memo.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(
+        F.struct(*others), F.struct(*own, *[c for c in others if c not in own])).alias("_r")).select(key, "_r.*")
+
+
 def post_content(posts: DataFrame, ocr: DataFrame | None = None, links: DataFrame | None = None,
                  params: Params = DEFAULT) -> DataFrame:
     """Content typing (CT3) and text assembly (TX1) with OCR and link text from memo tables.
 
-    ocr: (image_url, extracted_text); links: (url, title, content, found).
+    ocr: (image_url, extracted_text); links: (url, title, content, found). Of several versions of
+    a key the latest is used, so a post stays one row.
     """
     p = posts
     if "content_type" not in p.columns:
@@ -42,6 +51,7 @@ def post_content(posts: DataFrame, ocr: DataFrame | None = None, links: DataFram
         ocr = spark.createDataFrame([], "image_url string, extracted_text string")
     if links is None:
         links = spark.createDataFrame([], "url string, title string, content string, found boolean")
+    ocr, links = _latest(ocr, "image_url"), _latest(links, "url")
     img = ocr.select(F.col("image_url").alias("url"), F.col("extracted_text").alias("_image_text"))
     x = p.join(img, "url", "left")
     if "gallery_data" in p.columns:

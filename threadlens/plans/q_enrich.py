@@ -84,6 +84,7 @@ FROM (SELECT post_id, batch_id, '[' || string_agg(e, ', ' ORDER BY pos) || ']' A
                max(pos) OVER (PARTITION BY post_id, batch_id) AS last FROM batched)
       WHERE NOT (post_id % 5 = 0 AND pos = last)
       GROUP BY post_id, batch_id)"""
+# The response-extraction patterns, as the other engine writes them.
 _FENCED = r"(?s)```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```"
 _OBJ = r"\{(?:[^{}]|(?:\{[^{}]*\}))*\}"
 _ARR = r"\[(?:[^\[\]]|(?:\[[^\[\]]*\]))*\]"
@@ -118,14 +119,14 @@ FROM batched b LEFT JOIN parsed p ON p.post_id = b.post_id AND p.batch_id = b.ba
 
 _ANNOTATED = f"""
 SELECT post_id, comment_id, batch_id, pos,
-  CASE WHEN NOT coalesce(usable, false) THEN 'default_batch' WHEN json_type(e) = 'OBJECT' THEN 'parsed'
+  CASE WHEN NOT coalesce(usable, false) THEN 'default_batch' WHEN pos >= n_el THEN 'default_missing' WHEN json_type(e) = 'OBJECT' THEN 'parsed'
        ELSE 'default_element' END AS annotation_status,
   CASE WHEN coalesce(usable, false) AND json_type(e) = 'OBJECT' THEN e->>'$.comment_id' ELSE CAST(comment_id AS VARCHAR) END AS ann_comment_id,
   CASE WHEN coalesce(usable, false) AND json_type(e) = 'OBJECT' THEN CAST(e->>'$.quality_score' AS DOUBLE) ELSE 5.0 END AS quality_score,
   CASE WHEN coalesce(usable, false) AND json_type(e) = 'OBJECT' THEN e->>'$.intent_primary' ELSE 'UNKNOWN' END AS intent_primary,
   CASE WHEN coalesce(usable, false) AND json_type(e) = 'OBJECT' THEN e->>'$.sentiment.toward_op' ELSE 'neutral' END AS toward_op,
   CASE WHEN coalesce(usable, false) AND json_type(e) = 'OBJECT' THEN CAST(e->>'$.relevance_score' AS DOUBLE) ELSE 5.0 END AS relevance_score
-FROM matched WHERE NOT coalesce(usable, false) OR pos < n_el"""
+FROM matched"""
 
 
 def _esql(body, extra=()):
@@ -140,7 +141,7 @@ def q_assign_batches(spark, d):
 @register("comments_prompt", _esql(f"""
 SELECT post_id, batch_id, count(*) AS n_comments,
        string_agg(CAST(pos + 1 AS VARCHAR) || '. [Score: ' || CAST(coalesce(score, 0) AS VARCHAR) || '] "'
-                  || substring(coalesce(body, ''), 1, 1000) || '"', chr(10) || chr(10) ORDER BY pos) AS comments_text
+                  || coalesce(body, '') || '"', chr(10) || chr(10) ORDER BY pos) AS comments_text
 FROM batched GROUP BY post_id, batch_id"""))
 def q_comments_prompt(spark, d):
     return EN.comments_prompt(_batched(spark, d)).select("post_id", "batch_id", "n_comments", "comments_text")
@@ -148,7 +149,7 @@ def q_comments_prompt(spark, d):
 
 @register("post_prompt", sql(f"""
 SELECT post_id, 'Subreddit: r/' || subreddit || chr(10) || 'Title: ' || title || chr(10) || chr(10)
-       || substring(extracted_text, 1, 10000) AS prompt
+       || extracted_text AS prompt
 FROM ({_TX1_SQL.replace('SELECT p.post_id, p.content_type,', 'SELECT p.post_id, p.content_type, p.subreddit, p.title,')})""",
                              "v_posts", "v_gallery", "v_ocr", "v_links"))
 def q_post_prompt(spark, d):
@@ -248,3 +249,17 @@ def q_enrich_comments_udf(spark, d):
     m = EN.enrich_comments(R.pre_filter(t, _MAX), scripted_python_annotator, _BATCH, partitions=4)
     return EN.merge_annotation(m).select("post_id", "comment_id", "batch_id", "pos", "quality_score",
                                          "intent_primary", "annotation_status")
+
+
+@register("parse_long_responses", """
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', ' ', 'g') AS body FROM documents)
+SELECT doc_id, doc_id AS answer_id, CAST(length(body) AS BIGINT) AS answer_chars, 'embedded' AS parse_rule FROM t""")
+def q_parse_long_responses(spark, d):
+    """EN5 on long answers: prose, an unclosed brace and one object that carries a whole document."""
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", " ")
+    t = F.concat(F.lit("The answer is { as follows: "), body, F.lit(' {"doc": '), F.col("doc_id").cast("string"),
+                 F.lit(', "note": "a field that makes the object long enough", "body": "'), body, F.lit('"} '), body)
+    x = _v(spark, d).t("documents").select("doc_id", t.alias("response"))
+    v = x.select("doc_id", EN.parse_response("response").alias("v"), EN.parse_rule("response").alias("parse_rule"))
+    return v.select("doc_id", F.try_variant_get("v", "$.doc", "bigint").alias("answer_id"),
+                    F.length(F.try_variant_get("v", "$.body", "string")).cast("bigint").alias("answer_chars"), "parse_rule")

@@ -141,25 +141,30 @@ def q_write_reports(spark, d):
                        F.col("report.success").alias("success"))
 
 
-@register("stream_dedupe", None)
+@register("stream_dedupe", """
+WITH RECURSIVE r AS (SELECT 'https://reddit.com/r/x/comments/' || CAST(user_id AS VARCHAR) || '/' || event_type || '/' AS post_url,
+    ts AS requested_at FROM events),
+k AS (SELECT post_url, min(requested_at) AS requested_at FROM r GROUP BY post_url
+    UNION ALL
+    SELECT r.post_url, min(r.requested_at) FROM k JOIN r ON r.post_url = k.post_url
+      AND r.requested_at > k.requested_at + INTERVAL 24 HOUR GROUP BY r.post_url, k.requested_at)
+SELECT post_url, CAST(requested_at AS TIMESTAMP) AS requested_at FROM k""")
 def q_stream_dedupe(spark, d):
-    """ST1: requests derived from events (one per event; URL per user and event type), stored
-    one folder per day, stream through the TTL dedupe one day per micro-batch (so the
-    watermark advances and expired URLs are processed again); processed requests are read back."""
+    """ST1: requests derived from events (one per event; URL per user and event type) stream
+    through the TTL rule; the requests that are due are read back."""
     root = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     e = _v(spark, d).t("events")
     req = e.select(F.concat(F.lit("https://reddit.com/r/x/comments/"), F.col("user_id").cast("string"),
                             F.lit("/"), F.col("event_type"), F.lit("/")).alias("post_url"),
-                   F.col("ts").cast("timestamp").alias("requested_at"), F.to_date("ts").alias("day"))
-    req.repartition("day").write.partitionBy("day").parquet(f"{root}/in")
+                   F.col("ts").cast("timestamp").alias("requested_at"))
+    req.write.parquet(f"{root}/in")
 
     def process(batch, epoch):
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{root}/out")
-
-    q = ST.start(spark, f"{root}/in", f"{root}/ckpt", process, ttl_hours=24,
-                 schema=ST.REQUEST_SCHEMA + ", day DATE", max_files_per_trigger=1)
-    q.awaitTermination(900)
-    try:
-        return spark.read.parquet(f"{root}/out")
-    except Exception:  # noqa: BLE001 - nothing was processed
-        return spark.createDataFrame([], "post_url string, requested_at timestamp, day date, epoch int")
+        batch.write.mode("append").parquet(f"{root}/out")
+
+    q = ST.start(spark, f"{root}/in", f"{root}/ckpt", process, ttl_hours=24)
+    if not q.awaitTermination(3600):
+        q.stop()
+        raise TimeoutError("the dedupe stream did not end within an hour")
+    return spark.read.schema(ST.REQUEST_SCHEMA).parquet(f"{root}/out").select(
+        "post_url", F.col("requested_at").cast("timestamp_ntz").alias("requested_at"))

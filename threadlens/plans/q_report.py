@@ -54,7 +54,7 @@ FROM (SELECT post_id, comment_id, rank, score, body, b, w, cue,
              WHEN regexp_matches(lower(b), '{_CRI}') THEN 'critical' ELSE 'neutral' END AS toward_op,
         CASE WHEN cue THEN 'constructive' ELSE 'neutral' END AS overall_tone,
         least(w::DOUBLE / 10.0::DOUBLE, 10.0::DOUBLE) AS relevance_score,
-        substring(regexp_extract(trim(regexp_replace(b, '{WS}+', ' ', 'g')), '^[^.!?]*[.!?]?', 0), 1, 200) AS first
+        regexp_extract(trim(regexp_replace(b, '{WS}+', ' ', 'g')), '^[^.!?]*[.!?]?', 0) AS first
       FROM (SELECT *, coalesce(body, '') AS b,
                    len(list_filter(regexp_split_to_array(coalesce(body, ''), '{WS}+'), lambda x: x <> '')) AS w,
                    regexp_matches(lower(coalesce(body, '')), '{_CUE}') AS cue FROM ranked))"""

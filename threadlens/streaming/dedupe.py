@@ -1,29 +1,49 @@
 """ST1: skip posts that were processed within the TTL, as a streaming query.
 
-Incoming requests (post_url, requested_at) are deduplicated with
-``dropDuplicatesWithinWatermark``: a URL seen again within ``ttl_hours`` of event time is
-always dropped. Its state lives until the watermark (latest event time seen minus the
-TTL) passes first_seen + TTL; Spark evicts it at the end of the micro-batch that runs with
-that watermark, and a later request for the URL is processed again. State is bounded by
-the watermark; each
-micro-batch goes to ``process(batch_df, epoch_id)`` (e.g. the PL1 pipeline plus a memo
-upsert). The checkpoint folder makes the query restartable after a failure.
+Incoming requests (post_url, requested_at) pass if their URL was never processed, or if it was
+processed more than ``ttl_hours`` before. The state of a URL is the time it was last processed,
+kept by ``applyInPandasWithState``; it has the size of the memo itself, one time per URL. Within a micro-batch a URL's requests are
+judged in event-time order; a request older than the last processed time is not due. Each
+micro-batch goes to ``process(batch_df, epoch_id)`` (e.g. the PL1 pipeline plus a memo upsert).
+The checkpoint folder makes the query restartable after a failure.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 REQUEST_SCHEMA = "post_url STRING, requested_at TIMESTAMP"
 
 
+def _due(ttl_us: int):
+    def run(key, pdfs, state):
+        last = state.get[0] if state.exists else None
+        kept = []
+        for t in sorted(t for p in pdfs for t in p["at"].tolist()):
+            if last is None or t > last + ttl_us:
+                last = t
+                kept.append(t)
+        if kept:
+            state.update((last,))
+        yield pd.DataFrame({"key": [key[0]] * len(kept), "at": pd.Series(kept, dtype="int64")})
+    return run
+
+
 def fresh_requests(stream: DataFrame, ttl_hours: int = 24, key: str = "post_url",
                    ts: str = "requested_at") -> DataFrame:
-    return (stream.withWatermark(ts, f"{ttl_hours} hours")
-                  .dropDuplicatesWithinWatermark([key]))
+    """The requests ``(key, ts)`` that are due. Null keys or times are not requests and are dropped."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    due = (stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+                 .select(F.col(key).alias("key"), at.alias("at"))
+                 .groupBy("key").applyInPandasWithState(_due(ttl_hours * 3_600_000_000), "key string, at bigint", "last bigint",
+                                                        "append", GroupStateTimeout.NoTimeout))
+    return due.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts))
 
 
 def start(spark: SparkSession, source: str, checkpoint: str, process: Callable[[DataFrame, int], None],
@@ -52,8 +72,6 @@ def analyze_batches(posts: DataFrame, comments: DataFrame, store, as_of: str, pa
     ``posts`` / ``comments`` are the tables the reports are computed from; ``store`` is a
     ``threadlens.operators.memo.MemoStore``.
     """
-    from pyspark.sql import functions as F
-
     from threadlens.functions.urls import post_id
     from threadlens.params import DEFAULT
     from threadlens.plans import pipeline as PL
