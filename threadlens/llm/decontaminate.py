@@ -2,9 +2,9 @@
 
 The test items form an inverted index. Every window of words of every document is a query: a
 window meets all items whose BM25 score reaches ``least_score`` of the score that the item gives
-itself. For each block of items the index holds the largest impact of each term; prefix sums of
-these give an upper bound for every window at once, and only the blocks whose bound reaches the
-threshold are scored exactly (block-max WAND, block at a time). What is retrieved is verified: a
+itself. For each block of items the index holds the largest impact of each term; their sums over
+the distinct terms of each half window bound all windows at once, and only the blocks whose bound
+reaches the threshold are scored exactly (block-max WAND, block at a time). What is retrieved is verified: a
 document leaks an item if it holds nearly all five-word shingles of its question and of its
 answer, or of the whole item.
 
@@ -30,8 +30,8 @@ K1, B = 1.2, 0.75
 LEAST_SCORE = 0.5
 SHINGLE = 5
 PERCENT = 80
-BLOCK_ITEMS = 8
-PART_ITEMS = 4096
+BLOCK_ITEMS = 4
+PART_ITEMS = 256
 SLAB_WORDS = 1 << 16
 
 
@@ -83,13 +83,14 @@ class Index:
             impact[self.terms[t]][at[i]] = v
             own[at[i]] += v
         self.blocks = -(-len(self.items) // BLOCK_ITEMS)
-        self.high = np.zeros((len(self.terms), self.blocks), np.float64)
+        self.impact = np.zeros((len(self.terms), self.blocks * BLOCK_ITEMS))
         self.postings = [[[] for _ in range(self.blocks)] for _ in self.terms]
         for t, row in impact.items():
             for k, v in row.items():
                 v /= least_score * own[k]       # 1 is the threshold
-                self.high[t, k // BLOCK_ITEMS] = max(self.high[t, k // BLOCK_ITEMS], v)
+                self.impact[t, k] = v
                 self.postings[t][k // BLOCK_ITEMS].append((k, v))
+        self.high = self.impact.reshape(len(self.terms), self.blocks, BLOCK_ITEMS).max(axis=2)
         self.least_score = least_score
         self.parts = [split_item(texts[i]) for i in self.items]
         self.grams = [(shingles(q), shingles(a), shingles(q + a)) for q, a in self.parts]
@@ -104,19 +105,21 @@ class Index:
             known = np.flatnonzero(ids >= 0)
             if not len(known):
                 continue
-            # a term that comes again within half a window adds nothing to most windows, but a
-            # bound may only be too high, so all are added
-            sums = np.concatenate([np.zeros((1, self.blocks)), np.cumsum(self.high[ids[known]], axis=0)])
+            # the distinct terms of each half window; a term in both halves of a window counts twice in
+            # the bound, which may only be too high
+            pairs = np.unique(known // half * len(self.terms) + ids[known])
+            part, term = pairs // len(self.terms), pairs % len(self.terms)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
             starts = np.arange(0, max(1, len(slab) - half), half)
-            a, b = np.searchsorted(known, starts), np.searchsorted(known, starts + self.window)
-            for w, block in zip(*np.nonzero(sums[b] - sums[a] >= 1 - 1e-9)):
-                score = defaultdict(float)
-                for t in set(ids[known[a[w]:b[w]]].tolist()):
-                    for k, v in self.postings[t][block]:
-                        score[k] += v
-                for k, v in score.items():
-                    if v >= 1 - 1e-9:
-                        yield k, v * self.least_score, lo + int(starts[w])
+            bound = np.zeros((max(len(starts), int(part[-1])) + 2, self.blocks))
+            bound[part[first]] = np.add.reduceat(self.high[term], first, axis=0)
+            bound = bound[:len(starts)] + bound[1:len(starts) + 1]
+            for w, block in zip(*np.nonzero(bound >= 1 - 1e-9)):
+                own = np.unique(term[np.searchsorted(part, w):np.searchsorted(part, w + 2)])
+                at = block * BLOCK_ITEMS
+                score = self.impact[own, at:at + BLOCK_ITEMS].sum(axis=0)
+                for k in np.flatnonzero(score >= 1 - 1e-9):
+                    yield int(at + k), float(score[k]) * self.least_score, lo + int(starts[w])
 
     def leaks(self, words: list[bytes]) -> list[tuple]:
         """``(item_id, score, question share, answer share, first word, words)`` of verified items."""
