@@ -84,7 +84,7 @@ def test_report_sinks_switch(spark, tmp_path):
     out = SR.save_reports(df, str(tmp_path / "c"), "markdown")
     md = spark.read.json(out[0]).first()
     assert (md.post_id, md.file_name, md.markdown) == ("1", "1.md", "# md")
-    back = SR.load_reports(spark, str(tmp_path / "a") + "/json").first()
+    back = spark.read.json(str(tmp_path / "a") + "/json").first()
     assert back.summary == "x" and "markdown" not in back.asDict()
     with pytest.raises(ValueError):
         SR.save_reports(df, str(tmp_path / "d"), "pdf")
@@ -98,4 +98,46 @@ def test_cli_memo_commands(spark, tmp_path, capsys):
     assert main(["memo-stats", "--store", f"posts={tmp_path / 'posts'}"]) == 0
     assert "posts\t2" in capsys.readouterr().out
     assert main(["memo-purge", "--store", f"posts={tmp_path / 'posts'}", "--as-of", AS_OF]) == 0
+    assert "posts\t1 purged\t1 kept" in capsys.readouterr().out
     assert [r.url for r in store.read().collect()] == ["a"]
+    assert main(["memo-delete", "--store", f"posts={tmp_path / 'posts'}", "--key-column", "url", "--key", "zz"]) == 0
+    assert store.read().count() == 1
+    assert main(["memo-clear", "--store", f"posts={tmp_path / 'posts'}"]) == 0
+    assert store.read().count() == 0 and store.read().columns
+
+
+def test_unreadable_store_is_an_error(spark, tmp_path):
+    import pytest
+    (tmp_path / "broken" / "_pointer").mkdir(parents=True)
+    (tmp_path / "broken" / "_pointer" / "part-0.parquet").write_bytes(b"not parquet at all")
+    with pytest.raises(Exception):
+        M.MemoStore(spark, str(tmp_path / "broken")).read()
+
+
+def test_reports_through_memo_and_schema(spark, tmp_path):
+    """PL1 behind its memo: the second run reuses all reports; saved reports keep their types."""
+    from threadlens.plans import pipeline as PL
+    from threadlens.plans.q_report import _posts
+    from threadlens.schemas import MEMO_REPORT
+    from threadlens.sources import reports as SR
+    from threadlens.sources.tables import Views
+    d = "/root/testdata/sf0.001"
+    urls = spark.createDataFrame([("https://reddit.com/r/a/comments/3/x/",), ("https://example.com/none",)], "url string")
+    posts, comments = PL.requested(urls, _posts(spark, d), Views(spark, d).threads())
+    assert [r.post_id for r in posts.collect()] == [3]
+    store = M.MemoStore(spark, str(tmp_path / "memo"))
+    empty = store.read(MEMO_REPORT).withColumn("post_id", F.col("post_id").cast("bigint"))
+    first, new = PL.analyze_reuse(posts, comments, empty, AS_OF)
+    assert [r.report.metadata.from_cache for r in first.collect()] == [False]
+    store.upsert(new, "post_id")
+    again, none = PL.analyze_reuse(posts, comments, store.read(), AS_OF)
+    row = again.first()
+    assert row.report.metadata.from_cache and none.count() == 0
+    assert row.report.comments_analysis.comments_available == comments.count() > 0
+    _, all_new = PL.analyze_reuse(posts, comments, store.read(), AS_OF, use_cache=False)
+    assert all_new.count() == 1
+    SR.save_reports(first, str(tmp_path / "out"), "json")
+    back = SR.load_reports(spark, str(tmp_path / "out") + "/json")
+    assert back.schema["report"].dataType.simpleString() == first.schema["report"].dataType.simpleString()
+    assert back.first().report.comments_analysis.intent_distribution == \
+        first.first().report.comments_analysis.intent_distribution

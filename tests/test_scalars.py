@@ -44,8 +44,10 @@ def test_assemble_text(spark):
         "ct string, t string, s string, o string, g array<string>, lf boolean, lt string, lc string")
     got = [r[0] for r in df.select(ct.assemble_text("ct", "t", "s", "o", "g", "lf", "lt", "lc")).collect()]
     assert got[0] == "Title: T\n\n[Video content - unsupported for text extraction]"
-    assert got[1] == "Title: T\n\nImage 1 Text: one\n\nImage 4 Text: four\n\nImage 5 Text: five"
-    assert got[2] == "Linked Article Title: \n\nArticle Content: " + "x" * 5000
+    assert got[1] == "Title: T\n\nImage 1 Text: one\n\nImage 4 Text: four\n\nImage 5 Text: five\n\nImage 6 Text: six"
+    assert got[2] == "Linked Article Title: \n\nArticle Content: " + "x" * 6000
+    cut = [r[0] for r in df.select(ct.assemble_text("ct", "t", "s", "o", "g", "lf", "lt", "lc", 5, 5000)).collect()]
+    assert cut[1].endswith("Image 5 Text: five") and cut[2].endswith(": " + "x" * 5000)
     assert got[3] == "Title: T"
 
 

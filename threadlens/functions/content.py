@@ -68,9 +68,14 @@ def _nz(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def first_n(arr: Column, n: int | None) -> Column:
+    """The first ``n`` elements; all of them without a limit."""
+    return arr if n is None else F.slice(arr, 1, n)
+
+
 def assemble_text(content_type, title, selftext, image_text, gallery_texts,
-                  link_found, link_title, link_text, gallery_images: int = 5,
-                  article_cut: int = 5000) -> Column:
+                  link_found, link_title, link_text, gallery_images: int | None = None,
+                  article_cut: int | None = None) -> Column:
     """TX1: the post's text, parts joined by a blank line.
 
     Fixed values: the part labels ("Title: ", "Body: ", "Image Text: ", "Image {n} Text: ",
@@ -79,19 +84,21 @@ def assemble_text(content_type, title, selftext, image_text, gallery_texts,
 
     image_text: OCR text of the post image; gallery_texts: ARRAY<STRING> of OCR texts aligned
     with gallery_data (null or '' when an image has none); link_found/link_title/link_text:
-    the linked page as extracted by TX5.
+    the linked page as extracted by TX5. ``gallery_images`` and ``article_cut`` limit the images
+    and the article's characters; by default all are used.
     """
     ct = _c(content_type)
     title_part = F.concat(F.lit("Title: "), _nz(_c(title)))
     body = F.when(ct == "text", F.concat(F.lit("Body: "), _nz(_c(selftext))))
     image = F.when(ct == "image", F.concat(F.lit("Image Text: "), _nz(_c(image_text))))
     gallery = F.when(ct == "gallery", F.transform(
-        F.slice(F.coalesce(_c(gallery_texts), F.array().cast("array<string>")), 1, gallery_images),
+        first_n(F.coalesce(_c(gallery_texts), F.array().cast("array<string>")), gallery_images),
         lambda x, i: F.concat(F.lit("Image "), (i + 1).cast("string"), F.lit(" Text: "), _nz(x))))
     is_link = (ct == "link") & F.coalesce(_c(link_found), F.lit(False))
     link_head = F.when(is_link, F.concat(F.lit("Linked Article Title: "),
                                          F.coalesce(_c(link_title), F.lit(""))))
     link_body = F.when(is_link, F.concat(F.lit("Article Content: "),
-                                         _nz(F.substring(_c(link_text), 1, article_cut))))
+                                         _nz(_c(link_text) if article_cut is None
+                                             else F.substring(_c(link_text), 1, article_cut))))
     video = F.when(ct == "video", F.lit(VIDEO_PLACEHOLDER))
     return F.concat_ws("\n\n", title_part, body, image, gallery, link_head, link_body, video)

@@ -52,26 +52,16 @@ def _without_removed(h: Column) -> Column:
     return h
 
 
-def main_html(html) -> Column:
-    """Inner HTML of the main element, null when the page has none."""
-    h = _without_removed(_c(html))
-    out = None
-    for tag in reversed(MAIN_TAGS):
-        found = F.regexp_like(h, F.lit(rf"(?is)<{tag}\b"))
-        inner = F.regexp_extract(h, rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)", 1)
-        out = F.when(found, inner) if out is None else F.when(found, inner).otherwise(out)
-    return out
-
-
-def page_text(html, cut: int = 10000) -> Column:
-    m = main_html(html)
-    t = decode_entities(F.regexp_replace(m, "<[^>]*>", " "))
-    t = F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
-    return F.when(F.length(t) > cut, F.concat(F.substring(t, 1, cut), F.lit("..."))).otherwise(t)
+def _cut(text: Column, cut: int | None) -> Column:
+    """The whole text, or its first ``cut`` characters and an ellipsis."""
+    if cut is None:
+        return text
+    return F.when(F.length(text) > cut, F.concat(F.substring(text, 1, cut), F.lit("..."))).otherwise(text)
 
 
-def extract_page(df, url_col: str = "url", html_col: str = "html", cut: int = 10000):
-    """TX5 over a pages(url, html) table: adds title, text, source_domain, found.
+def extract_page(df, url_col: str = "url", html_col: str = "html", cut: int | None = None):
+    """TX5 over a pages(url, html) table: adds title, text (whole unless ``cut`` is given),
+    source_domain, found.
 
     The cleaned HTML and the main element are computed once per row in their own
     projections (they feed several expressions).
@@ -85,9 +75,8 @@ def extract_page(df, url_col: str = "url", html_col: str = "html", cut: int = 10
     m = h.withColumn("_main", found)
     t = m.withColumn("_t", F.trim(F.regexp_replace(decode_entities(F.regexp_replace("_main", "<[^>]*>", " ")),
                                                    r"(?U)\s+", " ")))
-    text = F.when(F.length("_t") > cut, F.concat(F.substring("_t", 1, cut), F.lit("..."))).otherwise(F.col("_t"))
     return (t.withColumn("title", page_title(html_col))
-             .withColumn("text", text)
+             .withColumn("text", _cut(F.col("_t"), cut))
              .withColumn("source_domain", source_domain(url_col))
              .withColumn("found", F.col("_main").isNotNull())
              .drop("_clean", "_main", "_t"))
@@ -105,7 +94,7 @@ class _Node:
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
-def _parse_page(html: str, cut: int = 10000):
+def _parse_page(html: str, cut: int | None = None):
     """Title and main text of one page with the stdlib HTML parser (same rules as TX5)."""
     from html.parser import HTMLParser
 
@@ -160,10 +149,10 @@ def _parse_page(html: str, cut: int = 10000):
         return title, None
     parts = [s.strip() for s in texts(main, [], set(REMOVED_TAGS))]
     text = " ".join(" ".join(x for x in parts if x).split())
-    return title, (text[:cut] + "...") if len(text) > cut else text
+    return title, text if cut is None or len(text) <= cut else text[:cut] + "..."
 
 
-def extract_page_parsed(df, url_col: str = "url", html_col: str = "html", cut: int = 10000):
+def extract_page_parsed(df, url_col: str = "url", html_col: str = "html", cut: int | None = None):
     """TX5 through Python's stdlib HTML parser in Arrow batches (opt-in for malformed pages
     and character references beyond the native entity table). Same output columns as
     ``extract_page``."""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,10 +126,12 @@ class MemoStore:
 
     def _version(self) -> int | None:
         try:
-            r = self.spark.read.parquet(f"{self.root}/_pointer").agg(F.max("version")).first()
-        except Exception:  # noqa: BLE001 - no pointer yet
-            return None
-        return None if r is None else r[0]
+            pointers = self.spark.read.schema("version int").parquet(f"{self.root}/_pointer")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":      # nothing written yet; any other error is one
+                return None
+            raise
+        return pointers.agg(F.max("version")).first()[0]
 
     def read(self, schema=None) -> DataFrame | None:
         v = self._version()
@@ -146,6 +149,25 @@ class MemoStore:
         cur = self.read()
         return self.write(new if cur is None else memo_upsert(cur, new, key, order))
 
-    def purge(self, as_of, hours: int = 24) -> int | None:
+    def purge(self, as_of, hours: int = 24) -> tuple[int, int] | None:
+        """M5: drop expired entries; the numbers of entries purged and kept."""
+        cur = self.read()
+        if cur is None:
+            return None
+        e = is_expired("cached_at", as_of, hours)
+        n = cur.agg(F.count_if(e), F.count_if(~e)).first()
+        if n[0]:
+            self.write(live(cur, as_of, hours))
+        return n[0], n[1]
+
+    def delete(self, keys: DataFrame, key: str) -> None:
+        """M7: remove the entries of ``keys``."""
+        cur = self.read()
+        if cur is not None:
+            self.write(memo_delete(cur, keys, key))
+
+    def clear(self) -> None:
+        """M8: remove all entries; the schema stays."""
         cur = self.read()
-        return None if cur is None else self.write(live(cur, as_of, hours))
+        if cur is not None:
+            self.write(memo_clear_all(cur))

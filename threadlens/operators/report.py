@@ -87,6 +87,7 @@ def build_report(posts: DataFrame, parts: DataFrame | None, as_of: str, by=BY) -
     z = F.lit(0).cast("bigint")
     n = F.coalesce(F.col("total_processed"), z)
     hq = F.coalesce(F.col("high_quality_count"), z)
+    available = F.coalesce(F.col("comments_available"), z) if "comments_available" in x.columns else n
     lm = "map<string,bigint>"
     return x.select(
         *by,
@@ -103,7 +104,7 @@ def build_report(posts: DataFrame, parts: DataFrame | None, as_of: str, by=BY) -
                  F.col("post_annotation.irony_or_contradiction").alias("irony_or_contradiction"),
                  F.col("post_annotation.summaries").alias("summaries"),
                  F.col("post_annotation.classification").alias("classification")).alias("post_analysis"),
-        F.struct(n.alias("total_fetched"), n.alias("total_processed"), hq.alias("high_quality_count"),
+        F.struct(available.alias("comments_available"), n.alias("total_fetched"), n.alias("total_processed"), hq.alias("high_quality_count"),
                  (pct_tenths(hq, n) / F.lit(10.0)).alias("high_quality_percentage"),
                  F.coalesce("sentiment_distribution", _empty_map(lm)).alias("sentiment_distribution"),
                  F.coalesce("intent_distribution", _empty_map(lm)).alias("intent_distribution"),
@@ -129,9 +130,11 @@ def _insight_text(v: Column) -> Column:
     return F.when(n["is_object"], n["insight"]).otherwise(n["insight"])
 
 
-def markdown_report(report="report", top_k: int = 5) -> Column:
+def markdown_report(report="report", top_k: int = 5, body_cut: int | None = None) -> Column:
     """REP1: the Markdown rendering of a report (fixed section order).
 
+    Comment bodies are whole; with ``body_cut``, longer ones are cut and end in an ellipsis.
+
     Fixed values: the headings and labels below are the reference's Markdown layout, in the
     order they appear in the document.
     """
@@ -139,6 +142,12 @@ def markdown_report(report="report", top_k: int = 5) -> Column:
     md, pa, ca, sy = r["metadata"], r["post_analysis"], r["comments_analysis"], r["synthesis"]
     cc = sy["community_consensus"]
     na = lambda c: F.coalesce(c, F.lit("N/A"))
+
+    def body(b):
+        if body_cut is None:
+            return b
+        return F.when(F.length(b) > body_cut, F.concat(F.substring(b, 1, body_cut), F.lit("..."))).otherwise(b)
+
     upv = F.bround(F.coalesce(md["upvote_ratio"], F.lit(0.0)) * F.lit(100.0), 0).cast("bigint").cast("string")
     themes = ca["theme_percentages"]
     ins = F.coalesce(sy["key_insights"], F.array().cast("array<variant>"))
@@ -159,7 +168,7 @@ def markdown_report(report="report", top_k: int = 5) -> Column:
                  F.coalesce(c["score"], F.lit(0)).cast("string"), F.lit(")")),
         F.concat(F.lit("**Intent:** "), na(c["intent_primary"])),
         F.concat(F.lit("**Sentiment toward OP:** "), na(c["sentiment"]["toward_op"])),
-        F.concat(F.lit("\n"), F.substring(F.coalesce(c["body"], F.lit("")), 1, 500), F.lit("...\n")))), NL)
+        F.concat(F.lit("\n"), body(F.coalesce(c["body"], F.lit(""))), F.lit(NL)))), NL)
     return _lines(
         F.lit("# Reddit Post Analysis Report\n"),
         F.concat(F.lit("**Subreddit:** r/"), md["subreddit"]),
@@ -202,16 +211,21 @@ def analysis_summary(report="report") -> Column:
             F.slice(ins, 1, 3), lambda v: F.concat(F.lit("  • "), _insight_text(v))))))
 
 
+def _by_share(a: Column, b: Column) -> Column:
+    """Order of map entries: larger value first, ties by name."""
+    return (F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1)
+             .when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+
+
 def terminal_view(report="report") -> list[Column]:
     """REP3: the terminal summary as columns (5 insights, 5 actions, themes by share, top-6 tones)."""
     r = _c(report)
     sy, ca = r["synthesis"], r["comments_analysis"]
     ins = F.slice(F.coalesce(sy["key_insights"], F.array().cast("array<variant>")), 1, 5)
     themes = F.array_sort(F.map_entries(ca["theme_percentages"]),
-                          lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).otherwise(0))
+                          lambda a, b: _by_share(a, b))
     tones = F.slice(F.array_sort(F.map_entries(ca["tone_distribution"]),
-                                 lambda a, b: F.when(a["value"] > b["value"], -1)
-                                 .when(a["value"] < b["value"], 1).otherwise(0)), 1, 6)
+                                 lambda a, b: _by_share(a, b)), 1, 6)
     return [F.transform(ins, lambda v: normalize_insight(v)).alias("insights"),
             F.slice(F.coalesce(sy["recommended_actions"], _empty_arr()), 1, 5).alias("actions"),
             themes.alias("theme_distribution"), tones.alias("tone_top6")]

@@ -13,14 +13,12 @@ class Params:
     batch_size: int = 20             # EN1
     max_depth: int = 5               # TR1: replies followed while depth < 5
     comment_order: str = "source"    # TR3: sibling order for the root limit and pre-order: source | new | top
-    gallery_images: int = 5          # TX1
-    page_text_cut: int = 10000       # TX5
-    article_cut: int = 5000          # TX1
+    gallery_images: int | None = None      # TX1: images of a gallery that are read; None: all
+    article_cut: int | None = None         # TX1: characters of a linked article; None: whole
     report_top_k: int = 10           # RK4 in the report
-    synthesis_top_k: int = 20        # RK4 feeding the synthesis prompt
     markdown_top_k: int = 5          # RK4 in the Markdown rendering
+    markdown_body_cut: int | None = None   # REP1: characters of a comment; None: whole
     themes_top_k: int = 5            # AG4
-    output_format: str = "both"      # SNK3: json | markdown | both
     # PL3: partitions feeding a Python annotator, i.e. at most this many concurrent model
     # calls (the reference used 3). None keeps Spark's partitioning (no cap).
     max_concurrent_calls: int | None = None

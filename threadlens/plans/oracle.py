@@ -101,7 +101,7 @@ def page_title(h: str) -> str:
     return strip_unicode(decode_entities(raw))
 
 
-def page_text(h: str, cut: int = 10000) -> str:
+def page_text(h: str) -> str:
     x = f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
     for tag in ["script", "style", "nav", "footer", "header"]:
         x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
@@ -109,9 +109,7 @@ def page_text(h: str, cut: int = 10000) -> str:
     for tag in ["body", "main", "article"]:
         main = (f"CASE WHEN regexp_matches({x}, '(?is)<{tag}\\b') THEN "
                 f"regexp_extract({x}, '(?is)<{tag}\\b[^>]*>(.*?)(?:</{tag}\\s*>|\\z)', 1) ELSE {main} END")
-    t = ws_collapse(decode_entities(f"regexp_replace({main}, '<[^>]*>', ' ', 'g')"))
-    return (f"(SELECT CASE WHEN length(_t) > {cut} THEN substring(_t, 1, {cut}) || '...' ELSE _t END "
-            f"FROM (SELECT {t} AS _t))")
+    return ws_collapse(decode_entities(f"regexp_replace({main}, '<[^>]*>', ' ', 'g')"))
 
 
 def authority(u: str) -> str:

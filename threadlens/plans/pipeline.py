@@ -20,6 +20,7 @@ from threadlens.functions import content as ct
 from threadlens.functions import urls as U
 from threadlens.params import DEFAULT, Params
 from threadlens.operators import enrich as EN
+from threadlens.operators import memo as M
 from threadlens.operators import ranking as R
 from threadlens.operators import report as REP
 from threadlens.operators import tree as T
@@ -55,7 +56,7 @@ def post_content(posts: DataFrame, ocr: DataFrame | None = None, links: DataFram
     img = ocr.select(F.col("image_url").alias("url"), F.col("extracted_text").alias("_image_text"))
     x = p.join(img, "url", "left")
     if "gallery_data" in p.columns:
-        g = (p.select("post_id", F.posexplode(F.slice("gallery_data", 1, params.gallery_images)).alias("_k", "image_url"))
+        g = (p.select("post_id", F.posexplode(ct.first_n(F.col("gallery_data"), params.gallery_images)).alias("_k", "image_url"))
              .join(ocr, "image_url", "left")
              .groupBy("post_id")
              .agg(F.array_sort(F.collect_list(F.struct("_k", "extracted_text"))).alias("_g"))
@@ -110,13 +111,46 @@ def analyze(posts: DataFrame, comments: DataFrame, as_of: str, params: Params =
     ctx = p.select(*by, EN.post_context("post_annotation", "title").alias("post_context"))
     flat = annotate_comments(comments, params, annotator, context=None if annotator == "rule" else ctx, by=by)
     parts = thread_parts(flat, params, by)
-    x = p.join(parts, by, "left")
+    available = comments.groupBy(*by).agg(F.count(F.lit(1)).alias("comments_available"))
+    x = p.join(parts, by, "left").join(available, by, "left")
     if synthesizer is None:
         x = x.withColumn("synthesis", REP.rule_synthesis())
     else:
         x = x.withColumn("synthesis", EN.synthesis_from(synthesizer(x)))
     rep = _report(x, as_of, by)
-    return rep.withColumn("markdown", REP.markdown_report("report", params.markdown_top_k))
+    return rep.withColumn("markdown", REP.markdown_report("report", params.markdown_top_k, params.markdown_body_cut))
+
+
+def analyze_reuse(posts: DataFrame, comments: DataFrame, memo: DataFrame, as_of: str, params: Params = DEFAULT,
+                  use_cache: bool = True, **models) -> tuple[DataFrame, DataFrame]:
+    """PL1 behind its memo: ``(reports, new memo rows)``.
+
+    ``memo`` is a log of ``(post_id, report, markdown, cached_at)``. A post whose latest entry is
+    live (``params.memo_ttl_hours``) gets that report with ``from_cache`` true; only the other
+    posts and their comments are analysed, once (the result is checkpointed, as the caller both
+    writes it and upserts it). With ``use_cache`` false everything is analysed.
+    """
+    from threadlens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(posts.sparkSession)
+    hits = M.live(M.current(memo, "post_id"), as_of, params.memo_ttl_hours).where(
+        F.col("report").isNotNull() & F.lit(use_cache)).join(posts.select("post_id"), "post_id", "left_semi")
+    todo = posts.join(hits.select("post_id"), "post_id", "left_anti")
+    fresh = analyze(todo, comments.join(todo.select("post_id"), "post_id", "left_semi"), as_of, params,
+                    **models).checkpoint(eager=True)
+    cached = F.col("report").withField("metadata.from_cache", F.lit(True)).alias("report")
+    new = fresh.withColumn("cached_at", F.lit(as_of).cast("timestamp_ntz"))
+    return hits.select("post_id", cached, "markdown").unionByName(fresh), new
+
+
+def requested(urls: DataFrame, posts: DataFrame, comments: DataFrame, url_col: str = "url"):
+    """PL2: the posts and comments that a URL list asks for, before any work is done on them.
+
+    The URLs' ids are cast to the tables' key type, not the other way round; a URL without a
+    usable id asks for nothing.
+    """
+    kind = posts.schema["post_id"].dataType
+    ids = urls.select(U.post_id(F.col(url_col)).try_cast(kind).alias("post_id")).where("post_id is not null").distinct()
+    return posts.join(ids, "post_id", "left_semi"), comments.join(ids, "post_id", "left_semi")
 
 
 def _report(x: DataFrame, as_of: str, by=BY) -> DataFrame:

@@ -136,7 +136,7 @@ def q_write_reports(spark, d):
     path = scratch_path(spark, f"reports-{uuid.uuid4().hex}")
     SR.save_reports(_reports(spark, d).select("post_id", "report", "markdown"), path, "both")
     back = SR.load_reports(spark, f"{path}/json")
-    return back.select("post_id", F.col("report.metadata.post_id").alias("report_post_id"),
+    return back.select(F.col("post_id").cast("bigint").alias("post_id"), F.col("report.metadata.post_id").alias("report_post_id"),
                        F.col("report.synthesis.executive_summary").alias("executive_summary"),
                        F.col("report.success").alias("success"))
 

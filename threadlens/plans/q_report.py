@@ -173,7 +173,7 @@ def _md_sql():
     tops = (f"CASE WHEN n_top > 0 THEN array_to_string(list_transform(ids[1:5], lambda c, i: "
             f"'### Comment ' || CAST(i AS VARCHAR) || ' (Score: ' || CAST(coalesce(scores[i], 0) AS VARCHAR) || ')' || {nl} || "
             f"'**Intent:** ' || coalesce(intents[i], 'N/A') || {nl} || '**Sentiment toward OP:** ' || "
-            f"coalesce(towards[i], 'N/A') || {nl} || {nl} || substring(coalesce(bodies[i], ''), 1, 500) || '...' || {nl}), {nl}) END")
+            f"coalesce(towards[i], 'N/A') || {nl} || {nl} || coalesce(bodies[i], '') || {nl}), {nl}) END")
     return f"""concat_ws({nl},
   '# Reddit Post Analysis Report' || {nl},
   '**Subreddit:** r/' || subreddit, '**Author:** u/' || author,
@@ -208,6 +208,22 @@ def q_analysis_summary(spark, d):
     return _reports(spark, d).select("post_id", REP.analysis_summary("report").alias("summary"))
 
 
+@register("analyze_reuse", _rsql(f"""
+SELECT post_id, post_id % 3 = 0 AS from_cache, {_EXEC} AS executive_summary,
+       (SELECT count(*) FROM v_threads x WHERE x.post_id = rep.post_id) AS comments_available FROM rep"""))
+def q_analyze_reuse(spark, d):
+    """PL1 behind its memo: a third of the posts has a live entry, a third an expired one."""
+    posts, threads, key = _posts(spark, d), _v(spark, d).threads(), F.col("post_id")
+    hours = F.when(key % 3 == 0, F.lit(-1)).otherwise(F.lit(-72))
+    memo = PL.analyze(posts.where(key % 3 < 2), threads, AS_OF).withColumn(
+        "cached_at", F.timestamp_add("HOUR", hours, F.lit(AS_OF).cast("timestamp_ntz")))
+    reports, _ = PL.analyze_reuse(posts, threads, memo, AS_OF)
+    r = F.col("report")
+    return reports.select("post_id", r["metadata"]["from_cache"].alias("from_cache"),
+                          r["synthesis"]["executive_summary"].alias("executive_summary"),
+                          r["comments_analysis"]["comments_available"].alias("comments_available"))
+
+
 @register("terminal_view", None)
 def q_terminal_view(spark, d):
     return _reports(spark, d).select("post_id", *REP.terminal_view("report"))

@@ -158,7 +158,7 @@ def _assembled(spark, d):
                              ct.ingest_content_type("is_video", "is_gallery", "is_self", "url"))
     ocr = v.ocr()
     img = ocr.select(F.col("image_url").alias("url"), F.col("extracted_text").alias("image_text"))
-    gal = (v.gallery().select("post_id", F.posexplode(F.slice("gallery_data", 1, 5)).alias("k", "image_url"))
+    gal = (v.gallery().select("post_id", F.posexplode("gallery_data").alias("k", "image_url"))
            .join(ocr, "image_url", "left")
            .groupBy("post_id")
            .agg(F.array_sort(F.collect_list(F.struct("k", "extracted_text"))).alias("g"))
@@ -180,15 +180,15 @@ SELECT p.post_id, p.content_type, concat_ws({_NL2},
   CASE WHEN p.content_type = 'gallery' THEN nullif(array_to_string(list_filter(list_transform(g.texts,
        lambda x, i: CASE WHEN x <> '' THEN 'Image ' || CAST(i AS VARCHAR) || ' Text: ' || x END), lambda y: y IS NOT NULL), {_NL2}), '') END,
   CASE WHEN p.content_type = 'link' AND l.found THEN 'Linked Article Title: ' || coalesce(l.title, '') END,
-  CASE WHEN p.content_type = 'link' AND l.found AND substring(l.content, 1, 5000) <> ''
-       THEN 'Article Content: ' || substring(l.content, 1, 5000) END,
+  CASE WHEN p.content_type = 'link' AND l.found AND l.content <> ''
+       THEN 'Article Content: ' || l.content END,
   CASE WHEN p.content_type = 'video' THEN '{ct.VIDEO_PLACEHOLDER}' END) AS extracted_text
 FROM (SELECT *, {_CT2} AS content_type FROM v_posts) p
 LEFT JOIN v_ocr o ON o.image_url = p.url
 LEFT JOIN (SELECT post_id, list(extracted_text ORDER BY k) AS texts FROM (
              SELECT gg.post_id, gg.k, oo.extracted_text FROM (
-               SELECT post_id, unnest(list_slice(gallery_data, 1, 5)) AS image_url,
-                      unnest(range(0, len(list_slice(gallery_data, 1, 5)))) AS k FROM v_gallery) gg
+               SELECT post_id, unnest(gallery_data) AS image_url,
+                      unnest(range(0, len(gallery_data))) AS k FROM v_gallery) gg
              LEFT JOIN v_ocr oo ON oo.image_url = gg.image_url) GROUP BY post_id) g ON g.post_id = p.post_id
 LEFT JOIN v_links l ON l.url = p.url"""
 

@@ -26,3 +26,24 @@ SYNTHESIS = (
     "systemic_patterns: array<string>, notable_perspectives: array<string>, "
     "information_quality: struct<factual_accuracy: string, expert_input: string, source_citations: string>, "
     "comment_themes: map<string, double>, engagement_metrics: map<string, double>>")
+
+TOP_COMMENT = (
+    "struct<comment_id: string, score: bigint, body: string, author: string, depth: int, quality_score: double, "
+    f"intent_primary: string, intent_secondary: string, sentiment: {SENTIMENT}, key_insights: array<string>, "
+    "actionable_advice: array<string>, shared_experiences: array<string>, relevance_score: double, text: string>")
+
+_POST_PARTS = POST_ANNOTATION.removeprefix("struct<")
+
+REPORT = (
+    "struct<metadata: struct<post_url: string, post_id: string, subreddit: string, author: string, timestamp: string, "
+    "score: bigint, upvote_ratio: double, comment_count: bigint, analysis_timestamp: string, "
+    "analysis_duration_seconds: double, from_cache: boolean>, "
+    f"post_analysis: struct<content_type: string, extracted_text: string, {_POST_PARTS}, "
+    "comments_analysis: struct<comments_available: bigint, total_fetched: bigint, total_processed: bigint, "
+    "high_quality_count: bigint, high_quality_percentage: double, sentiment_distribution: map<string, bigint>, "
+    "intent_distribution: map<string, bigint>, theme_percentages: map<string, double>, "
+    f"tone_distribution: map<string, bigint>, top_comments: array<{TOP_COMMENT}>, all_insights: array<string>, "
+    f"all_advice: array<string>>, synthesis: {SYNTHESIS}, success: boolean>")
+
+SAVED_REPORT = f"post_id string, report {REPORT}"
+MEMO_REPORT = f"post_id string, report {REPORT}, markdown string, cached_at timestamp_ntz"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlens.schemas import SAVED_REPORT
+
 FORMATS = ("json", "markdown", "both")
 
 
@@ -63,8 +65,8 @@ def save_reports(reports: DataFrame, path: str, output_format: str = "both",
 
 
 def load_reports(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """SRC5: read saved JSON reports back (with the report schema when given)."""
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(path)
+    """SRC5: read saved JSON reports back, as ``(post_id, report)`` unless another schema is given.
+
+    The schema is fixed, so label maps stay maps and the files are read once.
+    """
+    return spark.read.schema(schema or SAVED_REPORT).json(path)
