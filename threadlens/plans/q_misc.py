@@ -11,7 +11,7 @@ from threadlens.operators import enrich as EN
 from threadlens.operators import report as REP
 from threadlens.plans import pipeline as PL
 from threadlens.plans.oracle import sql
-from threadlens.plans.q_report import AS_OF, _posts, _reports
+from threadlens.plans.q_report import AS_OF, _EXEC, _md_sql, _posts, _reports, _rsql
 from threadlens.plans.q_scalars import _ID, _KW
 from threadlens.plans.q_threads import _tree_sql
 from threadlens.plans.registry import register, _v
@@ -130,15 +130,20 @@ def q_diagnose_fetch(spark, d):
                     "flattened_count", "comments_ok", F.col("best_comment_id"), F.col("best_score"))
 
 
-@register("write_reports", None)
+@register("write_reports", _rsql(f"""
+SELECT post_id, CAST(post_id AS VARCHAR) AS report_post_id, {_EXEC} AS executive_summary, TRUE AS success,
+       CAST(post_id AS VARCHAR) || '.md' AS file_name, {_md_sql()} AS markdown FROM rep"""))
 def q_write_reports(spark, d):
-    """SNK1-SNK3 + SRC5: write JSON and Markdown reports to the shared folder, read JSON back."""
+    """SNK1-SNK3 + SRC5: write JSON and Markdown reports to the shared folder, read both back."""
     path = scratch_path(spark, f"reports-{uuid.uuid4().hex}")
     SR.save_reports(_reports(spark, d).select("post_id", "report", "markdown"), path, "both")
     back = SR.load_reports(spark, f"{path}/json")
-    return back.select(F.col("post_id").cast("bigint").alias("post_id"), F.col("report.metadata.post_id").alias("report_post_id"),
-                       F.col("report.synthesis.executive_summary").alias("executive_summary"),
-                       F.col("report.success").alias("success"))
+    text = spark.read.schema("post_id string, file_name string, markdown string").json(f"{path}/markdown")
+    return back.join(text, "post_id").select(
+        F.col("post_id").cast("bigint").alias("post_id"), "file_name", "markdown",
+        F.col("report.metadata.post_id").alias("report_post_id"),
+        F.col("report.synthesis.executive_summary").alias("executive_summary"),
+        F.col("report.success").alias("success"))
 
 
 @register("stream_dedupe", """
