@@ -37,7 +37,7 @@ SELECT user_id AS post_id, event_id AS comment_id, event_id AS seq, ts AS create
        event_type || '-' || CAST(TRY_CAST(props->>'$.k' AS BIGINT) % 7 AS VARCHAR) AS insight
 FROM events""", []),
     "v_posts": ("""
-SELECT doc_id AS post_id, substring(text, 1, 60) AS title, text AS selftext, source AS subreddit, lang,
+SELECT doc_id AS post_id, split_part(text, '. ', 1) AS title, text AS selftext, source AS subreddit, lang,
        (doc_id * 13) % 5000 - 50 AS score, (doc_id * 7) % 900 AS num_comments,
        CAST((doc_id % 51) + 50 AS DOUBLE) / 100 AS upvote_ratio,
        CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 'u' || CAST(doc_id % 97 AS VARCHAR) END AS author,
@@ -66,9 +66,9 @@ SELECT post_id, list_transform(range(0, CAST(post_id % 7 + 1 AS BIGINT)),
          lambda k: 'https://i.redd.it/g' || CAST(post_id AS VARCHAR) || '_' || CAST(k AS VARCHAR) || '.jpg') AS gallery_data
 FROM v_posts WHERE is_gallery""", ["v_posts"]),
     "v_ocr": ("""
-SELECT url AS image_url, substring(selftext, 1, 120) AS extracted_text FROM v_posts
+SELECT url AS image_url, selftext AS extracted_text FROM v_posts
 UNION ALL
-SELECT g.image_url, substring(p.selftext, CAST(g.k * 100 + 1 AS BIGINT), 80) AS extracted_text
+SELECT g.image_url, 'Image ' || CAST(g.k AS VARCHAR) || ': ' || p.selftext AS extracted_text
 FROM (SELECT post_id, unnest(gallery_data) AS image_url,
              unnest(range(0, len(gallery_data))) AS k FROM v_gallery) g
 JOIN v_posts p USING (post_id)

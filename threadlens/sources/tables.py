@@ -144,7 +144,7 @@ class Views:
 
     @_memo
     def posts(self) -> DataFrame:
-        """v_posts: one post per document."""
+        """v_posts: one post per document; its title is the text's first sentence."""
         d = self.t("documents")
         i = F.col("doc_id")
         m6 = (i % 6).cast("int")
@@ -156,7 +156,7 @@ class Views:
                 .when(m6 == 4, F.concat(F.lit("https://redd.it/abc"), (i + 100).cast("string")))
                 .otherwise(F.concat(F.lit("http://user@news.example.org:8080/story/"), i.cast("string"))))
         return d.select(
-            i.alias("post_id"), F.substring("text", 1, 60).alias("title"),
+            i.alias("post_id"), F.substring_index("text", ". ", 1).alias("title"),
             F.col("text").alias("selftext"), F.col("source").alias("subreddit"), "lang",
             ((i * 13) % 5000 - 50).alias("score"), ((i * 7) % 900).alias("num_comments"),
             ((i % 51 + 50).cast("double") / 100).alias("upvote_ratio"),
@@ -201,14 +201,18 @@ class Views:
 
     @_memo
     def ocr(self) -> DataFrame:
-        """v_ocr: OCR memo for post images and gallery images (every third gallery image has none)."""
+        """v_ocr: OCR memo for post images and gallery images (every third gallery image has none).
+
+        Each image reads as its post's whole text, a gallery image with its place in front.
+        """
         p = self.posts()
         post_img = p.select(F.col("url").alias("image_url"),
-                            F.substring("selftext", 1, 120).alias("extracted_text"))
+                            F.col("selftext").alias("extracted_text"))
         g = (self.gallery().select("post_id", F.posexplode("gallery_data").alias("k", "image_url"))
              .filter(F.col("k") % 3 != 2)
              .join(p.select("post_id", "selftext"), "post_id")
-             .select("image_url", F.substring("selftext", F.col("k") * 100 + 1, 80).alias("extracted_text")))
+             .select("image_url", F.concat(F.lit("Image "), F.col("k").cast("string"), F.lit(": "),
+                                           F.col("selftext")).alias("extracted_text")))
         return post_img.unionByName(g)
 
     @_memo
