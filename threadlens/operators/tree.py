@@ -71,8 +71,9 @@ def build_tree(comments: DataFrame, max_depth: int = 5, max_roots: int | None =
                      F.coalesce(nxt, F.col(cid)).alias("_jk"))
     reach = x.filter(F.col("_cur").isNull() & F.col("_ok")).drop("_cur", "_ok", "_jk")
     if max_roots is not None:
-        roots = (reach.filter(F.col("depth") == 0)
-                      .withColumn("_r", F.row_number().over(Window.partitionBy(post).orderBy("path")))
+        # Roots are the rows without a parent, so their limit needs no climb.
+        roots = (keyed.filter(F.col(parent).isNull())
+                      .withColumn("_r", F.row_number().over(Window.partitionBy(post).orderBy("_key")))
                       .filter(F.col("_r") <= max_roots)
                       .select(post, F.col(cid).alias("root_id")))
         reach = reach.join(roots, [post, "root_id"], "left_semi")

@@ -15,6 +15,7 @@ from threadlens.plans.oracle import WS, sql
 from threadlens.plans.q_scalars import _SRC1_SQL
 from threadlens.plans.q_threads import _HEUR, _tree_sql
 from threadlens.plans.registry import register, shared_plan, _v
+from threadlens.session import ensure_checkpoint_dir
 from threadlens.sources import posts as P
 
 AS_OF = "2024-01-31T00:00:00"
@@ -217,6 +218,8 @@ def q_analyze_reuse(spark, d):
     hours = F.when(key % 3 == 0, F.lit(-1)).otherwise(F.lit(-72))
     memo = PL.analyze(posts.where(key % 3 < 2), threads, AS_OF).withColumn(
         "cached_at", F.timestamp_add("HOUR", hours, F.lit(AS_OF).cast("timestamp_ntz")))
+    ensure_checkpoint_dir(spark)
+    memo = memo.checkpoint(eager=True)  # a memo is a stored table, not a plan to be run again
     reports, _ = PL.analyze_reuse(posts, threads, memo, AS_OF)
     r = F.col("report")
     return reports.select("post_id", r["metadata"]["from_cache"].alias("from_cache"),
