@@ -283,3 +283,25 @@ def test_pipeline_comment_order(spark):
     src = {r.comment_id for r in PL.annotate_comments(c, Params(max_comments=2)).collect()}
     top = {r.comment_id for r in PL.annotate_comments(c, Params(max_comments=2, comment_order="top")).collect()}
     assert src == {"0", "1"} and top == {"4", "3"}
+
+
+def test_page_attributes_and_references(spark):
+    """Quoted '>' ends no tag, a bare '<' starts none, references give their characters."""
+    from threadlens.functions.html import extract_page
+    long = "<body><p title='" + "x>" * 200_000 + "'>whole</p></body>"
+    rows = [(0, "<title a='>'>T&#8217;s</title><article class=\"a>b\"><p title='c>d'>one</p> 1 < 2 it's</article>"),
+            (1, "<main>&#x2019;&#233;&#146;&#38;lt;&#0;&#xD800;&#65 &#; &amp;#65;</main>"),
+            (2, "<nav data-x='>'>menu</nav><body>a &amp; b</body>"), (3, "<p>none</p>"), (4, None), (5, ""), (6, long)]
+    pages = spark.createDataFrame([(i, "http://h.org/x", h) for i, h in rows], "page_id bigint, url string, html string")
+    got = {r.page_id: (r.title, r.text, r.found) for r in extract_page(pages).collect()}
+    assert got[0] == ("T\u2019s", "one 1 < 2 it's", True)
+    assert got[1][1] == "\u2019\u00e9\u2019&lt;\ufffd\ufffdA &#; &#65;"
+    assert got[2][1] == "a & b"
+    assert [got[i][1:] for i in (3, 4, 5)] == [(None, False)] * 3
+    assert got[6][1] == "whole"
+    import duckdb
+    import pandas as pd
+    from threadlens.plans.oracle import page_text, page_title
+    pdf = pd.DataFrame(rows, columns=["page_id", "html"])  # noqa: F841 - read by name
+    sql = duckdb.sql(f"SELECT page_id, {page_title('html')}, {page_text('html')} FROM pdf").fetchall()
+    assert {i: (t, x) for i, t, x in sql} == {i: v[:2] for i, v in got.items()}

@@ -2,7 +2,9 @@
 
 Comments, then script/style/nav/footer/header elements are removed; the main element
 is the first <article>, else <main>, else <body> (an unclosed one runs to the end);
-text nodes are joined by single spaces; entities are decoded with '&amp;' last.
+text nodes are joined by single spaces; numeric references and the named ones below are
+decoded, '&amp;' last. A tag starts with a letter, '/', '!' or '?' after '<' and ends at the
+first '>' outside quotes.
 """
 
 from __future__ import annotations
@@ -16,20 +18,42 @@ from threadlens.functions.urls import source_domain
 # Removed elements (in this order) and main-content candidates.
 REMOVED_TAGS = ["script", "style", "nav", "footer", "header"]
 MAIN_TAGS = ["article", "main", "body"]
-# Named and numeric character references decoded natively; '&amp;' is applied last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
+# Named character references decoded natively; '&amp;' is applied last.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
             ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"),
             ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"),
             ("&ndash;", "–"), ("&laquo;", "«"), ("&raquo;", "»")]
 AMP_RE = "&amp;?"
+# Possessive, so a long attribute costs no stack.
+TAG_END = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+ANY_TAG = "<[a-zA-Z/!?]" + TAG_END
+PIECES = r"&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|[^&]++|&"
+# References to C1 controls mean the Windows-1252 characters at those places.
+C1 = {chr(b): c for b in range(128, 160) if (c := bytes([b]).decode("cp1252", "ignore"))}
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _referenced(piece: Column) -> Column:
+    """The character of a numeric reference; '&' stays '&amp;', which is decoded last."""
+    digits = F.regexp_extract(piece, "^&#[xX]?([0-9a-fA-F]+)", 1)
+    code = F.when(piece.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.when(char == "&", F.lit("&amp;")).otherwise(F.translate(char, "".join(C1), "".join(C1.values())))
+
+
+def decode_numeric(t) -> Column:
+    """Decimal and hexadecimal references, with or without their semicolon."""
+    return F.array_join(F.transform(
+        F.regexp_extract_all(_c(t), F.lit(PIECES), F.lit(0)),
+        lambda p: F.when(p.rlike("^&#[xX]?[0-9a-fA-F]"), _referenced(p)).otherwise(p)), "")
+
+
 def decode_entities(t) -> Column:
-    t = _c(t)
+    t = decode_numeric(t)
     for ent, ch in ENTITIES:
         t = F.replace(t, F.lit(ent), F.lit(ch))
     return F.regexp_replace(t, AMP_RE, "&")
@@ -41,14 +65,14 @@ def strip_unicode(t) -> Column:
 
 def page_title(html) -> Column:
     h = _c(html)
-    raw = F.regexp_extract(h, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    raw = F.regexp_extract(h, rf"(?is)<title\b{TAG_END}(.*?)</title\s*>", 1)
     return strip_unicode(decode_entities(raw))
 
 
 def _without_removed(h: Column) -> Column:
     h = F.regexp_replace(h, r"(?s)<!--.*?-->", " ")
     for tag in REMOVED_TAGS:
-        h = F.regexp_replace(h, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+        h = F.regexp_replace(h, rf"(?is)<{tag}\b{TAG_END}.*?</{tag}\s*>", " ")
     return h
 
 
@@ -70,10 +94,10 @@ def extract_page(df, url_col: str = "url", html_col: str = "html", cut: int | No
     found = None
     for tag in reversed(MAIN_TAGS):
         f = F.regexp_like(F.col("_clean"), F.lit(rf"(?is)<{tag}\b"))
-        inner = F.regexp_extract(F.col("_clean"), rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)", 1)
+        inner = F.regexp_extract(F.col("_clean"), rf"(?is)<{tag}\b{TAG_END}(.*?)(?:</{tag}\s*>|\z)", 1)
         found = F.when(f, inner) if found is None else F.when(f, inner).otherwise(found)
     m = h.withColumn("_main", found)
-    t = m.withColumn("_t", F.trim(F.regexp_replace(decode_entities(F.regexp_replace("_main", "<[^>]*>", " ")),
+    t = m.withColumn("_t", F.trim(F.regexp_replace(decode_entities(F.regexp_replace("_main", ANY_TAG, " ")),
                                                    r"(?U)\s+", " ")))
     return (t.withColumn("title", page_title(html_col))
              .withColumn("text", _cut(F.col("_t"), cut))

@@ -84,32 +84,44 @@ def strip_unicode(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
-ENTITY_SQL = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"),
+TAG_END = """(?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+ENTITY_SQL = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
               ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
               ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"),
               ("&ndash;", "–"), ("&laquo;", "«"), ("&raquo;", "»")]
 
 
+def decode_numeric(x: str) -> str:
+    c1 = {chr(b): c for b in range(128, 160) if (c := bytes([b]).decode("cp1252", "ignore"))}
+    code = ("TRY_CAST(CASE WHEN p[3:3] IN ('x', 'X') THEN '0x' || rtrim(p[4:], ';') ELSE rtrim(p[3:], ';') END AS BIGINT)")
+    char = f"chr(CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN {code} ELSE 65533 END::INT)"
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, "
+            "'&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|[^&]+|&'), lambda p: CASE WHEN NOT regexp_matches(p, "
+            f"'^&#[xX]?[0-9a-fA-F]') THEN p WHEN {char} = '&' THEN '&amp;' "
+            f"ELSE translate({char}, '{''.join(c1)}', '{''.join(c1.values())}') END), '')")
+
+
 def decode_entities(x: str) -> str:
+    x = decode_numeric(x)
     for ent, ch in ENTITY_SQL:
         x = f"replace({x}, '{ent}', '{ch}')"
     return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
 
 def page_title(h: str) -> str:
-    raw = f"regexp_extract({h}, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)"
+    raw = f"regexp_extract({h}, '(?is)<title\\b{TAG_END}(.*?)</title\\s*>', 1)"
     return strip_unicode(decode_entities(raw))
 
 
 def page_text(h: str) -> str:
     x = f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
     for tag in ["script", "style", "nav", "footer", "header"]:
-        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b{TAG_END}.*?</{tag}\\s*>', ' ', 'g')"
     main = "NULL"
     for tag in ["body", "main", "article"]:
         main = (f"CASE WHEN regexp_matches({x}, '(?is)<{tag}\\b') THEN "
-                f"regexp_extract({x}, '(?is)<{tag}\\b[^>]*>(.*?)(?:</{tag}\\s*>|\\z)', 1) ELSE {main} END")
-    return ws_collapse(decode_entities(f"regexp_replace({main}, '<[^>]*>', ' ', 'g')"))
+                f"regexp_extract({x}, '(?is)<{tag}\\b{TAG_END}(.*?)(?:</{tag}\\s*>|\\z)', 1) ELSE {main} END")
+    return ws_collapse(decode_entities(f"regexp_replace({main}, '<[a-zA-Z/!?]{TAG_END}', ' ', 'g')"))
 
 
 def authority(u: str) -> str:
