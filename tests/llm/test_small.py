@@ -254,6 +254,37 @@ def test_ppm_scores(spark):
     assert ppm.ppm_scores(d.where("false")).count() == 0
 
 
+def test_ppm_keeps_every_context(spark):
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789 .,;:-+*/=()"))
+    rows = [(i, "".join(rng.choice(letters, 3000))) for i in range(40)]
+    rows += [(100 + i, rows[i][1][500:900]) for i in range(6)]
+    got = {r.doc_id: r for r in ppm.ppm_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    train = [t.encode() for i, t in rows if not got[i].held_out]
+    assert len({t[k:k + 5] for t in train for k in range(len(t) - 4)}) > 80_000
+    for i, t in rows[::9] + rows[40:]:
+        assert math.isclose(got[i].score, brute_ppm(train, t.encode()), rel_tol=1e-5)
+
+
+def test_ppm_chances_across_bucket_edges(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.choice(np.frombuffer(b"ab c", np.uint8), 300)) for _ in range(8)]
+    monkeypatch.setattr(ppm, "SLAB", 1000)
+    grams, n = np.unique(np.concatenate([g for g, _ in ppm.slabs(texts)]), return_counts=True)
+    whole = ppm.chances(grams, n, ppm.Shared(np.zeros(0, np.uint64)))
+    edges = grams[5::7]
+    shared, cuts = ppm.Shared(edges), ppm._cuts(grams, edges)
+    for g, _ in ppm.slabs(texts):
+        shared.add(np.sort(g))
+    parts = [ppm.chances(grams[i:j], n[i:j], shared) for i, j in zip(cuts, cuts[1:]) if j > i]
+    assert len(parts) > 50 and np.allclose(np.concatenate(parts), whole, atol=1e-12)
+    assert math.isclose(ppm._scores(texts, whole)[3], brute_ppm(texts, texts[3]), rel_tol=1e-9)
+    long = [texts[0] * 9, b"", texts[1]]                # a text longer than a slab is read in parts
+    grams = np.unique(np.concatenate([g for g, _ in ppm.slabs(long)]))
+    monkeypatch.setattr(ppm, "SLAB", 1 << 20)
+    assert (grams == np.unique(np.concatenate([g for g, _ in ppm.slabs(long)]))).all()
+
+
 def test_trie_chances_sum_to_one():
     t = ppm.Trie([(0, 0, [97, 98, 255], [5, 3, 1]), (1, 97, [98], [4]), (1, 98, [97, 255], [2, 1])])
     t.build()
