@@ -181,6 +181,17 @@ def test_page_text():
     assert site_style.host("https://User@A.example:80/x") == "a.example" and site_style.host(None) == ""
 
 
+def test_names_and_forms_around_the_article():
+    text = lambda h: site_style.Page(h).main_text()
+    for name in ("site right-sidebar", "no-sidebar", "layout with-sidebar", "sidebar", "page-header"):
+        assert text(f"<body><div class='{name}'><article><p>Own text</p></article></div><div class=sidebar>Side</div>") == "Own text"
+    assert text("<article><p>Shares.</p><div class=share-price>42</div><p class=social-history>Old</p></article>") == "Shares. 42 Old"
+    assert text("<body><form id=aspnet><nav>Home</nav><div>All the text of this page</div><form>Name</form></form>") == "All the text of this page"
+    assert text("<form><main><p>Text</p></main><div class=comments><article>Long long long talk</article></div></form>") == "Text"
+    assert text("<article><p>Text</p></article><div id=comment-list><article>Long long long talk</article></div>") == "Text"
+    assert text("<div>Text of the page</div><div class='newsletter-signup'>Sign</div><form>Name</form>") == "Text of the page"
+
+
 def test_site_style(spark):
     body = "<html><body><div class=box>Boiler plate</div><div class=text>Story %d</div></body></html>"
     rows = [(i, f"http://h.example/{i}", body % i) for i in range(8)] + [

@@ -6,7 +6,8 @@ class, id, role), and it keeps how the pages vary in it. The importance of a nod
 there, and one minus the mean entropy of its contents over the pages (a content found on every
 page tells nothing, one found on a single page is worth most); ``l`` is the mean number of
 children. Branches of low importance are cut from each page, as are those whose tag or name says
-what they are (menus, forms, adverts, comments ...); plain text elements inside an article are
+what they are (menus, forms, adverts, comments ...), unless a name or form holds the page's article
+or most of its text, which is left to its importance; plain text elements inside an article are
 never cut, for copied articles would look like boilerplate. The main text is what is left of the
 page's articles, or of its body if it has none.
 
@@ -45,13 +46,17 @@ BLOCKS = set("""address article aside blockquote body button caption center dd d
     figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol option p pre
     section select summary table tbody td template tfoot th thead title tr ul""".split())
 PLAIN = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th section div figure figcaption".split())
-CUT_TAGS = set("""script style noscript template head title nav footer aside form button select textarea iframe svg dialog
+CUT_TAGS = set("""script style noscript template head title nav footer aside button select textarea iframe svg dialog
     menu object canvas audio video map option math""".split())
-CUT_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
-CUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|login|masthead|menu|modal|"
-    r"nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|"
-    r"sponsor\w*|subscribe|toolbar|topbar|widgets?|(?:site|page)[_-]header|header)(?=$|[\s_-])", re.I)
+CUT_ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar toolbar alertdialog".split())
+CUT_WORD = (r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|login|masthead|menu|modal|"
+            r"nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|"
+            r"sponsor\w*|subscribe|toolbar|topbar|widgets?|header)")
+BESIDE = (r"(?:area|bar|block|bottom|box|buttons?|container|form|icons?|inner|items?|left|links?|list|main|page|posts?|"
+          r"primary|right|secondary|section|site|slot|top|unit|wrap|wrapper)")
+#: Whole names, all of whose parts say so: "cookie-notice" and "comment-list", but not "no-sidebar" or "share-price".
+CUT_NAMES = re.compile(rf"(?:^|\s)(?:{BESIDE}[_-]+)*{CUT_WORD}(?:[_-]+(?:{CUT_WORD}|{BESIDE}))*(?=$|\s)", re.I)
+TALK = re.compile(r"\b(?:comments?|disqus|related|replies|respond)\b", re.I)    # may well be most of a page's text
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"),
@@ -59,10 +64,13 @@ SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 
 
 class Node:
-    __slots__ = ("tag", "style", "cut", "inside", "up", "children")
+    __slots__ = ("tag", "style", "hard", "soft", "talk", "noisy", "inside", "up", "parent", "children", "cut", "size", "holds")
 
-    def __init__(self, tag, style, cut, inside, up):
-        self.tag, self.style, self.cut, self.inside, self.up, self.children = tag, style, cut, inside, up, []
+    def __init__(self, tag, style, hard, soft, talk, noisy, inside, up, parent):
+        """``hard`` and ``soft``: cut by its tag or role, by its name or as a form; ``noisy``: by its importance."""
+        self.tag, self.style, self.hard, self.soft, self.talk, self.noisy = tag, style, hard, soft, talk, noisy
+        self.inside, self.up, self.parent, self.children = inside, up, parent, []
+        self.cut, self.size, self.holds = False, 0, False
 
 
 def _signed(text: str) -> int:
@@ -74,7 +82,8 @@ class Page:
 
     def __init__(self, source: str, noisy=frozenset()):
         self.blocks, self.nodes, self.noisy = [], [], noisy
-        root = Node("", 0, False, False, None)
+        root = Node("", 0, False, False, False, False, False, None, None)
+        self.every = [root]
         self.stack, self.text, at = [root], [], 0
         n = len(source)
         while at < n:
@@ -97,6 +106,36 @@ class Page:
                 at = end.end() if end else n
                 self.close(tag)
         self.flush()
+        self.decide()
+
+    def decide(self) -> None:
+        """Which elements are cut: a name or form that holds the article or most of the text is not."""
+        for node in self.every[1:]:
+            node.cut = node.hard or node.parent.cut
+        total = 0
+        for node, text in self.blocks:
+            if not node.cut:
+                total += len(text)
+                while node is not None:
+                    node.size += len(text)
+                    node = node.parent
+        for node in self.every:
+            if node.soft and not node.talk and 2 * node.size > total:
+                node.soft = False
+        articles = [x for x in self.every if x.tag in ("article", "main") and not x.parent.inside and x.size]
+        while articles:
+            tops = []
+            for node in articles:
+                top, up = None, node
+                while up is not None:
+                    top = up if up.soft else top
+                    up = up.parent
+                tops.append(top)
+            if None in tops:
+                break
+            max(tops, key=lambda x: x.size).soft = False
+        for node in self.every[1:]:
+            node.cut = node.hard or node.soft or node.noisy or node.parent.cut
 
     def add(self, text: str) -> None:
         if text:
@@ -132,27 +171,31 @@ class Page:
             found = [(k.lower(), a or b or c) for k, a, b, c in NAMES.findall(attributes)]
             names = " ".join(v for k, v in found if k != "role")
             roles = " ".join(v for k, v in found if k == "role")
-        cut = (up.cut or tag in CUT_TAGS or (tag == "header" and not up.inside)
-               or bool(roles and CUT_ROLES & set(roles.lower().split()))
-               or bool(names and tag not in ("html", "body", "article", "main") and CUT_NAMES.search(names)))
+        hard = (tag in CUT_TAGS or (tag == "header" and not up.inside)
+                or bool(roles and CUT_ROLES & set(roles.lower().split())))
+        named = bool(names and tag not in ("html", "body", "article", "main") and CUT_NAMES.search(names))
+        soft = named or tag == "form" or "form" in roles.lower().split()
+        talk = named and bool(TALK.search(names))
         if not block:
-            if cut and not up.cut:      # an inline advert or menu
+            if hard or soft:            # an inline advert or menu
                 self.flush()
-                self.stack.append(Node(tag, up.style, True, up.inside, up.up))
+                self.stack.append(Node(tag, up.style, hard, soft, talk, False, up.inside, up.up, up))
+                self.every.append(self.stack[-1])
             return
         inside = up.inside or tag in ("article", "main") or roles.lower() == "main"
         plain = tag in ("article", "main", "body", "html") or inside and tag in PLAIN and not names
         style = _signed(f"{up.style}>{tag}.{re.sub(r'[0-9]+', '0', names)}")
         up.children.append(tag)
-        node = Node(tag, style, cut or not plain and style in self.noisy, inside, up)
+        node = Node(tag, style, hard, soft, talk, not plain and style in self.noisy, inside, up, up)
         self.stack.append(node)
+        self.every.append(node)
         if tag not in ("html", "body"):
             self.nodes.append(node)
 
     def close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag == tag:
-                if tag in BLOCKS or tag in CUT_TAGS or self.stack[k].cut:
+                if tag in BLOCKS or tag in CUT_TAGS or self.stack[k].hard or self.stack[k].soft:
                     self.flush()
                 del self.stack[k:]
                 return
