@@ -203,6 +203,21 @@ def test_site_style(spark):
     assert site_style.main_text(p.where("false")).count() == 0
 
 
+def test_site_style_keeps_unique_text(spark):
+    fields = "".join(f"<div class=f{k}><b>Field:</b> %d-{k}</div>" for k in "abcdefghijklmnop")
+    record = "<body><div class=box>Boiler plate</div><div id=content>" + fields + "</div></body>"
+    copied = "<body><div class=top>Boiler plate</div><article><div class=body>%s</div></article></body>"
+    rows = [(i, f"http://records.example/{i}", record.replace("%d", str(i))) for i in range(9)]
+    rows += [(100 + i, f"http://copies.example/{i}", copied % ("The one story" if i < 40 else f"Story {i}")) for i in range(44)]
+    p = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in site_style.main_text(p).collect()}
+    for i in range(9):
+        assert got[i] == " ".join(f"Field: {i}-{k}" for k in "abcdefghijklmnop")
+    assert all(got[100 + i] == ("The one story" if i < 40 else f"Story {i}") for i in range(44))
+    tree = {(r.pages, round(r.content, 6)) for r in site_style.style_tree(p.where("page_id >= 100")).collect()}
+    assert tree == {(5, 0.0), (5, 1.0)}
+
+
 def test_language_id(spark):
     text = {"en": "the cat and the dog went over the hill to see what they had there ",
             "de": "der hund und die katze gingen über den berg um zu sehen was dort ist "}

@@ -5,13 +5,15 @@ class, id, role), and it keeps how the pages vary in it. The importance of a nod
 ``(1 - g**l) * presentation + g**l * content``: the entropy of the child sequences that pages show
 there, and one minus the mean entropy of its contents over the pages (a content found on every
 page tells nothing, one found on a single page is worth most); ``l`` is the mean number of
-children. Branches of low importance are cut from each page, as are those whose tag or name says
+children. Pages of a host with the same text count once: copies say nothing about the template.
+Branches of low importance, whose contents are of low importance too, are cut from each page, as are those whose tag or name says
 what they are (menus, forms, adverts, comments ...), unless a name or form holds the page's article
 or most of its text, which is left to its importance; plain text elements inside an article are
 never cut, for copied articles would look like boilerplate. The main text is what is left of the
 page's articles, or of its body if it has none.
 
-Scale: both entropies are sums over pages, so the tree is built by grouped sums with a map-side
+Scale: a page's part of the tree is packed into one row, and a host's copies of it meet in a combine
+by host and text. Both entropies are sums over pages, so the tree is built by grouped sums with a map-side
 combine, and neither a host nor its tree is ever in one task. Only the cut nodes of each host, a
 few template branches, are joined back to its pages; Spark splits the hot host.
 """
@@ -23,6 +25,7 @@ import math
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -215,6 +218,32 @@ def host(url: str | None) -> str:
 TREE = "host string, node bigint, kind int, feature bigint, n double, spread double, pages bigint, children double"
 
 
+PART = np.dtype([("node", "<i8"), ("kind", "<i4"), ("feature", "<i8"), ("n", "<f8")])
+
+
+def _parts(batches):
+    """A page's part of its host's tree, and the digest of its text: the main one, without the tree."""
+    for b in batches:
+        hosts, digests, packed = [], [], []
+        for url, source in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
+            page = Page(source or "")
+            shown, held = defaultdict(list), defaultdict(int)
+            for node in page.nodes:
+                shown[node.style].append(" ".join(node.children))
+            for node, text in page.blocks:
+                f = _signed(text)
+                while node is not None and node.tag not in ("", "html", "body"):
+                    held[node.style, f] += 1
+                    node = node.up
+            rows = [(style, 0, _signed("|".join(x)), sum(len(s.split()) for s in x) / len(x)) for style, x in shown.items()]
+            rows += [(style, 1, f, n) for (style, f), n in held.items()]
+            hosts.append(host(url))
+            digests.append(_signed(page.main_text()))
+            packed.append(np.array(rows, PART).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()),
+                                          pa.array(packed, pa.binary())], ["host", "digest", "packed"])
+
+
 def _tree(batches):
     """What each page adds to its host's tree, summed over a bounded number of keys before it is sent."""
     sums = defaultdict(lambda: [0.0, 0.0, 0, 0.0])
@@ -228,25 +257,15 @@ def _tree(batches):
                                           [c.split()[0] for c in TREE.split(", ")])
 
     for b in batches:
-        for url, source in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
-            h, page = host(url), Page(source or "")
-            shown, held = defaultdict(list), defaultdict(int)
-            for node in page.nodes:
-                shown[node.style].append(" ".join(node.children))
-            for node, text in page.blocks:
-                f = _signed(text)
-                while node is not None and node.tag not in ("", "html", "body"):
-                    held[node.style, f] += 1
-                    node = node.up
-            for style, sequences in shown.items():
-                row = sums[h, style, 0, _signed("|".join(sequences))]
-                row[2] += 1
-                row[3] += sum(len(s.split()) for s in sequences) / len(sequences)
-            for (style, f), n in held.items():
-                row = sums[h, style, 1, f]
-                row[0] += n
-                row[1] += n * math.log(n)
+        for h, packed in zip(b.column("host").to_pylist(), b.column("packed").to_pylist()):
+            for style, kind, f, n in np.frombuffer(packed, PART).tolist():
+                row = sums[h, style, kind, f]
                 row[2] += 1
+                if kind:
+                    row[0] += n
+                    row[1] += n * math.log(n)
+                else:
+                    row[3] += n
             if len(sums) > COMBINE_KEYS:
                 yield out()
     yield out()
@@ -255,9 +274,12 @@ def _tree(batches):
 def style_tree(pages: DataFrame, decay: float = DECAY) -> DataFrame:
     """``host, node, pages, presentation, content, importance`` for every node of each host's tree.
 
-    A node on one page has importance 1; one without any text has content importance 0.
+    Pages are those of different text. A node on one page has importance 1; one without any text has
+    content importance 0.
     """
     p = pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
+    p = p.mapInArrow(_parts, "host string, digest bigint, packed binary").groupBy("host", "digest").agg(
+        F.min("packed").alias("packed"))
     f = p.mapInArrow(_tree, TREE).groupBy("host", "node", "kind", "feature").agg(
         F.sum("n").alias("n"), F.sum("spread").alias("spread"), F.sum("pages").alias("pages"),
         F.sum("children").alias("children"))
@@ -298,7 +320,8 @@ def main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: in
     A null or empty html has an empty text. Pages without a url share the host "". Broken markup is
     read as far as it goes. Repeated rows each get a row; an empty table gives none.
     """
-    noisy = store(style_tree(pages).where((F.col("importance") < least) & (F.col("pages") >= least_pages))
+    noisy = store(style_tree(pages).where((F.col("importance") < least) & (F.col("content") < least)
+                                        & (F.col("pages") >= least_pages))
                   .groupBy("host").agg(F.collect_list("node").alias("noisy")), "noisy")
     p = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     p = p.mapInArrow(_hosts, "page_id bigint, url string, html string, host string")
