@@ -5,7 +5,7 @@ DataFrame. Every stage's result is written as Parquet and read again as the next
 but the last return the columns of ``documents``; the last gives each row its shard and slot.
 
 Rows: ``quality`` drops what the resampling does not draw, ``near_duplicates`` keeps one document
-of each component, ``decontaminate`` drops documents that hold a benchmark item, ``mix`` repeats or
+of each component (five-word shingles, Jaccard from 80%), ``decontaminate`` drops documents that hold a benchmark item, ``mix`` repeats or
 leaves out rows by source. Null or empty texts have no n-grams and are not drawn by ``quality``.
 """
 
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, size=5, percent=80)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

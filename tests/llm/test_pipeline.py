@@ -129,6 +129,19 @@ def test_pipeline_against_plain_python(spark, folder):
         assert r["size"] == len(rows[r.doc_id][1].encode()) + 1
 
 
+def test_near_duplicates_take_five_words_and_80_percent(spark, folder):
+    """One edit in 49 words: 40 of 50 five-word shingles are shared, but 42 of 50 four-word ones (84%)."""
+    rows = []
+    for n in (48, 49):
+        w = [f"t{n}x{i}" for i in range(n)]
+        rows += [(n, " ".join(w)), (1000 + n, " ".join(w[:20] + ["edit"] + w[21:]))]
+    docs = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], COLUMNS)
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    near = {n for n in (48, 49) if 100 * len(sets[n] & sets[1000 + n]) >= 80 * len(sets[n] | sets[1000 + n])}
+    assert near == {49}
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, folder).collect()} == {48, 49, 1048}
+
+
 def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
