@@ -148,6 +148,20 @@ def test_decontamination(spark):
     assert decontaminate.leaks(d, b.where("false")).count() == 0 and decontaminate.leaks(d.where("false"), b).count() == 0
 
 
+def test_leaks_of_parts_far_from_each_other(spark):
+    items = [(1, ITEMS[0][1]), (2, "Which town lies at the mouth of the river Issel? Old Brenholt harbour town")]
+    (q1, a1), (q2, a2) = [t.split("?") for _, t in items]
+    far = " ".join(f"n{i % 97}" for i in range(3000))
+    rows = [(1, f"{q1}? {far} {a1}"), (2, f"{a1} {far} {q1}"), (3, f"{q1}? {far}"), (4, f"{far} {a1}"),
+            (5, f"{q2}? {q1}? {far} {a2} {a1}"), (6, f"{q2}? {far}")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {(1, 1), (2, 1), (5, 1), (5, 2)}
+    for more in ([], [(9, " ".join(f"long{i}" for i in range(900)))]):
+        b = spark.createDataFrame(items + more, "item_id bigint, text string")
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()} == want
+        assert {r.doc_id for r in decontaminate.without_leaks(d, b).collect()} == {3, 4, 6}
+
+
 def test_block_bounds_lose_nothing(spark):
     """The pruned retrieval finds just what scoring every item in every window finds."""
     rng = np.random.default_rng(3)

@@ -4,9 +4,9 @@ The test items form an inverted index. Every window of words of every document i
 window meets all items whose BM25 score reaches ``least_score`` of the score that the item gives
 itself. For each block of items the index holds the largest impact of each term; their sums over
 the distinct terms of each half window bound all windows at once, and only the blocks whose bound
-reaches the threshold are scored exactly (block-max WAND, block at a time). What is retrieved is verified: a
-document leaks an item if it holds nearly all five-word shingles of its question and of its
-answer, or of the whole item.
+reaches the threshold are scored exactly (block-max WAND, block at a time). What is retrieved is
+verified over all the document's words: a document leaks an item if it holds, wherever, nearly all
+five-word shingles of its question and of its answer, or of the whole item.
 
 Scale: one pass over the texts without a shuffle. Term statistics are counted by Spark over all
 items. An index is broadcast in parts of at most ``PART_ITEMS`` items; a larger benchmark takes
@@ -59,6 +59,11 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> set:
     return {tuple(words[i:i + size]) for i in range(len(words) - size + 1)}
 
 
+def held(words: list[bytes], wanted: set) -> set:
+    """Those of the ``wanted`` runs that occur in ``words``; runs of fewer than ``SHINGLE`` words, too."""
+    return {g for n in {len(g) for g in wanted} for g in zip(*(words[k:] for k in range(n))) if g in wanted}
+
+
 def _item_terms(batches):
     for b in batches:
         rows = []
@@ -73,7 +78,8 @@ def _item_terms(batches):
 class Index:
     """An inverted index over a bounded part of the items."""
 
-    def __init__(self, postings, texts: dict, least_score: float, percent: int):
+    def __init__(self, postings, texts: dict, least_score: float, percent: int, longest: int):
+        """``longest``: words of the longest item of all parts."""
         self.percent = percent
         self.items = sorted(texts)
         at = {i: k for k, i in enumerate(self.items)}
@@ -92,9 +98,8 @@ class Index:
                 self.postings[t][k // BLOCK_ITEMS].append((k, v))
         self.high = self.impact.reshape(len(self.terms), self.blocks, BLOCK_ITEMS).max(axis=2)
         self.least_score = least_score
-        self.parts = [split_item(texts[i]) for i in self.items]
-        self.grams = [(shingles(q), shingles(a), shingles(q + a)) for q, a in self.parts]
-        self.window = max([16, *(2 * (len(q) + len(a)) for q, a in self.parts)])
+        self.grams = [(shingles(q), shingles(a), shingles(q + a)) for q, a in (split_item(texts[i]) for i in self.items)]
+        self.window = max(16, 2 * longest)
 
     def retrieve(self, words: list[bytes]):
         """``(item index, score, first word of the window)`` for each window and item above the threshold."""
@@ -125,12 +130,14 @@ class Index:
         """``(item_id, score, question share, answer share, first word, words)`` of verified items."""
         best = {}
         for k, score, start in self.retrieve(words):
-            held = shingles(words[start:start + self.window])
-            q, a, both = ((100 * len(g & held) / len(g) if g else 100.0) for g in self.grams[k])
-            if (both >= self.percent or q >= self.percent and a >= self.percent) and (
-                    k not in best or (-score, start) < best[k][:2]):
-                best[k] = (-score, start, q / 100, a / 100)
-        return [(self.items[k], min(1.0, -s), q, a, start, self.window) for k, (s, start, q, a) in sorted(best.items())]
+            best[k] = min(best.get(k, (0.0, 0)), (-score, start))
+        own = held(words, {g for k in best for part in self.grams[k] for g in part})
+        out = []
+        for k, (score, start) in sorted(best.items()):
+            q, a, both = ((100 * len(g & own) / len(g) if g else 100.0) for g in self.grams[k])
+            if both >= self.percent or q >= self.percent and a >= self.percent:
+                out.append((self.items[k], min(1.0, -score), q / 100, a / 100, start, self.window))
+        return out
 
 
 def indexes(benchmark: DataFrame, least_score: float = LEAST_SCORE, percent: int = PERCENT) -> list[Index]:
@@ -144,7 +151,8 @@ def indexes(benchmark: DataFrame, least_score: float = LEAST_SCORE, percent: int
     items = positions(items, ["item_id"])
     terms = store(items.select("item_id", "text").mapInArrow(
         _item_terms, "item_id bigint, term binary, tf bigint, words bigint"), "terms")
-    n, mean = terms.groupBy("item_id").agg(F.max("words").alias("w")).agg(F.count(F.lit(1)), F.avg("w")).first()
+    n, mean, longest = terms.groupBy("item_id").agg(F.max("words").alias("w")).agg(
+        F.count(F.lit(1)), F.avg("w"), F.max("w")).first()
     if not n:
         return []
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -159,7 +167,7 @@ def indexes(benchmark: DataFrame, least_score: float = LEAST_SCORE, percent: int
         if len(p):
             own = set(p["item_id"])
             texts = {r.item_id: r.text.encode() for r in parts.where(F.col("part") == k).collect() if r.item_id in own}
-            out.append(Index(p, texts, least_score, percent))
+            out.append(Index(p, texts, least_score, percent, longest))
     return out
 
 
@@ -169,8 +177,8 @@ LEAK = "doc_id bigint, item_id bigint, score double, question_overlap double, an
 def leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, percent: int = PERCENT) -> DataFrame:
     """Each leak: the document, the item, and the window with the best score (``LEAK``).
 
-    ``score`` is the share of the item's own score, the overlaps are shares of its five-word
-    shingles. A null or empty text leaks nothing; repeated rows are listed each; an empty
+    ``score`` is the share of the item's own score, the overlaps are the shares of its five-word
+    shingles that the whole document holds. A null or empty text leaks nothing; repeated rows are listed each; an empty
     benchmark or table gives no rows. Only ``doc_id`` and ``text`` are read. Ties of the score go
     to the earlier window.
     """
