@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import (chat_views, cover_search, decontaminate, importance, language_id, mixing, ngram_join, ppm,
-                            sharding, site_style)
+from threadlens.llm import (chat_views, cover_search, decontaminate, hard_negatives, importance, language_id, mixing,
+                            ngram_join, ppm, sharding, site_style, turn_repair, warc)
 from threadlens.llm.common import table
 
 
@@ -56,6 +56,19 @@ def op10_cover_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP5_SQL = r"""
 WITH t AS (SELECT conv_id, turn, CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown' ELSE lower(trim(role)) END AS speaker,
         coalesce(text, '') AS text, coalesce(CAST(conv_id AS VARCHAR), '') AS conv FROM conversations),
@@ -107,6 +120,34 @@ FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
 LEFT JOIN ends ON d.source IS NOT DISTINCT FROM ends.source
 """
 
+OP11_SQL = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, o.vec_id, o.label = a.label AS same, list_dot_product(a.x, o.x)::BIGINT AS score
+    FROM v a JOIN v o ON a.vec_id % 100 = 0 AND o.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+    (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+    AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+OP13_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages),
+w AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND page_id IS DISTINCT FROM first AS again FROM w)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN again THEN first END AS refers_to
+FROM r
+"""
+
 QUERIES = {
     "op1_site_style": (op1_site_style, None),
     "op2_ngram_jaccard_join": (op2_ngram_jaccard_join, None),
@@ -118,4 +159,7 @@ QUERIES = {
     "op8_ppm": (op8_ppm, None),
     "op9_hilbert_shards": (op9_hilbert_shards, None),
     "op10_cover_search": (op10_cover_search, None),
+    "op11_hard_negatives": (op11_hard_negatives, OP11_SQL),
+    "op12_turn_repair": (op12_turn_repair, None),
+    "op13_warc": (op13_warc, OP13_SQL),
 }
