@@ -91,9 +91,11 @@ def test_damage_loses_only_what_it_touches(compress):
             start, end = ends[k] - len(p), ends[k]
             if end <= lo or start >= hi:
                 assert got[f"urn:page:{k}"] == whole[f"urn:page:{k}"], (kind, k)
-        assert all(whole.get(i, b) == b for i, b in got.items())        # nothing is read with another payload
+        if compress:                    # no digest covers the header lines of a plain record
+            assert all(whole[i] == b for i, b in got.items())
+        assert all(any(r["payload"].endswith(b) for b in whole.values()) for _, _, r, _ in found if r)
         tiles(bad, found)
-        if set(got) != set(whole) and kind != "cut":
+        if compress and len(got) < len(whole) and kind != "cut":
             assert any(why for *_, why in found)
 
 
@@ -105,9 +107,9 @@ def test_gaps_say_where_and_why():
     assert (start, size, last["record_id"]) == (len(a) + len(b), len(c), "urn:page:2")
     plain = page(0, LONG)
     wrong = plain.replace(b"Content-Length: ", b"Content-Length: 9", 1)
-    assert [(r and r["record_id"], w) for _, _, r, w in read(plain + wrong + page(2, LONG) + b"tail")] == [
-        ("urn:page:0", None), (None, "no record end after Content-Length bytes")] + [("urn:page:2", None), (None, "no record")] or \
-        [w for *_, w in read(plain + wrong + page(2, LONG) + b"tail")][1] in ("the record is cut off", "no record end after Content-Length bytes")
+    bad = plain + wrong + page(2, LONG) + b"tail"
+    assert [(r and r["record_id"], why) for _, _, r, why in read(bad)] == [
+        ("urn:page:0", None), (None, "the record is cut off"), ("urn:page:2", None), (None, "no record")]
     assert read(b"") == [] and read(b"\r\n\r\n") == []
     assert [(at, n) for at, n, _, _ in read(b"no archive")] == [(0, 10)]
 

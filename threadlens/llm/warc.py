@@ -7,8 +7,8 @@ records that carry the payload's digest and its HTTP headers, but not the payloa
 Reader: a record counts when its checks pass: the gzip member inflates and its CRC holds, the version
 line, the header fields and Content-Length can be read, the record ends where it says, and the
 digests agree. After a failed check the reader searches for the next gzip member that starts with a
-version line, or the next version line at the start of a line, goes on there, and logs the bytes
-between as a quarantined gap.
+version line, or the next version line, whose record passes, goes on there, and logs the bytes between as
+a quarantined gap.
 
 Scale: pages are written by the tasks that scan them; only digests are grouped, and payloads are not
 shuffled while the table of repeated payloads is small enough to broadcast (its size is known, as it is
@@ -306,7 +306,7 @@ def _plain(view, start: int):
         except Failed as e:
             if bad is None:
                 bad, reason = start, str(e)
-            start = view.find(b"\n" + VERSION, start) + 1
+            start = view.find(VERSION, start + 1)
             continue
         if bad is not None:
             yield bad, start, None, reason
@@ -356,10 +356,7 @@ def salvage(view: FileView):
                 bad, reason = here, str(e)
             for what in ahead:
                 if ahead[what] <= here:
-                    k = view.find(what, here + 1)
-                    while what == VERSION and k < view.size and view.at(k - 1, 1) != b"\n":
-                        k = view.find(what, k + 1)
-                    ahead[what] = k
+                    ahead[what] = view.find(what, here + 1)
             here = min(ahead.values())
             continue
         if gap is not None:
