@@ -25,7 +25,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame | None) -> None:
+    """Delete the files of frames that ``store`` returned and that nothing will read again."""
+    for df in stored:
+        if df is not None:
+            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+            path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import store
+from threadlens.llm.common import discard, store
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,23 +30,25 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def _mark(edges: DataFrame):
-    r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+def _is_star(edges: DataFrame) -> bool:
+    """Whether each node that has a smaller one has only that, which has none itself."""
+    ends = edges.select(F.col("a").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+        edges.select(F.col("b").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    by = ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return by.where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` -> ``(node, root)``: root is the smallest node reachable.
+    """``edges(a, b)`` -> ``(node, root)``, stored: root is the smallest node reachable.
 
     Nodes without an edge are not listed; loops and repeated edges do no harm; no edge gives no
-    row. The edge table shrinks to one star per component; the loop ends when it stays the same.
+    row. The edge table shrinks to one star per component; the loop ends when it is one.
     """
-    edges = store(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    mark = _mark(edges)
-    while mark[0]:
-        edges = store(_star(_star(edges, True), False), "edges")
-        old, mark = mark, _mark(edges)
-        if old == mark:
-            break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    edges = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    while not _is_star(edges):
+        last, edges = edges, store(_star(_star(edges, True), False), "edges")
+        discard(last)
+    out = store(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "components")
+    discard(edges)
+    return out

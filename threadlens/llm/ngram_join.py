@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import WordHashes, ascii_words, gram_hashes, store
+from threadlens.llm.common import WordHashes, ascii_words, discard, gram_hashes, store
 from threadlens.llm.components import components
 
 SHINGLE = 4
@@ -133,18 +133,15 @@ def _count_adder(key, table):
                      "rarity": pa.array([x.tobytes() for x in np.split(byte, ends)], pa.binary())})
 
 
-SETS = ("digest binary, n bigint, shingles array<bigint>, places array<int>, sketch array<bigint>, members binary")
+SETS = "digest binary, n bigint, shingles array<bigint>, places array<int>, sketch array<bigint>, members array<bigint>"
 
 
-def pack48(s: np.ndarray) -> bytes:
-    """The upper 48 bits of each (sorted) hash, 6 bytes each."""
-    return np.ascontiguousarray((s >> np.uint64(16)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpack48(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _lists(arrays: list, kind) -> pa.Array:
+    """A list column from numpy arrays; an empty one gives null."""
+    ends = np.cumsum([0, *(len(a) for a in arrays)])
+    values = np.concatenate([a for a in arrays if len(a)] or [np.zeros(0, np.int64)])
+    none = pa.array([not len(a) for a in arrays], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values).cast(kind), mask=none)
 
 
 def _prefixes(size: int, percent: int):
@@ -152,23 +149,24 @@ def _prefixes(size: int, percent: int):
         digests, sets, every, _ = _chunk_sets(left, size)
         parts = sorted(zip(right.column("bucket").to_pylist(), right.column("rarity").to_pylist()))
         rarity = np.frombuffer(b"".join(p for _, p in parts), np.uint8)
-        cols = [[] for _ in range(6)]
-        for d, s in zip(digests, sets):
+        none, rows = np.zeros(0, np.int64), []
+        for s in sets:
             n = len(s)
             r = rarity[np.searchsorted(every, s)]
             prefix = n - -(-percent * n // 100) + 1
             order = np.argsort(r, kind="stable")[:prefix]       # rarest first, ties by hash
             places = np.flatnonzero(r[order])                   # those that occur in one text only find nobody
-            row = [d, n, None, None, None, None]
-            if len(places):
-                cells = np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-                sketch = np.packbits((cells & 1).astype(np.uint8)).view("<i8")
-                row[2:] = [s[order[places]].astype(np.int64).tolist(), places.tolist(), sketch.tolist(), pack48(s)]
-            for c, v in zip(cols, row):
-                c.append(v)
-        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)],
-                        names=["digest", "n", "shingles", "places", "sketch", "members"])
+            if not len(places):
+                rows.append((none, none, none, none))
+                continue
+            cells = np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            rows.append((s[order[places]].view(np.int64), places, np.packbits((cells & 1).astype(np.uint8)).view("<i8"),
+                         s.view(np.int64)))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.Table.from_arrays(
+            [pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+             *[_lists([r[k] for r in rows], t) for k, t in enumerate(kinds)]],
+            names=["digest", "n", "shingles", "places", "sketch", "members"])
     return run
 
 
@@ -191,97 +189,94 @@ def _need(percent: int, a: str, b: str) -> str:
     return f"(({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent})"
 
 
-def _filters(percent: int) -> list:
-    """Length, positional and suffix filters of a pair x, y that meets at an index entry."""
-    need = _need(percent, "x", "y")
-    return [
-        F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"),
-        F.expr(f"least(x.place, y.place) + 1 + least(x.n - x.place, y.n - y.place) - 1 >= {need}"),
-        F.expr(" + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(1 << SKETCH_BITS - 6))
-               + f" <= x.n + y.n - 2 * {need}"),
-    ]
-
-
-def _verify(percent: int):
-    def run(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
-                n, m = len(x) // 6, len(y) // 6
-                both = len(np.intersect1d(unpack48(x), unpack48(y), assume_unique=True))
-                ok.append(100 * both >= percent * (n + m - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], ["a", "b", "linked"])
-    return run
+def _met(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs x, y that meet at an index entry and pass the length and positional filters."""
+    met = pairs.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)").where(
+        f"least(x.place, y.place) + least(x.n - x.place, y.n - y.place) >= {_need(percent, 'x', 'y')}")
+    return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, linked)`` of distinct pairs, comparing the whole sets."""
-    s = sets.where("members is not null").select("digest", "members")
-    j = (pairs.join(s.select(F.col("digest").alias("a"), F.col("members").alias("sa")), "a")
-              .join(s.select(F.col("digest").alias("b"), F.col("members").alias("sb")), "b"))
-    return j.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a binary, b binary, linked boolean")
+    """``(a, b, linked)`` of distinct pairs: by the sketches where they rule a link out, else the whole sets."""
+    s = sets.where("members is not null")
+    x = s.select(F.col("cls").alias("a"), "n", "sketch").alias("x")
+    y = s.select(F.col("cls").alias("b"), "n", "sketch").alias("y")
+    apart = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(1 << SKETCH_BITS - 6))
+    p = pairs.join(x, "a").join(y, "b").where(f"{apart} <= x.n + y.n - 2 * {_need(percent, 'x', 'y')}").select(
+        "a", "b", (F.col("x.n") + F.col("y.n")).alias("n"))
+    p = p.join(s.select(F.col("cls").alias("b"), F.col("members").alias("sb")), "b").join(
+        s.select(F.col("cls").alias("a"), F.col("members").alias("sa")), "a")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return p.select("a", "b", (100 * both >= percent * (F.col("n") - both)).alias("linked"))
 
 
 def index_rows(sets: DataFrame, percent: int) -> DataFrame:
     """The inverted index: a row for each class and shared shingle of its prefix, rarest first.
 
-    ``before`` has the class's first entries before this one, ``band`` its size on a scale on which
-    sizes that are apart by more than one can't be linked.
+    ``band`` has the class's size on a scale on which sizes that are apart by more than one can't be linked.
     """
     e = sets.where("shingles is not null").select(
-        "digest", "n", "sketch", F.floor(F.log("n") / -F.log(F.lit(percent / 100.0))).alias("band"), "shingles",
+        "cls", "n", F.floor(F.log("n") / -F.log(F.lit(percent / 100.0))).cast("int").alias("band"),
         F.posexplode(F.arrays_zip("shingles", "places")).alias("at", "e"))
-    return e.select("digest", "n", "sketch", "band", F.col("e.shingles").alias("shingle"),
-                    F.col("e.places").alias("place"),
-                    F.slice("shingles", F.lit(1), F.least(F.col("at"), F.lit(BEFORE))).alias("before"))
-
-
-def _filtered(met: DataFrame, percent: int) -> DataFrame:
-    for f in _filters(percent):
-        met = met.where(f)
-    return met.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+    return e.select("cls", "n", "band", F.col("e.shingles").alias("shingle"), F.col("e.places").alias("place"), "at")
 
 
 def _rooted(index: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
-        return index.withColumn("root", F.col("digest"))
-    return index.join(roots, index["digest"] == roots["node"], "left").select(
-        index["*"], F.coalesce("root", "digest").alias("root"))
+        return index.withColumn("root", F.col("cls"))
+    return index.join(roots, index["cls"] == roots["node"], "left").select(
+        index["*"], F.coalesce("root", "cls").alias("root"))
 
 
-def links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Verified links ``(a, b)`` between classes that make up the components, and the roots.
+def roots_of(sets: DataFrame, percent: int) -> DataFrame | None:
+    """``(node, root)`` of the components of all verified links, for classes that have one.
 
     Pairs inside a component found already are not compared; every other pair that the filters
     let through is, once.
     """
-    index, roots, done = store(index_rows(sets, percent), "index"), None, None
+    index, roots, done = store(index_rows(sets, percent), "index"), None, []
     for r in range(ROUNDS):
         x = _rooted(index, roots)
         leaders = x.groupBy("shingle", "band").agg(
-            F.min(F.struct(F.xxhash64("digest", F.lit(r)), "digest", "n", "sketch", "place", "root")).alias("y"),
+            F.min(F.struct(F.xxhash64("cls", F.lit(r)).alias("h"), "cls", "n", "place", "root")).alias("y"),
             F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "band", "y")
         met = x.alias("x").join(leaders, ["shingle", "band"]).where("x.root <> y.root")
-        pairs = _filtered(met, percent)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        done, roots = _compare(pairs, sets, percent, done, roots)
+        roots = _compare(_met(met, percent), sets, percent, done, roots)
     x = _rooted(index, roots)
     mixed = x.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    x = store(x.join(mixed.select("shingle"), "shingle", "left_semi"), "mixed")
+    x = x.join(mixed.select("shingle"), "shingle", "left_semi")
+    # with each entry its class's first entries before it: a pair is made where it meets first
+    x = x.join(sets.select("cls", "shingles"), "cls").select(
+        "cls", "n", "shingle", "place", "root", F.slice("shingles", F.lit(1), F.least(F.col("at"), F.lit(BEFORE))).alias("before"))
+    x = store(x, "mixed")
     met = x.alias("x").join(x.alias("y"), "shingle").where(
-        "x.digest < y.digest and x.root <> y.root and not arrays_overlap(x.before, y.before)")
-    done, roots = _compare(_filtered(met, percent).join(done, ["a", "b"], "left_anti"), sets, percent, done, roots)
-    return done.where("linked").select("a", "b"), roots
+        "x.cls < y.cls and x.root <> y.root and not arrays_overlap(x.before, y.before)")
+    roots = _compare(_met(met, percent), sets, percent, done, roots)
+    discard(index, x, *done)
+    return roots
 
 
-def _compare(pairs, sets, percent, done, roots):
-    """Verify new pairs; all pairs compared so far, and the components of all links."""
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int, done: list, roots: DataFrame | None) -> DataFrame:
+    """Verify the pairs that are not in ``done``, which gets them; the roots with their links."""
+    for old in done:
+        pairs = pairs.join(old, ["a", "b"], "left_anti")
     new = store(verified(pairs, sets, percent), "links")
+    done.append(new)
     edges = new.where("linked").select("a", "b")
-    if roots is not None:
-        edges = edges.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return new if done is None else done.unionAll(new), components(edges)
+    if roots is None:
+        return components(edges)
+    if edges.isEmpty():
+        return roots
+    # links between components become links between their roots, which are few
+    for end in ("a", "b"):
+        edges = edges.join(roots.select(F.col("node").alias(end), F.col("root").alias("_r")), end, "left").withColumn(
+            end, F.coalesce("_r", end)).drop("_r")
+    found = components(edges).select(F.col("node").alias("k"), F.col("root").alias("r"))
+    more = roots.join(found, roots["root"] == found["k"], "left").select("node", F.coalesce("r", "root").alias("root"))
+    alone = found.join(roots, found["k"] == roots["node"], "left_anti").select(F.col("k").alias("node"), F.col("r").alias("root"))
+    out = store(more.unionAll(alone), "roots")
+    discard(roots)
+    return out
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -295,13 +290,14 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     """
     members = store(membership(docs), "members")
     words = members.agg(F.sum("n_words")).first()[0] or 0
-    sets = store(prefix_index(docs, words, size, percent), "sets")
-    _, roots = links(sets, percent)
+    sets = store(prefix_index(docs, words, size, percent).withColumn("cls", F.monotonically_increasing_id()), "sets")
+    roots = roots_of(sets, percent)
     classes = members.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.join(sets.select("digest", "n"), "digest").join(
-        roots, F.col("digest") == F.col("node"), "left").select(
-        "digest", "n", "class_id", F.coalesce("root", "digest").alias("root"))
+    classes = classes.join(sets.select("digest", "n", "cls"), "digest").join(
+        roots, F.col("cls") == F.col("node"), "left").select(
+        "digest", "n", "class_id", F.coalesce("root", "cls").alias("root"))
     classes = store(classes, "classes")
+    discard(sets, roots)
     least = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
     classes = classes.join(least, "root").select("digest", "n", "class_id", "component_id")
     full = members.where("digest is not null").join(classes, "digest").select(
