@@ -196,13 +196,18 @@ def _met(pairs: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
+def _suffix_filter(percent: int) -> str:
+    """SQL: the sketches of x and y differ in no more places than linked sets can."""
+    apart = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(1 << SKETCH_BITS - 6))
+    return f"{apart} <= x.n + y.n - 2 * {_need(percent, 'x', 'y')}"
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(a, b, linked)`` of distinct pairs: by the sketches where they rule a link out, else the whole sets."""
     s = sets.where("members is not null")
     x = s.select(F.col("cls").alias("a"), "n", "sketch").alias("x")
     y = s.select(F.col("cls").alias("b"), "n", "sketch").alias("y")
-    apart = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(1 << SKETCH_BITS - 6))
-    p = pairs.join(x, "a").join(y, "b").where(f"{apart} <= x.n + y.n - 2 * {_need(percent, 'x', 'y')}").select(
+    p = pairs.join(x, "a").join(y, "b").where(_suffix_filter(percent)).select(
         "a", "b", (F.col("x.n") + F.col("y.n")).alias("n"))
     p = p.join(s.select(F.col("cls").alias("b"), F.col("members").alias("sb")), "b").join(
         s.select(F.col("cls").alias("a"), F.col("members").alias("sa")), "a")
@@ -245,12 +250,13 @@ def roots_of(sets: DataFrame, percent: int) -> DataFrame | None:
     x = _rooted(index, roots)
     mixed = x.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     x = x.join(mixed.select("shingle"), "shingle", "left_semi")
-    # with each entry its class's first entries before it: a pair is made where it meets first
-    x = x.join(sets.select("cls", "shingles"), "cls").select(
-        "cls", "n", "shingle", "place", "root", F.slice("shingles", F.lit(1), F.least(F.col("at"), F.lit(BEFORE))).alias("before"))
+    # these rows are few and get their sketches, and their class's first entries before them: a pair is made
+    # only where it meets first
+    before = F.slice("shingles", F.lit(1), F.least(F.col("at"), F.lit(BEFORE))).alias("before")
+    x = x.join(sets.select("cls", "shingles", "sketch"), "cls").select("cls", "n", "shingle", "place", "root", "sketch", before)
     x = store(x, "mixed")
     met = x.alias("x").join(x.alias("y"), "shingle").where(
-        "x.cls < y.cls and x.root <> y.root and not arrays_overlap(x.before, y.before)")
+        "x.cls < y.cls and x.root <> y.root and not arrays_overlap(x.before, y.before)").where(_suffix_filter(percent))
     roots = _compare(_met(met, percent), sets, percent, done, roots)
     discard(index, x, *done)
     return roots
