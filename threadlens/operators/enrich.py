@@ -413,12 +413,16 @@ def rule_annotation(body="body", score="score", comment_id="comment_id", *, toke
 
 def rule_annotate(ranked: DataFrame, batch_size: int = 20) -> DataFrame:
     """EN11 in the enrichment flow: batches assigned as for a model, annotation from rules."""
-    b = assign_batches(ranked, batch_size)
-    pre = b.withColumns({"_tk": tokens_of(F.lower(F.coalesce(F.col("body"), F.lit("")))),
+    return rule_facts(assign_batches(ranked, batch_size)).drop("_w")
+
+
+def rule_facts(comments: DataFrame) -> DataFrame:
+    """The rule annotation of each comment, and ``_w``, its number of words; no shuffle."""
+    pre = comments.withColumns({"_tk": tokens_of(F.lower(F.coalesce(F.col("body"), F.lit("")))),
                          "_w": word_count("body")})
     return (pre.withColumns({"annotation": rule_annotation(tokens="_tk", words="_w"),
                              "annotation_status": F.lit("rule")})
-               .drop("_tk", "_w"))
+               .drop("_tk"))
 
 
 # ---------------------------------------------------------------- EN4 synthesis prompt

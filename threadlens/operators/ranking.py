@@ -23,7 +23,12 @@ def _c(x) -> Column:
 
 def heuristic_score(body="body", depth="depth", score="score") -> Column:
     """RK1: length bonus * 0.5 + depth penalty * 0.3 + score / 1000 (all DOUBLE)."""
-    w = word_count(body).cast("double")
+    return heuristic_of(word_count(body), depth, score)
+
+
+def heuristic_of(words, depth="depth", score="score") -> Column:
+    """RK1 from a word count."""
+    w = _c(words).cast("double")
     lb = F.when(w >= 20, F.lit(1.0)).otherwise(w / F.lit(20.0))
     dp = F.lit(1.0) - F.least(F.coalesce(_c(depth), F.lit(0)).cast("double") * F.lit(0.05), F.lit(0.5))
     s = F.coalesce(_c(score), F.lit(0)).cast("double")

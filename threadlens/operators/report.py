@@ -1,8 +1,8 @@
 """Report assembly and renderings (REP0-REP4).
 
-The per-thread pieces (counts, distributions, top comments, insights) are aggregates
-keyed by post_id over at most ``max_comments`` rows per thread (the pre-filter bounds
-them), joined onto the posts and packed into one nested row per post.
+The per-thread pieces (counts, distributions, top comments, insights) are grouped aggregates
+over whole threads, combined in each task before the shuffle (``thread_parts``), joined onto
+the posts and packed into one nested row per post.
 """
 
 from __future__ import annotations
@@ -231,17 +231,10 @@ def terminal_view(report="report") -> list[Column]:
             themes.alias("theme_distribution"), tones.alias("tone_top6")]
 
 
-# ---------------------------------------------------------------- one-pass thread packing
+# ---------------------------------------------------------------- per-thread parts
 
-PACK_FIELDS = ["rank", "comment_id", "score", "body", "author", "depth", "quality_score", "intent_primary",
-               "intent_secondary", "sentiment", "key_insights", "actionable_advice", "shared_experiences",
-               "relevance_score"]
-
-
-def _count_map(labels: Column) -> Column:
-    """label -> count over an array of labels, keys sorted."""
-    keys = F.array_sort(F.array_distinct(labels))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(labels, lambda x: x == k)).cast("bigint")))
+TOP_FIELDS = ["comment_id", "score", "body", "author", "depth", "quality_score", "intent_primary", "intent_secondary",
+              "sentiment", "key_insights", "actionable_advice", "shared_experiences", "relevance_score"]
 
 
 def _desc_then(a_key: Column, b_key: Column, a_tie: Column, b_tie: Column) -> Column:
@@ -249,51 +242,86 @@ def _desc_then(a_key: Column, b_key: Column, a_tie: Column, b_tie: Column) -> Co
              .when(a_tie < b_tie, -1).when(a_tie > b_tie, 1).otherwise(0))
 
 
-def pack_threads(flat: DataFrame, threshold: float = 2.0, top_k: int = 10, themes_k: int = 5,
-                 by=BY) -> DataFrame:
-    """All per-thread parts of the report in one aggregate.
+def label_parts(flat: DataFrame, threshold: float = 2.0, themes_k: int = 5, by=BY) -> DataFrame:
+    """Counts, distributions, themes and consensus (AG1-AG5, AG11), one row per thread.
 
-    ``flat`` holds at most ``max_comments`` annotated rows per thread (the pre-filter bounds
-    it), so collecting a thread's rows is bounded; every part (AG1-AG6, AG11, RK3, RK4) is
-    then an array expression on that row. After the pre-filter window the data is already
-    partitioned by post_id, so this aggregate adds no shuffle.
+    One aggregate counts every (thread, kind, label); tasks ship their counts, not comments. What a
+    thread's row then gathers is one entry a label.
     """
-    fields = [f for f in PACK_FIELDS if f in flat.columns]
-    rows = flat.groupBy(*by).agg(F.collect_list(F.struct(*fields)).alias("_rows"))
-    r = F.col("_rows")
-    q = F.filter(r, lambda x: F.coalesce(x["quality_score"], F.lit(0.0)) >= threshold)
-    sent = F.transform(r, lambda x: F.coalesce(x["sentiment"]["toward_op"], F.lit("neutral")))
-    tone = F.transform(r, lambda x: F.coalesce(x["sentiment"]["overall_tone"], F.lit("neutral")))
-    intent = F.transform(r, lambda x: F.coalesce(x["intent_primary"], F.lit("UNKNOWN")))
-    n = F.size(r).cast("bigint")
-    ikeys = F.array_distinct(intent)
-    icounts = F.transform(ikeys, lambda k: F.struct(F.size(F.filter(intent, lambda x: x == k)).cast("bigint").alias("n"),
-                                                    k.alias("theme")))
-    top_themes = F.slice(F.array_sort(icounts, lambda a, b: _desc_then(a["n"], b["n"], a["theme"], b["theme"])),
-                         1, themes_k)
-    theme_map = F.map_from_entries(F.transform(top_themes, lambda t: F.struct(t["theme"], pct_tenths(t["n"], n) / F.lit(10.0))))
-    weight = lambda x: (F.coalesce(x["relevance_score"], F.lit(0.0))
-                        * F.coalesce(x["score"], F.lit(0)).cast("double"))
-    tops = F.slice(F.array_sort(q, lambda a, b: _desc_then(weight(a), weight(b), a["rank"], b["rank"])), 1, top_k)
-    tops = F.transform(tops, lambda x: x.dropFields("rank").withField("text", x["body"]))
-
-    def distinct_all(col):
-        return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(q, lambda x: F.coalesce(
-            x[col], F.array().cast("array<string>")))), lambda v: v.isNotNull())))
-
-    ns = F.size(F.filter(sent, lambda x: x == "supportive"))
-    nc = F.size(F.filter(sent, lambda x: x == "critical"))
-    nn = F.size(F.filter(sent, lambda x: x == "neutral"))
+    def label(col, missing):
+        return F.coalesce(F.col(col), F.lit(missing))
+
+    high = F.coalesce(F.col("quality_score"), F.lit(0.0)) >= threshold
+    kinds = {"sentiment": label("sentiment.toward_op", "neutral"), "tone": label("sentiment.overall_tone", "neutral"),
+             "intent": label("intent_primary", "UNKNOWN"), "quality": F.when(high, F.lit("high")).otherwise(F.lit("low"))}
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("label")) for k, c in kinds.items()])
+    counts = flat.select(*by, F.explode(pairs).alias("k")).groupBy(*by, "k.kind", "k.label").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("kind", "label", "n"))).alias("_l"))
+
+    def entries(kind):
+        return F.transform(F.filter("_l", lambda x: x["kind"] == kind), lambda x: F.struct(x["label"], x["n"]))
+
+    x = rows.select(*by, *[F.map_from_entries(entries(k)).alias(k) for k in kinds], entries("intent").alias("_i"))
+
+    def of(kind, name):
+        return F.coalesce(F.try_element_at(kind, F.lit(name)), F.lit(0).cast("bigint"))
+
+    hq, n = of("quality", "high"), of("quality", "high") + of("quality", "low")
+    themes = F.slice(F.array_sort("_i", lambda a, b: _desc_then(a["n"], b["n"], a["label"], b["label"])), 1, themes_k)
+    ns, nc, nn = (of("sentiment", k) for k in ("supportive", "critical", "neutral"))
     mx = F.greatest(ns, nc, nn)
-    return rows.select(
-        *by, n.alias("total_processed"), F.size(q).cast("bigint").alias("high_quality_count"),
-        _count_map(sent).alias("sentiment_distribution"), _count_map(tone).alias("tone_distribution"),
-        _count_map(intent).alias("intent_distribution"), theme_map.alias("theme_percentages"),
-        tops.alias("top_comments"), distinct_all("key_insights").alias("all_insights"),
-        distinct_all("actionable_advice").alias("all_advice"),
+    return x.select(
+        *by, n.alias("total_processed"), hq.alias("high_quality_count"),
+        F.col("sentiment").alias("sentiment_distribution"), F.col("tone").alias("tone_distribution"),
+        F.col("intent").alias("intent_distribution"),
+        F.map_from_entries(F.transform(themes, lambda t: F.struct(t["label"], pct_tenths(t["n"], n) / F.lit(10.0))))
+        .alias("theme_percentages"),
         (F.when(ns > nc, F.lit("validated")).when(nc > ns, F.lit("disputed")).otherwise(F.lit("mixed")))
         .alias("validation_status"),
         (F.when(mx * 10 >= n * 6, F.lit("high")).when(mx * 10 >= n * 4, F.lit("medium")).otherwise(F.lit("low")))
         .alias("agreement_level"),
         F.create_map(*[x for k, c in (("supportive", ns), ("critical", nc), ("neutral", nn))
                        for x in (F.lit(k), pct_tenths(c, n) / F.lit(10.0))]).alias("sentiment_breakdown"))
+
+
+def top_parts(flat: DataFrame, top_k: int = 10, by=BY, bodies: DataFrame | None = None) -> DataFrame:
+    """RK4 as an ordered array a thread: ties by ``rank`` if there is one, else by heuristic and seq.
+
+    The top-k cuts each task's rows before the shuffle. ``bodies`` (thread, comment, body) is joined
+    to the k rows only, when ``flat`` has none.
+    """
+    from threadlens.operators.ranking import relevance_weight, top_k as first
+    ties = [F.col("rank")] if "rank" in flat.columns else [F.col("heuristic").desc(), F.col("seq")]
+    rows = first(flat.withColumn("_weight", relevance_weight()), top_k, [F.col("_weight").desc(), *ties], by, rank="_k")
+    if bodies is not None:
+        b = bodies.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("comment_id").cast("string").alias("_id"), "body")
+        on = F.col("comment_id") == F.col("_id")
+        for c in by:
+            on = on & (F.col(c) == F.col(f"_{c}"))
+        rows = rows.join(b, on, "left")
+    fields = [f for f in TOP_FIELDS if f in rows.columns]
+    rows = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_k", *fields))).alias("_t"))      # at most k
+    return rows.select(*by, F.transform("_t", lambda x: x.dropFields("_k").withField("text", x["body"])).alias("top_comments"))
+
+
+def union_parts(quality: DataFrame, by=BY) -> DataFrame:
+    """AG6: the distinct insights and advice of a thread, each once a task before the shuffle."""
+    def tagged(kind, col):
+        none = F.array().cast("array<string>")
+        return F.transform(F.coalesce(F.col(col), none), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+
+    values = quality.select(*by, F.explode(F.concat(tagged("i", "key_insights"), tagged("a", "actionable_advice"))).alias("x"))
+    values = values.select(*by, "x.kind", "x.v").where("v is not null").distinct()
+
+    def of(kind):
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("v"))))
+
+    return values.groupBy(*by).agg(of("i").alias("all_insights"), of("a").alias("all_advice"))
+
+
+def thread_parts(flat: DataFrame, threshold: float = 2.0, top_k: int = 10, themes_k: int = 5, by=BY,
+                 bodies: DataFrame | None = None) -> DataFrame:
+    """All per-thread parts of the report over every row of ``flat`` (annotated comments)."""
+    quality = flat.where(F.coalesce(F.col("quality_score"), F.lit(0.0)) >= threshold)
+    return (label_parts(flat, threshold, themes_k, by).join(top_parts(quality, top_k, by, bodies), by, "left")
+            .join(union_parts(quality, by), by, "left"))

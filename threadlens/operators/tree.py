@@ -71,15 +71,19 @@ def build_tree(comments: DataFrame, max_depth: int = 5, max_roots: int | None =
                      F.coalesce(nxt, F.col(cid)).alias("_jk"))
     reach = x.filter(F.col("_cur").isNull() & F.col("_ok")).drop("_cur", "_ok", "_jk")
     if max_roots is not None:
-        # Roots are the rows without a parent, so their limit needs no climb.
-        roots = (keyed.filter(F.col(parent).isNull())
-                      .withColumn("_r", F.row_number().over(Window.partitionBy(post).orderBy("_key")))
-                      .filter(F.col("_r") <= max_roots)
-                      .select(post, F.col(cid).alias("root_id")))
+        roots = limited_roots(keyed, max_roots, post, cid, parent)
         reach = reach.join(roots, [post, "root_id"], "left_semi")
     return comments.join(reach, [post, cid], "inner")
 
 
+def limited_roots(keyed: DataFrame, n: int, post: str, cid: str, parent: str) -> DataFrame:
+    """The first n roots of each thread by ``_key``. Roots are the rows without a parent: no climb."""
+    return (keyed.filter(F.col(parent).isNull())
+                 .withColumn("_r", F.row_number().over(Window.partitionBy(post).orderBy("_key")))
+                 .filter(F.col("_r") <= n)
+                 .select(post, F.col(cid).alias("root_id")))
+
+
 def preorder(tree: DataFrame, post: str = "post_id") -> DataFrame:
     """TR2: 1-based pre-order position within the thread (``preorder``).
 

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Params:
     memo_ttl_hours: int = 24
-    max_comments: int = 100          # root limit (FL1) and pre-filter size (RK2)
+    max_comments: int | None = None  # root limit (FL1) and pre-filter size (RK2); None: the whole thread
     quality_threshold: float = 2.0   # RK3; the reference's function default is 5.0
     batch_size: int = 20             # EN1
-    max_depth: int = 5               # TR1: replies followed while depth < 5
+    max_depth: int | None = None     # TR1: depth of the last replies that are followed; None: any depth
     comment_order: str = "source"    # TR3: sibling order for the root limit and pre-order: source | new | top
     gallery_images: int | None = None      # TX1: images of a gallery that are read; None: all
     article_cut: int | None = None         # TX1: characters of a linked article; None: whole

@@ -26,6 +26,23 @@ SELECT doc_id % 20 AS post_id, doc_id AS comment_id,
        doc_id // 20 AS seq, 'u' || CAST(doc_id % 97 AS VARCHAR) AS author, text AS body,
        (doc_id * 37) % 400 - 40 AS score
 FROM documents""", []),
+    "v_deep": ("""
+SELECT post_id, comment_id, up * 5 + post_id AS parent_id, comment_id AS seq FROM (
+  SELECT *, CASE post_id
+      WHEN 0 THEN CASE WHEN i % 1200 > 0 THEN i - 1 END
+      WHEN 1 THEN CASE WHEN i > 0 THEN 0 END
+      WHEN 2 THEN CASE WHEN i > 0 THEN (i - 1) // 2 END
+      WHEN 3 THEN CASE WHEN i % 500 = 0 THEN NULL WHEN i % 7 = 3 THEN i // 2 ELSE i - 1 END
+      ELSE CASE WHEN i % 20 = 0 THEN NULL WHEN i % 10 = 9 THEN -i WHEN i % 10 = 7 THEN i + 1 ELSE i - 1 END END AS up
+  FROM (SELECT event_id AS comment_id, event_id % 5 AS post_id, event_id // 5 AS i FROM events))""", []),
+    "v_nested": ("""
+WITH d AS (SELECT doc_id // 12 AS post_id, doc_id % 12 AS k, doc_id, coalesce(text, '') AS body FROM documents WHERE doc_id IS NOT NULL)
+SELECT post_id, 'D' || CAST(doc_id AS VARCHAR) AS comment_id,
+       CASE WHEN k > 0 THEN 'D' || CAST(doc_id - 1 AS VARCHAR) END AS parent_id,
+       CASE WHEN k > 0 AND (k - 1) % 2 = 0 THEN 1 ELSE 0 END AS seq, k AS score, body FROM d
+UNION ALL
+SELECT post_id, 'L' || CAST(doc_id AS VARCHAR), 'D' || CAST(doc_id AS VARCHAR), CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END, 0, NULL
+FROM d""", []),
     "v_enriched": ("""
 SELECT user_id AS post_id, event_id AS comment_id, event_id AS seq, ts AS created_utc,
        TRY_CAST(props->>'$.k' AS BIGINT) AS score,

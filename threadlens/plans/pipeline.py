@@ -1,14 +1,14 @@
 """Pipelines (PL1, PL2, PL4): the whole analysis for all posts as one Spark plan.
 
-PL1 ``analyze``: comments -> tree (root limit, depth cut) -> heuristic pre-filter ->
-batches -> annotator -> quality filter -> per-thread aggregates -> report row per post.
-
-Shuffle plan: the tree unroll joins on (post_id, comment_id); the pre-filter is a
-per-thread top-k (``WindowGroupLimit`` runs before the shuffle, so a hot thread ships at
-most ``max_comments`` rows per task). Everything after it sees at most ``max_comments``
-rows per thread, so the per-thread aggregates and packing are bounded. A model annotator's
-output is checkpointed to the shared checkpoint folder so that a lost executor never
-re-calls the model.
+PL1 ``analyze``: comments -> tree -> (root limit, depth cut, heuristic pre-filter where they
+are set) -> batches -> annotator -> quality filter -> per-thread aggregates -> report row per post.
+
+Shuffle plan: by default whole threads are analysed. The rules read a comment's body where it
+is scanned; only keys, labels and numbers join the climb of the tree on (post_id, comment_id),
+and the per-thread parts are aggregates combined in each task, so no task holds a thread. Bodies
+are joined to the few top comments only. With ``max_comments`` the pre-filter is a per-thread
+top-k (``WindowGroupLimit`` runs before the shuffle). A model annotator's output is checkpointed
+to the shared checkpoint folder so that a lost executor never re-calls the model.
 """
 
 from __future__ import annotations
@@ -20,10 +20,13 @@ from threadlens.functions import content as ct
 from threadlens.functions import urls as U
 from threadlens.params import DEFAULT, Params
 from threadlens.operators import enrich as EN
+from threadlens.operators import forest as FO
 from threadlens.operators import memo as M
 from threadlens.operators import ranking as R
 from threadlens.operators import report as REP
 from threadlens.operators import tree as T
+from threadlens.operators.positions import group_positions
+from threadlens.session import stored
 
 BY = ["post_id"]
 
@@ -72,29 +75,61 @@ def post_content(posts: DataFrame, ocr: DataFrame | None = None, links: DataFram
 
 
 def annotate_comments(comments: DataFrame, params: Params = DEFAULT, annotator="rule",
-                      context: DataFrame | None = None, by=BY) -> DataFrame:
+                      context: DataFrame | None = None, by=BY, with_body: bool = True) -> DataFrame:
     """TR1/FL1 -> RK2 -> EN1 -> annotator (rule, native Column function, or Python callable)
-    -> EN6/EN7 -> EN13 flat columns (quality_score, intent_primary, toward_op, ...)."""
-    tree = T.build_tree(comments, params.max_depth, max_roots=params.max_comments, order=params.comment_order)
-    ranked = R.pre_filter(tree, params.max_comments, by)
-    if annotator == "rule":
-        ann = EN.rule_annotate(ranked, params.batch_size)
+    -> EN6/EN7 -> EN13 flat columns (quality_score, intent_primary, toward_op, ...).
+
+    Whole threads under the rules have no ``rank``, and no ``body`` unless it is asked for: the
+    report joins it to its top comments only.
+    """
+    if annotator == "rule" and params.max_comments is None:
+        flat = _whole_threads(comments, params, by)
+        if with_body:
+            flat = flat.join(comments.select(*by, F.col("comment_id").cast("string").alias("comment_id"), "body"),
+                             [*by, "comment_id"])
     else:
-        if context is not None:
-            ranked = ranked.join(context.select(*by, F.col("post_context").alias("_ctx")), by, "left")
-        ann = EN.enrich_comments(ranked, annotator, params.batch_size, by,
-                                 context="_ctx" if context is not None else None,
-                                 partitions=params.max_concurrent_calls)
-        if not getattr(annotator, "native", False):
-            ann = ann.checkpoint(eager=True)  # never call the model twice for one batch
-    flat = EN.merge_annotation(ann)
+        if params.max_depth is None:
+            tree = FO.forest(comments, max_roots=params.max_comments, order=params.comment_order)
+            tie = "seq"
+        else:
+            tree = T.build_tree(comments, params.max_depth, max_roots=params.max_comments, order=params.comment_order)
+            tie = "path"
+        if params.max_comments is not None:
+            ranked = R.pre_filter(tree, params.max_comments, by, tie=tie)
+        else:
+            ranked = group_positions(tree.withColumn("heuristic", R.heuristic_score()), by,
+                                     [("heuristic", True), ("seq", False)], key=["comment_id"], out="rank")
+        if annotator == "rule":
+            ann = EN.rule_annotate(ranked, params.batch_size)
+        else:
+            if context is not None:
+                ranked = ranked.join(context.select(*by, F.col("post_context").alias("_ctx")), by, "left")
+            ann = EN.enrich_comments(ranked, annotator, params.batch_size, by,
+                                     context="_ctx" if context is not None else None,
+                                     partitions=params.max_concurrent_calls)
+            if not getattr(annotator, "native", False):
+                ann = ann.checkpoint(eager=True)  # never call the model twice for one batch
+        flat = EN.merge_annotation(ann)
     return (flat.withColumn("toward_op", F.col("sentiment")["toward_op"])
                 .withColumn("overall_tone", F.col("sentiment")["overall_tone"]))
 
 
-def thread_parts(flat: DataFrame, params: Params = DEFAULT, by=BY) -> DataFrame:
-    """Per-thread aggregates of the annotated comments, one row per thread (one pass)."""
-    return REP.pack_threads(flat, params.quality_threshold, params.report_top_k, params.themes_top_k, by)
+def _whole_threads(comments: DataFrame, params: Params, by=BY) -> DataFrame:
+    """Every comment that hangs on a root, annotated by the rules where it is scanned; stored, as
+    several aggregates read it. The body stays behind."""
+    keep = [c for c in ("author", "score", "seq") if c in comments.columns]
+    facts = EN.rule_facts(comments).select(*by, "comment_id", *keep, "_w", "annotation", "annotation_status")
+    places = FO.climb(comments).where("status = 'ok'").select(*by, "comment_id", F.col("depth").cast("int").alias("depth"))
+    if params.max_depth is not None:
+        places = places.where(F.col("depth") <= params.max_depth)
+    flat = facts.join(places, [*by, "comment_id"]).withColumn("heuristic", R.heuristic_of("_w")).drop("_w")
+    return stored(EN.merge_annotation(flat), "annotated")
+
+
+def thread_parts(flat: DataFrame, params: Params = DEFAULT, by=BY, comments: DataFrame | None = None) -> DataFrame:
+    """Per-thread aggregates of the annotated comments, one row per thread."""
+    return REP.thread_parts(flat, params.quality_threshold, params.report_top_k, params.themes_top_k, by,
+                            bodies=None if "body" in flat.columns else comments)
 
 
 def analyze(posts: DataFrame, comments: DataFrame, as_of: str, params: Params = DEFAULT,
@@ -109,8 +144,9 @@ def analyze(posts: DataFrame, comments: DataFrame, as_of: str, params: Params =
     else:
         p = EN.enrich_posts(posts, post_annotator, partitions=params.max_concurrent_calls)
     ctx = p.select(*by, EN.post_context("post_annotation", "title").alias("post_context"))
-    flat = annotate_comments(comments, params, annotator, context=None if annotator == "rule" else ctx, by=by)
-    parts = thread_parts(flat, params, by)
+    flat = annotate_comments(comments, params, annotator, context=None if annotator == "rule" else ctx, by=by,
+                             with_body=False)
+    parts = thread_parts(flat, params, by, comments)
     available = comments.groupBy(*by).agg(F.count(F.lit(1)).alias("comments_available"))
     x = p.join(parts, by, "left").join(available, by, "left")
     if synthesizer is None:

@@ -19,7 +19,7 @@ from threadlens.session import ensure_checkpoint_dir
 from threadlens.sources import posts as P
 
 AS_OF = "2024-01-31T00:00:00"
-_MAX, _THR = 100, 2.0
+_THR = 2.0
 
 
 @shared_plan
@@ -29,7 +29,6 @@ def _posts(spark, d):
     return PL.post_content(p, v.ocr(), v.links())
 
 
-@shared_plan
 def _reports(spark, d):
     return PL.analyze(_posts(spark, d), _v(spark, d).threads(), AS_OF)
 
@@ -38,8 +37,7 @@ def _reports(spark, d):
 
 _CUE, _EXP, _SUP, _CRI = EN.ADVICE_CUE_RE, EN.EXPERIENCE_RE, EN.SUPPORT_RE, EN.CRITIC_RE
 _RANKED = f"""
-SELECT * FROM (SELECT t.*, CAST(row_number() OVER (PARTITION BY post_id ORDER BY {_HEUR} DESC, path) AS BIGINT) AS rank
-               FROM t) WHERE rank <= {_MAX}"""
+SELECT t.*, CAST(row_number() OVER (PARTITION BY post_id ORDER BY {_HEUR} DESC, seq) AS BIGINT) AS rank FROM t"""
 _FLAT = f"""
 SELECT *, CASE WHEN q >= 5.0 THEN [first] ELSE [] END AS key_insights,
        CASE WHEN cue THEN [first] ELSE [] END AS actionable_advice,
@@ -115,7 +113,7 @@ LEFT JOIN top tp USING (post_id) LEFT JOIN ins i USING (post_id) LEFT JOIN adv a
 _EXEC = ("'r/' || subreddit || ': ' || CAST(total_processed AS VARCHAR) || ' comments analysed, ' || "
          f"CAST(high_quality_count AS VARCHAR) || ' high quality (' || {_tstr('hq_tenths')} || '%).'")
 
-_CTES = [_tree_sql("v_threads", max_roots=_MAX), ("ranked", _RANKED), ("flat", _FLAT), ("qc", _QC),
+_CTES = [_tree_sql("v_threads", max_depth=None), ("ranked", _RANKED), ("flat", _FLAT), ("qc", _QC),
          ("themes", _THEMES), ("cons", _CONS), ("top", _TOP), ("ins", _INS), ("adv", _ADV), ("rep", _REP)]
 
 

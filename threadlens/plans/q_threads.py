@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadlens.operators import forest as FO
 from threadlens.operators import ranking as R
 from threadlens.operators import tree as T
 from threadlens.plans.oracle import WS, sql
 from threadlens.plans.registry import register, _v
 
 
-def _tree_sql(src: str, key: str = "seq", max_roots: int | None = None, max_depth: int = 5) -> tuple[str, str]:
+def _tree_sql(src: str, key: str = "seq", max_roots: int | None = None,
+              max_depth: int | None = 5) -> tuple[str, str]:
     """Recursive CTE ``t``: reachable comments of ``src`` with depth and path of sibling keys."""
     keyed = f"(SELECT *, {key} AS _key FROM {src})"
     roots = f"SELECT * FROM {keyed} WHERE parent_id IS NULL"
@@ -22,7 +24,7 @@ SELECT r.* EXCLUDE (_key), 0 AS depth, r.comment_id AS root_id, [r._key] AS path
 UNION ALL
 SELECT c.* EXCLUDE (_key), t.depth + 1, t.root_id, list_append(t.path, c._key)
 FROM {keyed} c JOIN t ON c.post_id = t.post_id AND c.parent_id = t.comment_id
-WHERE t.depth < {max_depth}"""
+{"" if max_depth is None else f"WHERE t.depth < {max_depth}"}"""
     return ("t", body)
 
 
@@ -48,6 +50,40 @@ def q_tree_preorder(spark, d):
     return t.select("post_id", "comment_id", F.col("depth").cast("bigint").alias("depth"), "root_id", "preorder")
 
 
+_LOST = ("o", """
+SELECT c.post_id, c.comment_id FROM v_deep c WHERE c.parent_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM v_deep p WHERE p.post_id = c.post_id AND p.comment_id = c.parent_id)
+UNION ALL
+SELECT c.post_id, c.comment_id FROM v_deep c JOIN o ON c.post_id = o.post_id AND c.parent_id = o.comment_id""")
+
+
+@register("tree_depth_deep", sql("""
+SELECT v.post_id, v.comment_id, t.root_id, CAST(t.depth AS BIGINT) AS depth,
+       CASE WHEN t.comment_id IS NOT NULL THEN 'ok' WHEN o.comment_id IS NOT NULL THEN 'orphan' ELSE 'cycle' END AS status
+FROM v_deep v LEFT JOIN t USING (post_id, comment_id) LEFT JOIN o USING (post_id, comment_id)""",
+                                 "v_deep", extra=[_tree_sql("v_deep", max_depth=None), _LOST], recursive=True))
+def q_tree_depth_deep(spark, d):
+    return FO.climb(_v(spark, d).deep()).select("post_id", "comment_id", "root_id", "depth", "status")
+
+
+@register("tree_preorder_deep", sql("""
+SELECT post_id, comment_id, CAST(depth AS BIGINT) AS depth,
+       row_number() OVER (PARTITION BY post_id ORDER BY path) AS preorder FROM t""",
+                                    "v_deep", extra=[_tree_sql("v_deep", max_depth=None)], recursive=True))
+def q_tree_preorder_deep(spark, d):
+    t = FO.preorder_any(FO.forest(_v(spark, d).deep()))
+    return t.select("post_id", "comment_id", F.col("depth").cast("bigint").alias("depth"), "preorder")
+
+
+@register("nested_replies", sql("""
+SELECT post_id, comment_id, parent_id, CAST(depth AS BIGINT) AS depth,
+       row_number() OVER (PARTITION BY post_id ORDER BY path) - 1 AS seq, score, body FROM t""",
+                                "v_nested", extra=[_tree_sql("v_nested", max_depth=None)], recursive=True))
+def q_nested_replies(spark, d):
+    t = FO.from_nested_any(_v(spark, d).nested(), {"score": "bigint", "body": "string"})
+    return t.select("post_id", "comment_id", "parent_id", F.col("depth").cast("bigint").alias("depth"), "seq", "score", "body")
+
+
 @register("tree_order_top", sql("""
 SELECT post_id, comment_id, row_number() OVER (PARTITION BY post_id ORDER BY path) AS preorder FROM t""",
                                 "v_comments", extra=[_tree_sql("v_comments", key="{'k': -score, 's': seq}")],

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -122,6 +122,41 @@ class Views:
             step.alias("seq"), F.concat(F.lit("u"), (i % 97).cast("string")).alias("author"),
             F.col("text").alias("body"), ((i * 37) % 400 - 40).alias("score"))
 
+    @_memo
+    def deep(self) -> DataFrame:
+        """v_deep: five threads over events: chains of 1,200, one parent for all, a binary tree, a
+        bushy tree, and one with orphans and cycles."""
+        e = self.t("events").select(F.col("event_id").alias("comment_id"), (F.col("event_id") % 5).alias("post_id"),
+                                    F.expr("event_id div 5").alias("i"))
+        up = F.expr("""CASE post_id
+            WHEN 0 THEN CASE WHEN i % 1200 > 0 THEN i - 1 END
+            WHEN 1 THEN CASE WHEN i > 0 THEN 0 END
+            WHEN 2 THEN CASE WHEN i > 0 THEN (i - 1) div 2 END
+            WHEN 3 THEN CASE WHEN i % 500 = 0 THEN NULL WHEN i % 7 = 3 THEN i div 2 ELSE i - 1 END
+            ELSE CASE WHEN i % 20 = 0 THEN NULL WHEN i % 10 = 9 THEN -i WHEN i % 10 = 7 THEN i + 1 ELSE i - 1 END END""")
+        return e.select("post_id", "comment_id", (up * 5 + F.col("post_id")).alias("parent_id"), F.col("comment_id").alias("seq"))
+
+    @_memo
+    def nested(self) -> DataFrame:
+        """A dump of nested replies over documents: 12 levels deep, each level with a leaf beside
+        the next one; ``replies`` is VARIANT."""
+        d = self.t("documents").where("doc_id is not null").select(
+            F.expr("doc_id div 12").alias("post_id"), (F.col("doc_id") % 12).alias("k"), F.col("doc_id").cast("string").alias("id"),
+            F.coalesce("text", F.lit("")).alias("body"))
+        last = F.col("k") == F.max("k").over(Window.partitionBy("post_id"))      # 12 rows at most
+        leaf = F.concat(F.lit('{"id":"L'), "id", F.lit('","score":0,"replies":[]}'))
+        comma = F.when(last, F.lit("")).otherwise(F.lit(","))
+        text = F.to_json(F.struct("body"))
+        head = F.concat(F.lit('{"id":"D'), "id", F.lit('","score":'), F.col("k").cast("string"), F.lit(","),
+                        F.expr("substring(j, 2, length(j) - 2)"), F.lit(',"replies":['))
+        d = d.withColumn("j", text).select(
+            "post_id", "k", F.when(F.col("k") % 2 == 0, F.concat(head, leaf, comma)).otherwise(head).alias("head"),
+            F.when(F.col("k") % 2 == 0, F.lit("]}")).otherwise(F.concat(comma, leaf, F.lit("]}"))).alias("tail"))
+        g = d.groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("k", "head", "tail"))).alias("r"))
+        heads, tails = F.transform("r", lambda x: x["head"]), F.reverse(F.transform("r", lambda x: x["tail"]))
+        dump = F.concat(F.lit("["), F.array_join(heads, ""), F.array_join(tails, ""), F.lit("]"))
+        return g.select("post_id", F.try_parse_json(dump).alias("replies"))
+
     @_memo
     def enriched(self) -> DataFrame:
         """v_enriched: annotated comments; the 'error' event plays a missing label."""
