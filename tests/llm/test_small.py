@@ -109,6 +109,34 @@ def test_shards(docs, empty, tmp_path):
         assert r.text_crc32 == (None if t is None else zlib.crc32(t.encode()))
 
 
+def test_shards_against_a_plain_sort(spark):
+    rng = np.random.default_rng(3)
+    texts = [f"text {i}" for i in range(40)] + ["", None]
+    rows = [(i, texts[int(rng.integers(42))], str(rng.choice(["en", "de", "fr"])), f"a long common prefix of sources {int(rng.integers(60)):03d}")
+            for i in range(900)] + [(None, "text 1", None, None), (7, "text 1", "en", "x"), (7, "text 1", "en", "x")]
+    d = spark.createDataFrame([(*r, 0, "x", 1, 2) for r in rows], SCHEMA).repartition(5)
+    out = sharding.hilbert_shards(d, shards=7).collect()
+    assert len(out) == len(rows)
+    home, kept = {}, {}
+    for i, t, lang, source in rows:
+        if t is not None:
+            home[t] = min(home.get(t, (True, 0, "", "")), (i is None, i or 0, source or "", lang or ""))
+    for r in out:
+        kept.setdefault(r.text_crc32, set()).add(r.curve)
+    assert all(len(v) == 1 for c, v in kept.items() if c is not None)          # equal texts: one place on the curve
+    order = sorted(out, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in order] == sorted(r.curve for r in out)
+    runs = [k for k in range(1, len(order)) if order[k].text_crc32 != order[k - 1].text_crc32]
+    with_text = {t for _, t, _, _ in rows if t is not None}
+    assert len(runs) + 1 <= len(with_text) + 1 + sum(t is None for _, t, _, _ in rows)
+    parted = [t for t in with_text if len({r.shard for r in out if r.text_crc32 == zlib.crc32(t.encode())}) > 1]
+    assert len(parted) <= 6                                                    # at most one a cut
+    ends = [k * len(rows) // 7 for k in range(8)]
+    assert sorted(sum(r.shard == k for r in out) for k in range(7)) == sorted(b - a for a, b in zip(ends, ends[1:]))
+    marks = sharding._value_marks(d, "source", 5)
+    assert marks == sorted(marks) and 16 <= len(marks) <= 32
+
+
 def test_best_cut_and_features():
     assert importance.best_cut(np.array([1.0, 2.0]), np.array([-1.0])) == 0.0
     assert importance.best_cut(np.array([1.0]), np.array([])) == -np.inf

@@ -5,8 +5,8 @@ levels of a row give its place on the curve, and the rows in curve order are cut
 equal length. Neighbours on the curve are near in every dimension, so each shard spans a small
 box and a filter on any dimension skips most files.
 
-Scale: only DataFrame expressions. Levels come from mergeable quantile sketches over all rows;
-rows are numbered by a range-partitioned sort of narrow rows in which the document's own fields
+Scale: only DataFrame expressions. Levels come from mergeable quantile sketches over all rows, for text
+dimensions from counts by value; rows are numbered by a range-partitioned sort of narrow rows in which the document's own fields
 break ties, so a hot value is spread over many tasks.
 """
 
@@ -14,15 +14,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import positions, store
+from threadlens.llm.common import positions, shuffle_partitions, store
 
 SHARDS = 16
 BITS = 5
 DIMENSIONS = ("source", "lang", "size")
-PREFIX_BYTES = 6
 
 
 def hilbert_index(levels: list[Column], bits: int) -> Column:
@@ -73,18 +72,21 @@ def hilbert_index(levels: list[Column], bits: int) -> Column:
     return let(gray(F.aggregate(steps, point, step)), lambda y: let(finish(y), interleave))
 
 
-def _number(df: DataFrame, c: str) -> Column:
-    """A number in the order of column ``c``: itself, or for text the bytes after the common prefix."""
-    if dict(df.dtypes)[c] != "string":
-        return F.col(c).cast("double")
-    lo, hi = df.agg(F.min(c), F.max(c)).first()
-    skip = 0
-    if lo is not None:
-        a, b = lo.encode(), hi.encode()
-        while skip < min(len(a), len(b)) and a[skip] == b[skip]:
-            skip += 1
-    part = F.rpad(F.hex(F.substring(F.col(c).cast("binary"), skip + 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
-    return F.conv(part, 16, 10).cast("double")
+def _value_marks(df: DataFrame, c: str, bits: int) -> list:
+    """The least value of each level of a text dimension: levels of about equal row counts.
+
+    Rows are first counted by value; the values, range-partitioned, get the rows before them.
+    """
+    v = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    v = store(v.repartitionByRange(shuffle_partitions(df.sparkSession), c).withColumn("part", F.spark_partition_id()), "values")
+    parts = v.groupBy("part").agg(F.sum("n").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # one row a partition
+    parts = parts.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("ahead"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy(c))
+    rows = v.agg(F.sum("n")).first()[0] or 1
+    v = v.withColumn("upto", within).join(F.broadcast(parts), "part")
+    level = F.expr(f"(ahead + upto - n) * {1 << bits} div {rows}")
+    return sorted(r["least"] for r in v.groupBy(level.alias("level")).agg(F.min(c).alias("least")).collect())
 
 
 def curve_order(df: DataFrame, dims=DIMENSIONS, bits: int = BITS) -> DataFrame:
@@ -92,34 +94,51 @@ def curve_order(df: DataFrame, dims=DIMENSIONS, bits: int = BITS) -> DataFrame:
 
     A null value has the lowest level. Equal values have equal levels, however many there are.
     """
-    numbered = df.select("*", *[_number(df, c).alias(f"_d{i}") for i, c in enumerate(dims)])
-    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = numbered.agg(*[F.percentile_approx(f"_d{i}", shares, 10000).alias(f"_d{i}") for i in range(len(dims))]).first()
+    kinds, shares = dict(df.dtypes), [k / (1 << bits) for k in range(1, 1 << bits)]
+    numbers = [c for c in dims if kinds[c] != "string"]
+    cuts = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10000).alias(c) for c in numbers]).first() if numbers else {}
     levels = []
-    for i in range(len(dims)):
-        marks = sorted(set(cuts[i] or []))
-        over = [F.when(F.col(f"_d{i}") >= F.lit(m), 1).otherwise(0) for m in marks]
+    for c in dims:
+        marks = sorted(set(cuts[c] or [])) if c in numbers else _value_marks(df, c, bits)
+        over = [F.when(F.col(c) >= F.lit(m), 1).otherwise(0) for m in marks]
         levels.append(reduce(lambda a, b: a + b, over, F.lit(0)))
-    return numbered.withColumn("curve", hilbert_index(levels, bits)).drop(*[f"_d{i}" for i in range(len(dims))])
+    return df.withColumn("curve", hilbert_index([F.least(x, F.lit((1 << bits) - 1)) for x in levels], bits))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """The narrow rows; ``at_source`` and ``at_lang`` are those of the smallest doc_id with the same text."""
+    text = F.col("text").cast("string")
+    d = store(docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest"),
+        F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")), "metadata")
+    # the smallest doc_id, then source, then lang; nulls last
+    order = F.struct(*[x for c in ("doc_id", "source", "lang") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
+    groups = d.where("digest is not null").groupBy("digest").agg(F.min(order).alias("g"), F.count(F.lit(1)).alias("n"))
+    groups = store(groups.where("n > 1").select("digest", "g.source", "g.lang"), "groups").select(
+        F.col("digest").alias("_digest"), F.col("source").alias("_source"), F.col("lang").alias("_lang"))
+    own = F.col("_digest").isNull()
+    return d.join(groups, F.col("digest") == F.col("_digest"), "left").select(
+        d["*"], F.when(own, F.col("source")).otherwise(F.col("_source")).alias("at_source"),
+        F.when(own, F.col("lang")).otherwise(F.col("_lang")).alias("at_lang"))
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, dims=DIMENSIONS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, text_crc32, source, lang, curve, shard, slot``.
 
     ``size`` is the UTF-8 bytes of the text (null: none) plus 1. Rows in the order of the curve,
-    then source, lang, size, text_crc32 and doc_id (nulls first), are cut into ``shards`` runs whose
-    counts differ by one at most; ``slot`` numbers a shard's rows from 0. Equal texts with equal
-    metadata are neighbours. Repeated rows get slots of their own; with fewer rows than shards some
-    shards are empty; an empty table gives no rows. Only ``doc_id, text, source, lang`` are read.
+    then source, lang, size, text and doc_id (nulls first), are cut into ``shards`` runs whose
+    counts differ by one at most; ``slot`` numbers a shard's rows from 0. Equal texts lie next to
+    each other, at the source and lang of their smallest doc_id; only a run's end parts them. Repeated
+    rows get slots of their own; with fewer rows than shards some shards are empty; an empty table
+    gives no rows. Only ``doc_id, text, source, lang`` are read.
     """
-    text = F.col("text").cast("string")
-    d = store(docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.col("source").cast("string").alias("source"),
-        F.col("lang").cast("string").alias("lang")), "metadata")
+    at = {"source": "at_source", "lang": "at_lang"}
+    d = store(_placed(docs), "placed")
     n = d.count()
-    s = positions(curve_order(d, dims, bits), ["curve", "source", "lang", "size", "text_crc32", "doc_id"])
+    s = positions(curve_order(d, [at.get(c, c) for c in dims], bits),
+                  ["curve", "at_source", "at_lang", "size", "digest", "doc_id"]).drop("at_source", "at_lang", "digest")
     s = s.withColumn("shard", F.expr(f"pos * {shards} div {max(n, 1)}").cast("int"))
     return s.withColumn("slot", F.expr(f"pos - (shard * {n}L + {shards - 1}) div {shards}")).drop("pos")
 
