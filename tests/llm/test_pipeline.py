@@ -61,7 +61,8 @@ def expected_draw(spark, rows, marks):
                               np.array([mean[i] for i in mean if good.get(i) is False]))
     ids = spark.createDataFrame([(i,) for i in weight], "doc_id bigint")
     hashes = {r.doc_id: r.h for r in ids.withColumn("h", F.xxhash64(F.lit(importance.SEED), "doc_id")).collect()}
-    key = {i: w - math.log(-math.log(((hashes[i] % 2**64 >> 11) + 0.5) / 2.0**53)) for i, w in weight.items()}
+    key = {i: w - cut * len(grams[i]) - math.log(-math.log(((hashes[i] % 2**64 >> 11) + 0.5) / 2.0**53))
+           for i, w in weight.items()}                # the draw ranks by what the cut counts
     k = sum(x > cut for x in mean.values())
     return {i: (weight[i], key[i]) for i in sorted(key, key=lambda i: (-key[i], i))[:k]}
 

@@ -138,9 +138,10 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
 
 
 def importance(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: int = LABELLED) -> DataFrame:
-    """``doc_id, log_weight, n_grams, fits``: the importance weight of every document.
+    """``doc_id, log_weight, n_grams, fits, lead``: the importance weight of every document.
 
-    ``fits`` says that the mean log ratio of its n-grams is above the calibrated cut. Only
+    ``lead`` is the weight over that of a text of the same length whose mean log ratio is the calibrated
+    cut, so that long and short texts compare; ``fits`` says that it is above 0. Only
     ``doc_id`` and ``text`` are read. A null or empty text has no n-grams, weight 0, and does not
     fit; repeated rows are weighed each; an empty table gives no rows.
     """
@@ -157,19 +158,22 @@ def importance(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, label
              - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * buckets)))
     weights = store(d.mapInArrow(_weigher(ratio), "doc_id bigint, good boolean, log_weight double, n_grams bigint"),
                     "weights")
-    own = weights.where("good is not null and n_grams > 0").select(
-        "good", (F.col("log_weight") / F.col("n_grams")).alias("mean")).limit(2 * labelled).toPandas()
+    # one row a labelled id, however often its row is repeated
+    own = weights.where("good is not null and n_grams > 0").groupBy("doc_id").agg(
+        F.max("good").alias("good"), F.avg(F.col("log_weight") / F.col("n_grams")).alias("mean")).toPandas()
     is_good = own["good"].to_numpy(bool)
     cut = best_cut(own["mean"].to_numpy()[is_good], own["mean"].to_numpy()[~is_good])
-    return weights.select("doc_id", "log_weight", "n_grams",
-                          (F.col("log_weight") > cut * F.col("n_grams")).alias("fits")
-                          if np.isfinite(cut) else (F.col("n_grams") > 0).alias("fits"))
+    if not np.isfinite(cut):
+        return weights.select("doc_id", "log_weight", "n_grams", (F.col("n_grams") > 0).alias("fits"),
+                              F.col("log_weight").alias("lead"))
+    lead = F.col("log_weight") - cut * F.col("n_grams")
+    return weights.select("doc_id", "log_weight", "n_grams", (lead > 0).alias("fits"), lead.alias("lead"))
 
 
 def _key(seed: int):
-    """Log weight plus Gumbel noise; the noise depends on the id and the seed alone."""
+    """Lead plus Gumbel noise; the noise depends on the id and the seed alone."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(2.0 ** 53)
-    return F.col("log_weight") - F.log(-F.log(u))
+    return F.col("lead") - F.log(-F.log(u))
 
 
 def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: int = LABELLED,
@@ -180,7 +184,7 @@ def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelle
     """
     weights = importance(docs, labels, buckets, labelled).where("n_grams > 0")
     k = weights.where("fits").count()
-    ranked = positions(weights.withColumn("key", _key(seed)).drop("fits"),
+    ranked = positions(weights.withColumn("key", _key(seed)).drop("fits", "lead"),
                        [F.col("key").desc(), F.col("doc_id")])
     return ranked.where(F.col("pos") < k).select(
         "doc_id", "log_weight", "n_grams", "key", (F.col("pos") + 1).alias("rank"))
