@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
@@ -130,6 +131,26 @@ def test_stream_dedupe_rule_is_exact(spark, tmp_path):
     assert sorted(str(r.requested_at) for r in out) == [times[0], times[2], times[4]]
 
 
+def test_stream_dedupe_forgets_what_no_longer_matters(spark, tmp_path):
+    """A URL's state goes when the watermark has passed its last time plus the TTL; the rule stays exact."""
+    from threadlens.streaming import dedupe as ST
+    src = tmp_path / "in"
+    days = [[(f"u{i}", "2024-01-01 00:00:00") for i in range(20)], [("v", "2024-01-02 12:00:00"), ("u0", "2024-01-01 20:00:00")],
+            [("w", "2024-01-03 12:00:00")], [("u0", "2024-01-03 13:00:00"), ("late", "2024-01-01 01:00:00")],
+            [("w", "2024-01-09 00:00:00")]]
+    for i, rows in enumerate(days):
+        spark.createDataFrame(rows, "post_url string, s string").select(
+            "post_url", F.to_timestamp("s").alias("requested_at")).coalesce(1).write.parquet(str(src / f"part={i}"))
+    out = []
+    q = ST.start(spark, str(src), str(tmp_path / "ckpt"), lambda b, e: out.extend(b.collect()), ttl_hours=24,
+                 schema=ST.REQUEST_SCHEMA + ", part INT", max_files_per_trigger=1, late_hours=12)
+    assert q.awaitTermination(180)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert held[0] == 20 and held[-1] == 1                         # only w, the last one processed
+    got = Counter(r.post_url for r in out)
+    assert got["u0"] == 2 and got["v"] == 1 and got["w"] == 2 and got["late"] == 0 and got["u5"] == 1
+
+
 def test_memo_versions_do_not_repeat_posts(spark):
     from threadlens.plans import pipeline as PL
     p = spark.createDataFrame([(1, "t", "", "http://i.redd.it/a.png", False)],

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadlens.functions.rounding import tenths_str
 from threadlens.operators import enrich as EN
 from threadlens.operators import report as REP
 from threadlens.plans import pipeline as PL
@@ -225,6 +226,22 @@ def q_analyze_reuse(spark, d):
                           r["comments_analysis"]["comments_available"].alias("comments_available"))
 
 
-@register("terminal_view", None)
+@register("terminal_view", _rsql(f"""
+SELECT rep.post_id, array_to_string(all_insights[1:5], chr(10)) AS insights,
+       array_to_string(all_advice[1:5], chr(10)) AS actions,
+       array_to_string(coalesce(list_transform(list_sort(list_transform(themes, lambda t, i: {{'k': -theme_tenths[i], 't': t}})),
+           lambda x: x.t || ' ' || {_tstr('(-x.k)')}), []), chr(10)) AS themes,
+       array_to_string(coalesce(tones, []), chr(10)) AS tones
+FROM rep LEFT JOIN (SELECT post_id, list(overall_tone || ' ' || CAST(n AS VARCHAR) ORDER BY n DESC, overall_tone)[1:6] AS tones
+    FROM (SELECT post_id, overall_tone, count(*) AS n FROM flat GROUP BY ALL) GROUP BY post_id) tn USING (post_id)"""))
 def q_terminal_view(spark, d):
-    return _reports(spark, d).select("post_id", *REP.terminal_view("report"))
+    x = _reports(spark, d).select("post_id", *REP.terminal_view("report"))
+
+    def lines(name, arr):
+        return F.array_join(arr, REP.NL).alias(name)
+
+    return x.select(
+        "post_id", lines("insights", F.transform("insights", lambda v: v["insight"])), lines("actions", F.col("actions")),
+        lines("themes", F.transform("theme_distribution", lambda e: F.concat(
+            e["key"], F.lit(" "), tenths_str(F.bround(e["value"] * 10, 0).cast("bigint"))))),
+        lines("tones", F.transform("tone_top6", lambda e: F.concat(e["key"], F.lit(" "), e["value"].cast("string")))))

@@ -2,9 +2,11 @@
 
 Incoming requests (post_url, requested_at) pass if their URL was never processed, or if it was
 processed more than ``ttl_hours`` before. The state of a URL is the time it was last processed,
-kept by ``applyInPandasWithState``; it has the size of the memo itself, one time per URL. Within a micro-batch a URL's requests are
-judged in event-time order; a request older than the last processed time is not due. Each
-micro-batch goes to ``process(batch_df, epoch_id)`` (e.g. the PL1 pipeline plus a memo upsert).
+kept by ``applyInPandasWithState`` until the watermark has passed that time plus the TTL: from then
+on every request of the URL is due, so nothing needs to be known. The state thus holds the URLs
+processed within the TTL and the allowed lateness, not all there ever were. Requests that come more
+than ``late_hours`` after later ones are dropped. Within a micro-batch a URL's requests are judged in
+event-time order; a request older than the last processed time is not due. Each micro-batch goes to ``process(batch_df, epoch_id)`` (e.g. the PL1 pipeline plus a memo upsert).
 The checkpoint folder makes the query restartable after a failure.
 """
 
@@ -23,32 +25,38 @@ REQUEST_SCHEMA = "post_url STRING, requested_at TIMESTAMP"
 
 def _due(ttl_us: int):
     def run(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"key": pd.Series([], dtype="str"), "at": pd.Series([], dtype="int64")})
+            return
         last = state.get[0] if state.exists else None
         kept = []
         for t in sorted(t for p in pdfs for t in p["at"].tolist()):
             if last is None or t > last + ttl_us:
                 last = t
                 kept.append(t)
-        if kept:
-            state.update((last,))
+        state.update((last,))
+        # the first millisecond after which every later request is due
+        state.setTimeoutTimestamp(max((last + ttl_us) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"key": [key[0]] * len(kept), "at": pd.Series(kept, dtype="int64")})
     return run
 
 
 def fresh_requests(stream: DataFrame, ttl_hours: int = 24, key: str = "post_url",
-                   ts: str = "requested_at") -> DataFrame:
+                   ts: str = "requested_at", late_hours: int = 24) -> DataFrame:
     """The requests ``(key, ts)`` that are due. Null keys or times are not requests and are dropped."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
     due = (stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-                 .select(F.col(key).alias("key"), at.alias("at"))
+                 .select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"))
+                 .withWatermark("ts", f"{late_hours} hours").withColumn("at", F.unix_micros("ts"))
                  .groupBy("key").applyInPandasWithState(_due(ttl_hours * 3_600_000_000), "key string, at bigint", "last bigint",
-                                                        "append", GroupStateTimeout.NoTimeout))
+                                                        "append", GroupStateTimeout.EventTimeTimeout))
     return due.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts))
 
 
 def start(spark: SparkSession, source: str, checkpoint: str, process: Callable[[DataFrame, int], None],
           ttl_hours: int = 24, available_now: bool = True, schema: str = REQUEST_SCHEMA,
-          max_files_per_trigger: int | None = None, state_partitions: int | None = None) -> StreamingQuery:
+          max_files_per_trigger: int | None = None, state_partitions: int | None = None,
+          late_hours: int = 24) -> StreamingQuery:
     """Start the dedupe stream. ``state_partitions`` sizes the state store (fixed for the life
     of the checkpoint); the stream runs in a child session so the caller's SQL settings are
     not changed. Default: the cluster's default parallelism."""
@@ -58,7 +66,7 @@ def start(spark: SparkSession, source: str, checkpoint: str, process: Callable[[
     r = session.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    w = (fresh_requests(r.parquet(source), ttl_hours)
+    w = (fresh_requests(r.parquet(source), ttl_hours, late_hours=late_hours)
          .writeStream.option("checkpointLocation", checkpoint).foreachBatch(process))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
