@@ -242,9 +242,20 @@ def q_rule_quality(spark, d):
                     a["relevance_score"].alias("relevance_score"))
 
 
-@register("enrich_comments_udf", None)
+@register("enrich_comments_udf", _esql("""
+SELECT post_id, CASE WHEN pos < n THEN CAST(pos + 1 AS VARCHAR) ELSE CAST(comment_id AS VARCHAR) END AS comment_id, batch_id, pos,
+       CASE WHEN pos < n THEN CAST((chars + pos) % 11 AS DOUBLE) ELSE 5.0 END AS quality_score,
+       CASE WHEN pos < n THEN 'ASK' ELSE 'UNKNOWN' END AS intent_primary,
+       CASE WHEN pos < n THEN 'parsed' WHEN n = 0 THEN 'default_batch' ELSE 'default_missing' END AS annotation_status
+FROM batched JOIN (
+  SELECT post_id, batch_id, length(prompt) AS chars, len(list_filter(string_split(prompt, chr(10) || chr(10)),
+             lambda x: regexp_matches(x, '^[0-9]') AND contains(x, '. [Score: '))) AS n
+  FROM (SELECT post_id, batch_id, 'Post context: ' || chr(10) || chr(10) || 'Comments:' || chr(10)
+          || string_agg(CAST(pos + 1 AS VARCHAR) || '. [Score: ' || CAST(coalesce(score, 0) AS VARCHAR) || '] "'
+                        || coalesce(body, '') || '"', chr(10) || chr(10) ORDER BY pos) AS prompt
+        FROM batched GROUP BY post_id, batch_id)) USING (post_id, batch_id)"""))
 def q_enrich_comments_udf(spark, d):
-    """EN10 with a Python annotator over Arrow batches (rows check only)."""
+    """EN10 with a Python annotator over Arrow batches; it counts and measures what it is sent."""
     t = T.build_tree(_v(spark, d).threads())
     m = EN.enrich_comments(R.pre_filter(t, _MAX), scripted_python_annotator, _BATCH, partitions=4)
     return EN.merge_annotation(m).select("post_id", "comment_id", "batch_id", "pos", "quality_score",
