@@ -1,5 +1,6 @@
 """Micro goldens for URL, content and text scalars (hand-written inputs)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadlens.functions import content as ct
@@ -13,12 +14,19 @@ def one(spark, col, rows, schema="x string"):
     return [r[0] for r in df.select(col).collect()]
 
 
-def test_url_type_goldens(spark):
-    urls = ["https://i.redd.it/abc.jpg", "https://example.com/image.png", "https://v.redd.it/video",
-            "https://youtube.com/watch?v=123", "https://example.com/article", "https://i.imgur.com/x",
-            "https://youtu.be/xyz.GIF"]
-    got = one(spark, ct.url_type("x"), [(u,) for u in urls])
-    assert got == ["image", "image", "video", "video", "link", "image", "image"]
+@pytest.mark.parametrize("ending", [".jpg", ".jpeg", ".png", ".gif", ".webp"])
+def test_url_type_by_ending(spark, ending):
+    """An image ending counts anywhere and in any case, before every host."""
+    urls = [f"http://cdn.test/pic{ending}", f"http://cdn.test/PIC{ending.upper()}?w=9#f", f"https://youtu.be/clip{ending}",
+            f"https://blog.test/how{ending}-files-work", f"https://v.redd.it/{ending}"]
+    assert one(spark, ct.url_type("x"), [(u,) for u in urls]) == ["image"] * 5
+
+
+def test_url_type_by_host(spark):
+    kinds = {"https://I.redd.it/no_ending": "image", "http://i.imgur.com/": "image", "https://m.test/?to=i.imgur.com": "image",
+             "http://V.REDD.IT/9/DASH": "video", "https://m.youtube.com/shorts/k": "video", "https://youtu.be/": "video",
+             "https://i.redd.it/x?u=youtu.be": "image", "https://imgur.com/a/1": "link", "https://vimeo.test/1": "link", "": "link"}
+    assert one(spark, ct.url_type("x"), [(u,) for u in kinds]) == list(kinds.values())
 
 
 def test_content_type_rules(spark):

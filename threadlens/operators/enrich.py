@@ -427,7 +427,7 @@ def rule_facts(comments: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- EN4 synthesis prompt
 
-SYNTHESIS_TEMPLATE = "POST DATA:\n{post_data}\n\nTOP COMMENTS DATA:\n{comments_data}"
+SYNTHESIS_TEMPLATE = "The post, as JSON:\n{post_data}\n\nIts best comments, as JSON:\n{comments_data}"
 
 
 def synthesis_prompt(posts: DataFrame, flat: DataFrame, k: int = 20, by=BY,
