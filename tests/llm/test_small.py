@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from itertools import product
 
@@ -234,6 +235,27 @@ def test_names_and_forms_around_the_article():
     assert text("<div>Text of the page</div><div class='newsletter-signup'>Sign</div><form>Name</form>") == "Text of the page"
 
 
+def test_an_article_keeps_its_own_headings_and_attributes():
+    art = "<html><body><article>%s</article></body></html>"
+    for page, want in (
+            (art % '<h2 class="section-header">Own</h2><p>t</p>', "Own t"),
+            (art % '<p data-role="navigation">a</p><p data-id="menu">b</p><p data-role=banner>c</p>', "a b c"),
+            (art % "<p title='see class=comments'>c</p>", "c"), (art % '<div class="comments">no</div><p>y</p>', "y"),
+            ('<body><div class="header">m</div><h1 class="page-header">T</h1><p>x</p></body>', "T x"),
+            ('<p title="a > b">q</p> 1 < 2 <p', "q 1 < 2 <p"), ("<!-- <p>no</p> --><p>yes</p><!-- open", "yes")):
+        assert site_style.Page(page).main_text() == want
+
+
+def test_long_awkward_pages_take_linear_time():
+    def seconds(unit, n):
+        began = time.process_time()
+        site_style.Page(unit * n).main_text()
+        return time.process_time() - began
+
+    for unit, n in (("<div>x", 40_000), ('<a href="x ', 25_000), ("<div>x</b>", 25_000), ("<li><div>x", 25_000), ("<!x ", 60_000)):
+        assert seconds(unit, 4 * n) < 12 * max(seconds(unit, n), 0.05), unit
+
+
 def test_site_style(spark):
     body = "<html><body><div class=box>Boiler plate</div><div class=text>Story %d</div></body></html>"
     rows = [(i, f"http://h.example/{i}", body % i) for i in range(8)] + [

@@ -23,7 +23,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,10 @@ LEAST_PAGES = 3
 COMBINE_KEYS = 200_000
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
-NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+    r"<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+START = re.compile(r"<(?:[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+TAG_CHARS = 4096        # quotes are paired within so many characters of a tag; a longer tag ends at the next ">"
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noembed", "xmp")}
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,10 +56,13 @@ CUT_ROLES = set("navigation banner contentinfo complementary search dialog alert
 CUT_WORD = (r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|login|masthead|menu|modal|"
             r"nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|"
             r"sponsor\w*|subscribe|toolbar|topbar|widgets?|header)")
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BESIDE = (r"(?:area|bar|block|bottom|box|buttons?|container|form|icons?|inner|items?|left|links?|list|main|page|posts?|"
           r"primary|right|secondary|section|site|slot|top|unit|wrap|wrapper)")
 #: Whole names, all of whose parts say so: "cookie-notice" and "comment-list", but not "no-sidebar" or "share-price".
 CUT_NAMES = re.compile(rf"(?:^|\s)(?:{BESIDE}[_-]+)*{CUT_WORD}(?:[_-]+(?:{CUT_WORD}|{BESIDE}))*(?=$|\s)", re.I)
+#: The same inside an article, and for headings: there a "section-header" is the article's own.
+CUT_INSIDE = re.compile(CUT_NAMES.pattern.replace("|header)", ")"), re.I)
 TALK = re.compile(r"\b(?:comments?|disqus|related|replies|respond)\b", re.I)    # may well be most of a page's text
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",)}
@@ -73,7 +77,7 @@ class Node:
         """``hard`` and ``soft``: cut by its tag or role, by its name or as a form; ``noisy``: by its importance."""
         self.tag, self.style, self.hard, self.soft, self.talk, self.noisy = tag, style, hard, soft, talk, noisy
         self.inside, self.up, self.parent, self.children = inside, up, parent, []
-        self.cut, self.size, self.holds = False, 0, False
+        self.cut, self.size, self.holds = False, 0, None
 
 
 def _signed(text: str) -> int:
@@ -87,30 +91,50 @@ class Page:
         self.blocks, self.nodes, self.noisy = [], [], noisy
         root = Node("", 0, False, False, False, False, False, None, None)
         self.every = [root]
-        self.stack, self.text, at = [root], [], 0
-        n = len(source)
-        while at < n:
-            m = MARKUP.search(source, at)
-            self.add(source[at:m.start() if m else n])
-            if not m:
-                break
-            at = m.end()
-            name = m.group(2) or m.group(5)
-            if not name:
-                continue
-            tag = name.lower()
-            if m.group(1) or m.group(4):
-                self.close(tag)
-                continue
-            attributes = (m.group(3) or m.group(6) or "")
-            self.open(tag, attributes)
-            if tag in RAW and not attributes.endswith("/"):
-                end = RAW[tag].search(source, at)
-                at = end.end() if end else n
+        self.stack, self.text, self.open_tags = [root], [], Counter()
+        for text, closing, tag, attributes in self.pieces(source):
+            self.add(text)
+            if tag and closing:
                 self.close(tag)
+            elif tag:
+                self.open(tag, attributes)
+                if tag in RAW and not attributes.endswith("/"):
+                    end = RAW[tag].search(source, self.at)
+                    self.at = end.end() if end else len(source)
+                    self.close(tag)
         self.flush()
         self.decide()
 
+    def pieces(self, source: str):
+        """``(text, closing, tag, attributes)``: each tag, and the text before it; once through the page."""
+        self.at, look, n, gt = 0, 0, len(source), -1
+        while True:
+            lt = source.find("<", look)
+            if lt < 0:
+                break
+            if source.startswith("<!--", lt):
+                end = source.find("-->", lt + 4)
+                end = n if end < 0 else end + 3
+                closing = tag = attributes = ""
+            else:
+                m = MARKUP.match(source, lt, min(n, lt + TAG_CHARS))
+                if m:
+                    end, closing, tag = m.end(), m[1] or m[4], m[2] or m[5] or ""
+                    attributes = m[3] or m[6] or ""
+                else:
+                    m = START.match(source, lt)
+                    if m and gt < lt:
+                        gt = source.find(">", lt)
+                        gt = n if gt < 0 else gt
+                    if not m or gt == n:        # a bare "<", or a tag that never ends: text
+                        look = lt + 1
+                        continue
+                    end, closing, tag, attributes = gt + 1, m[1], m[2] or "", source[m.end():gt]
+            text, self.at = source[self.at:lt], end
+            yield text, closing, tag.lower(), attributes
+            look = self.at
+        yield source[self.at:], "", "", ""
+
     def decide(self) -> None:
         """Which elements are cut: a name or form that holds the article or most of the text is not."""
         for node in self.every[1:]:
@@ -119,21 +143,17 @@ class Page:
         for node, text in self.blocks:
             if not node.cut:
                 total += len(text)
-                while node is not None:
-                    node.size += len(text)
-                    node = node.parent
+                node.size += len(text)
+        for node in reversed(self.every[1:]):       # children come after their parents
+            node.parent.size += node.size
         for node in self.every:
             if node.soft and not node.talk and 2 * node.size > total:
                 node.soft = False
         articles = [x for x in self.every if x.tag in ("article", "main") and not x.parent.inside and x.size]
         while articles:
-            tops = []
-            for node in articles:
-                top, up = None, node
-                while up is not None:
-                    top = up if up.soft else top
-                    up = up.parent
-                tops.append(top)
+            for node in self.every:                 # ``holds``: the outermost of those around it that are cut by name
+                node.holds = (node.parent and node.parent.holds) or (node if node.soft else None)
+            tops = [x.holds for x in articles]
             if None in tops:
                 break
             max(tops, key=lambda x: x.size).soft = False
@@ -161,47 +181,58 @@ class Page:
             self.flush()
         if tag in BLOCKS and any(x.tag == "p" for x in self.stack[-4:]):
             self.close("p")
-        if tag in CLOSES:
+        if tag in CLOSES and any(self.open_tags[t] for t in CLOSES[tag]):
             for k in range(len(self.stack) - 1, 0, -1):
                 if self.stack[k].tag in SCOPES[tag]:
                     break
                 if self.stack[k].tag in CLOSES[tag]:
                     self.flush()
-                    del self.stack[k:]
+                    self.leave(k)
                     break
         up, names, roles = self.stack[-1], "", ""
         if attributes:
-            found = [(k.lower(), a or b or c) for k, a, b, c in NAMES.findall(attributes)]
-            names = " ".join(v for k, v in found if k != "role")
-            roles = " ".join(v for k, v in found if k == "role")
+            found = [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)]
+            names = " ".join(v for k, v in found if k in ("class", "id") and v)
+            roles = " ".join(v for k, v in found if k == "role" and v)
         hard = (tag in CUT_TAGS or (tag == "header" and not up.inside)
                 or bool(roles and CUT_ROLES & set(roles.lower().split())))
-        named = bool(names and tag not in ("html", "body", "article", "main") and CUT_NAMES.search(names))
+        named = bool(names and tag not in ("html", "body", "article", "main")
+                     and (CUT_INSIDE if up.inside or tag in HEADINGS else CUT_NAMES).search(names))
         soft = named or tag == "form" or "form" in roles.lower().split()
         talk = named and bool(TALK.search(names))
         if not block:
             if hard or soft:            # an inline advert or menu
                 self.flush()
-                self.stack.append(Node(tag, up.style, hard, soft, talk, False, up.inside, up.up, up))
-                self.every.append(self.stack[-1])
+                self.enter(Node(tag, up.style, hard, soft, talk, False, up.inside, up.up, up))
             return
         inside = up.inside or tag in ("article", "main") or roles.lower() == "main"
         plain = tag in ("article", "main", "body", "html") or inside and tag in PLAIN and not names
         style = _signed(f"{up.style}>{tag}.{re.sub(r'[0-9]+', '0', names)}")
         up.children.append(tag)
         node = Node(tag, style, hard, soft, talk, not plain and style in self.noisy, inside, up, up)
-        self.stack.append(node)
-        self.every.append(node)
+        self.enter(node)
         if tag not in ("html", "body"):
             self.nodes.append(node)
 
+    def enter(self, node: Node) -> None:
+        self.stack.append(node)
+        self.every.append(node)
+        self.open_tags[node.tag] += 1
+
+    def leave(self, k: int) -> None:
+        for node in self.stack[k:]:
+            self.open_tags[node.tag] -= 1
+        del self.stack[k:]
+
     def close(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                if tag in BLOCKS or tag in CUT_TAGS or self.stack[k].hard or self.stack[k].soft:
-                    self.flush()
-                del self.stack[k:]
-                return
+        if not self.open_tags[tag]:
+            return
+        k = len(self.stack) - 1
+        while self.stack[k].tag != tag:
+            k -= 1
+        if tag in BLOCKS or tag in CUT_TAGS or self.stack[k].hard or self.stack[k].soft:
+            self.flush()
+        self.leave(k)
 
     def main_text(self) -> str:
         """Text of the blocks that aren't cut, of those in articles if there are any."""
