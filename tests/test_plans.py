@@ -237,17 +237,6 @@ def test_stream_into_pipeline_and_memo(spark, tmp_path):
     assert '"post_id":"3"' in store.read().filter("url LIKE '%/3/'").first().enriched_data
 
 
-def test_extract_page_parser_variant_agrees(spark):
-    from threadlens.functions.html import extract_page_parsed
-    pages = Views(spark, SF_MID).t("pages")
-    a = extract_page(pages).select("page_id", "title", "text").collect()
-    b = extract_page_parsed(pages).select("page_id", "title", "text").collect()
-    assert sorted(a) == sorted(b)
-    odd = spark.createDataFrame([("u", "<title>A &#233; B</title><main>x &#x41; <p>y<p>z</main>")], "url string, html string")
-    r = extract_page_parsed(odd).first()
-    assert (r.title, r.text) == ("A é B", "x A y z")
-
-
 def test_sql_over_registered_views(spark):
     names = Views(spark, SF_SMALL).register()
     assert "v_enriched" in names and "v_threads" in names

@@ -8,7 +8,7 @@ from threadlens.functions import content as ct
 from threadlens.functions import text as tx
 from threadlens.functions import urls as U
 from threadlens.functions.html import extract_page
-from threadlens.plans.oracle import (WS, authority, decode_entities, page_text, page_title, sql,
+from threadlens.plans.oracle import (WS, authority, decode_entities, page_text, page_title, sql, ws_collapse,
                                      strip_unicode, url_path)
 from threadlens.plans.registry import register, shared_plan, _v
 from threadlens.session import scratch_path
@@ -219,6 +219,21 @@ def q_extract_page(spark, d):
     return extract_page(_v(spark, d).t("pages")).select("page_id", "title", "text", "source_domain")
 
 
+_VISIBLE = page_text("""'<body>' || regexp_replace(html, '(?i)</?(article|main|body)\\b[^>]*>', ' ', 'g')""")
+
+
+@register("extract_page_nested", sql(f"""
+SELECT page_id, {ws_collapse(f"'A ' || CAST(page_id AS VARCHAR) || ' B é&x; ' || {_VISIBLE} || ' tail'")} AS text
+FROM pages"""))
+def q_extract_page_nested(spark, d):
+    """Every page inside the article of another, among nested menus and a nested article."""
+    pages = _v(spark, d).t("pages")
+    nested = F.concat(F.lit("<nav>menu<nav>in</nav>rest</nav><article>A "), F.col("page_id").cast("string"),
+                      F.lit(" <article>B &eacute;&ampx;</article><nav>n<nav>m</nav>k</nav> "), F.col("html"),
+                      F.lit(" tail</article> out"))
+    return extract_page(pages.select("page_id", "url", nested.alias("html"))).select("page_id", "text")
+
+
 @register("text_preview", sql("""
 SELECT doc_id, CASE WHEN length(text) <= 500 THEN text
   WHEN (CASE WHEN instr(reverse(substring(text, 1, 500)), '.') > 0
@@ -341,12 +356,3 @@ def q_output_name(spark, d):
     p = P.normalize_posts(_v(spark, d).raw_posts(), id_col="post_id")
     return p.select("id", output_name("id", "json", "created_utc").alias("json_name"),
                     output_name("id", "md").alias("md_name"))
-
-
-@register("extract_page_parsed", sql(f"""
-SELECT page_id, {page_title('html')} AS title, {page_text('html')} AS text, {authority('url')} AS source_domain
-FROM pages"""))
-def q_extract_page_parsed(spark, d):
-    """TX5 through the stdlib-parser variant (Arrow pandas_udf); same oracle as extract_page."""
-    from threadlens.functions.html import extract_page_parsed
-    return extract_page_parsed(_v(spark, d).t("pages")).select("page_id", "title", "text", "source_domain")
