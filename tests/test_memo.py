@@ -108,8 +108,8 @@ def test_cli_memo_commands(spark, tmp_path, capsys):
 
 def test_unreadable_store_is_an_error(spark, tmp_path):
     import pytest
-    (tmp_path / "broken" / "_pointer").mkdir(parents=True)
-    (tmp_path / "broken" / "_pointer" / "part-0.parquet").write_bytes(b"not parquet at all")
+    (tmp_path / "broken" / "_commits").mkdir(parents=True)
+    (tmp_path / "broken" / "_commits" / "000000000001").write_bytes(b"no commit at all")
     with pytest.raises(Exception):
         M.MemoStore(spark, str(tmp_path / "broken")).read()
 
@@ -141,3 +141,86 @@ def test_reports_through_memo_and_schema(spark, tmp_path):
     assert back.schema["report"].dataType.simpleString() == first.schema["report"].dataType.simpleString()
     assert back.first().report.comments_analysis.intent_distribution == \
         first.first().report.comments_analysis.intent_distribution
+
+
+def _rows(store):
+    return {r.url: r.payload for r in store.read().collect()}
+
+
+def test_store_writes_only_the_rows_it_is_given(spark, tmp_path):
+    t = dt.datetime(2024, 1, 30, 12)
+    store = M.MemoStore(spark, str(tmp_path / "m"), buckets=8)
+    store.write(memo(spark, [(f"k{i}", "old", t) for i in range(200)]), "url")
+    before = {p for p in (tmp_path / "m" / "runs").iterdir()}
+    store.upsert(memo(spark, [("k1", "new", t), ("k1", "older", t - dt.timedelta(hours=1)), ("n", "new", t)]), "url")
+    added = [p for p in (tmp_path / "m" / "runs").iterdir() if p not in before]
+    assert len(added) == 1 and spark.read.parquet(str(added[0])).count() == 2
+    assert len(list(added[0].glob("_bucket=*/*.parquet"))) <= 2
+    rows = _rows(store)
+    assert len(rows) == 201 and rows["k1"] == rows["n"] == "new" and rows["k2"] == "old"
+    store.delete(spark.createDataFrame([("k2",), ("absent",)], "url string"), "url")
+    assert "k2" not in _rows(store) and len(_rows(store)) == 200
+    store.upsert(memo(spark, [("k2", "back", t)]), "url")
+    assert _rows(store)["k2"] == "back"
+
+
+def test_store_merges_runs_and_equals_a_dict(spark, tmp_path):
+    import random
+    rng, t, want = random.Random(3), dt.datetime(2024, 1, 30, 12), {}
+    store = M.MemoStore(spark, str(tmp_path / "m"), buckets=4)
+    for step in range(10):
+        keys = rng.sample(range(40), rng.randrange(1, 12))
+        if step % 4 == 3:
+            store.delete(spark.createDataFrame([(f"k{k}",) for k in keys], "url string"), "url")
+            for k in keys:
+                want.pop(f"k{k}", None)
+        else:
+            store.upsert(memo(spark, [(f"k{k}", f"{step}", t) for k in keys]), "url")
+            want.update({f"k{k}": f"{step}" for k in keys})
+        assert len(store._head()[1]["runs"]) <= 6
+    assert _rows(store) == want
+    listed = {r["run"] for r in store._head()[1]["runs"]}
+    assert store.vacuum(keep=1) and {p.name for p in (tmp_path / "m" / "runs").iterdir()} == listed
+    assert _rows(store) == want
+
+
+def test_second_writer_of_a_version_fails(spark, tmp_path):
+    import pytest
+    t = dt.datetime(2024, 1, 30, 12)
+    store = M.MemoStore(spark, str(tmp_path / "m"), buckets=4, retries=0)
+    store.write(memo(spark, [("a", "0", t), ("b", "0", t), ("c", "0", t)]), "url")
+    head, commit = store._head()
+    mine, theirs = (store._write_run(memo(spark, [(k, "1", t)]), "url") for k in "ab")
+    store._append_to(head, commit, "url", theirs)
+    with pytest.raises(M.MemoConflict):
+        store._append_to(head, commit, "url", mine)
+    assert _rows(store) == {"a": "0", "b": "1", "c": "0"}
+    store._append("url", mine)                     # looking again, nothing of either is lost
+    assert _rows(store) == {"a": "1", "b": "1", "c": "0"}
+    assert not [p for p in (tmp_path / "m" / "_commits").iterdir() if "-" in p.name and not p.name.endswith(".crc")]
+
+
+def test_lookup_reads_the_buckets_of_its_keys(spark, tmp_path):
+    t = dt.datetime(2024, 1, 30, 12)
+    store = M.MemoStore(spark, str(tmp_path / "m"), buckets=16)
+    store.write(memo(spark, [(f"k{i}", str(i), t) for i in range(100)]), "url")
+    store.upsert(memo(spark, [("k7", "new", t), ("k8", "late", t - dt.timedelta(days=9))]), "url")
+    got = store.lookup(spark.createDataFrame([("k7",), ("k8",), ("none",)], "url string"), AS_OF)
+    assert {r.url: (r.payload, r.hit) for r in got.collect()} == \
+        {"k7": ("new", True), "k8": (None, False), "none": (None, False)}
+    one = store.lookup(spark.createDataFrame([("k7",)], "url string"), AS_OF)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(_bucket") + plan.count("PartitionFilters: [(_bucket") >= 2, plan
+    assert store.purge(AS_OF) == (1, 99) and "k8" not in _rows(store)
+
+
+def test_lookup_over_runs_of_other_buckets(spark, tmp_path):
+    """A first table written without a key, and writers with other numbers of buckets."""
+    t, root = dt.datetime(2024, 1, 30, 12), str(tmp_path / "m")
+    M.MemoStore(spark, root).write(memo(spark, [(f"k{i}", "a", t) for i in range(30)]))
+    M.MemoStore(spark, root, buckets=8).upsert(memo(spark, [(f"k{i}", "b", t) for i in range(5)]), "url")
+    store = M.MemoStore(spark, root, buckets=3)
+    store.upsert(memo(spark, [("k0", "c", t)]), "url")
+    keys = spark.createDataFrame([("k0",), ("k4",), ("k29",), ("k30",)], "url string")
+    got = {r.url: r.payload for r in store.lookup(keys, AS_OF).collect()}
+    assert got == {"k0": "c", "k4": "b", "k29": "a", "k30": None}
