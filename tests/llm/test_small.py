@@ -60,6 +60,32 @@ def test_ngram_join_against_brute_force(docs, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_ngram_join_pairs_of_a_near_group_grow_with_its_texts(spark, monkeypatch):
+    """Near copies at the threshold, where leaders link few: as many pairs as texts, not as pairs of texts."""
+    import random
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for k in rnd.sample(range(100), 2):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    sets = [sets_of(t) for _, t in rows]
+    root = list(range(len(sets)))
+    for a, b in product(range(len(sets)), repeat=2):
+        if a < b and root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            root = [root[a] if r == root[b] else r for r in root]
+    least = {r: min(k for k, x in enumerate(root) if x == r) for r in set(root)}
+    made, inner = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *a: made.append(pairs.count()) or inner(pairs, *a))
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)    # several blocks and parts
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {k: least[r] for k, r in enumerate(root)}
+    assert sum(made) <= 4 * len(rows), made
+
+
 def test_components(spark):
     e = spark.createDataFrame([(9, 8), (8, 7), (7, 6), (6, 1), (3, 2), (5, 5), (2, 3)], "a bigint, b bigint")
     got = {r.node: r.root for r in components.components(e).collect()}

@@ -10,9 +10,11 @@ Scale: equal texts are one *class* and only one text of each is processed (copie
 dropped inside each task, so a hot text never meets in one place). Shingle counts are exact over
 the whole corpus, but travel packed: texts are split into chunks, each chunk sends its sorted
 distinct shingles, 4 bytes each, to buckets by hash range, and one byte each comes back. A group
-of near copies is not expanded into pairs: in a few rounds every text is compared with one leader
-per index entry and the links are joined to components; then only pairs *between* components are
-compared, so no link between different components is lost.
+of near copies is not expanded into pairs: first every text is compared with one leader per index
+entry and the links are joined to components. Then tasks that each hold a block of an entry's texts
+propose, by their sketches, the fewest pairs that would join all the components they see (a spanning
+forest, so no more pairs than texts); these are verified and joined. Last, the pairs that are still
+*between* components are compared, so no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ CHUNK_WORDS = 1_000_000    # words in a chunk of texts, which one task holds at
 BUCKET_WORDS = 2_000_000   # shingles in a hash range, which one task holds at a time
 LEAST_PARTS = 64
 SKETCH_BITS = 9            # the suffix filter's sketches have 2 ** 9 bits
-ROUNDS = 3                 # rounds of comparing with leaders
+BLOCK = 1000               # texts of an index entry that meet in one task; more make more tasks
+TASK_ROWS = 20_000         # index rows in a task that proposes pairs
 BEFORE = 16                # earlier index entries by which a pair is known to have met before
 
 
@@ -233,29 +236,121 @@ def _rooted(index: DataFrame, roots: DataFrame | None) -> DataFrame:
         index["*"], F.coalesce("root", "cls").alias("root"))
 
 
+def _forest(left: np.ndarray, right: np.ndarray, slack: np.ndarray, roots: np.ndarray) -> list[int]:
+    """Edges of a least spanning forest of the ``roots`` of nodes ``left[k]``, ``right[k]`` (no ties in ``slack``)."""
+    _, label = np.unique(roots, return_inverse=True)
+    chosen = []
+    while True:
+        a, b = label[left], label[right]
+        open_ = np.flatnonzero(a != b)
+        if not len(open_):
+            return chosen
+        open_ = open_[np.argsort(slack[open_], kind="stable")]
+        ends = np.concatenate([a[open_], b[open_]])
+        order = np.argsort(np.tile(np.arange(len(open_)), 2), kind="stable")
+        _, first = np.unique(ends[order], return_index=True)       # the least edge at each component
+        up = np.arange(label.max() + 1)
+        for k in np.unique(open_[order[first] % len(open_)]):
+            x, y = label[left[k]], label[right[k]]
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                chosen.append(int(k))
+        while (up != up[up]).any():
+            up = up[up]
+        label = up[label]
+
+
+def _proposals(percent: int):
+    """Pairs of a task's blocks whose sketches allow a link, as a forest over the components."""
+    def block(cls, n, root, sketch, side):
+        own = np.flatnonzero(side <= 1)
+        cross = np.flatnonzero(side == 2)
+        lefts, rights, slacks = [], [], []
+        for at, i in enumerate(own):
+            j = cross if len(cross) else own[at + 1:]
+            j = j[root[j] != root[i]]
+            size = n[i] + n[j]
+            need = (percent * size + 99 + percent) // (100 + percent)
+            apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            over = apart - (size - 2 * need)
+            ok = (over <= 0) & (need <= np.minimum(n[i], n[j]))
+            lefts.append(np.full(int(ok.sum()), i))
+            rights.append(j[ok])
+            slacks.append(over[ok])
+        left, right = np.concatenate(lefts), np.concatenate(rights)
+        # ties go by the pair, so that the entries two texts share propose the same pairs
+        lo, hi = np.minimum(cls[left], cls[right]), np.maximum(cls[left], cls[right])
+        order = np.lexsort([hi, lo, np.concatenate(slacks)])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return [(int(lo[k]), int(hi[k])) for k in _forest(left, right, rank, root)]
+
+    def run(key, table):
+        shingle, i, j, side = (table.column(c).to_numpy() for c in ("shingle", "i", "j", "side"))
+        cls, n, root = (table.column(c).to_numpy() for c in ("cls", "n", "root"))
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cls), -1)
+        order = np.lexsort([j, i, shingle])
+        new = (np.diff(shingle[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
+        pairs = set()
+        for k in np.split(order, np.flatnonzero(new) + 1):
+            pairs.update(block(cls[k], n[k], root[k], sketch[k], side[k]))
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+    return run
+
+
+def proposed(mixed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs ``a, b`` that would join the components met at each index entry.
+
+    An entry with more than ``block`` texts is cut into blocks, and each two blocks meet in one
+    group; a task takes whole groups, about ``TASK_ROWS`` rows of them.
+    """
+    rows = mixed.agg(F.sum(F.ceil(F.col("k") / block))).first()[0] or 0
+    tasks, blocks = max(LEAST_PARTS, int(rows) // TASK_ROWS), F.ceil(F.col("k") / block).cast("int")
+    x = mixed.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    x = x.select("cls", "n", "root", "sketch", "shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                 F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+    x = x.withColumn("task", F.pmod(F.xxhash64("shingle", "i", "j"), F.lit(tasks)))
+    return x.groupBy("task").applyInArrow(_proposals(percent), "a bigint, b bigint").distinct()
+
+
+def _mixed(index: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The index rows, with sketches, of the ``k`` texts at each entry that more than one component has."""
+    x = _rooted(index, roots)
+    mixed = x.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi")
+    x = x.join(mixed.select("shingle", "k"), "shingle")
+    # their class's first entries before them come along: a pair is made only where it meets first
+    before = F.slice("shingles", F.lit(1), F.least(F.col("at"), F.lit(BEFORE))).alias("before")
+    return store(x.join(sets.select("cls", "shingles", "sketch"), "cls").select(
+        "cls", "n", "shingle", "place", "root", "k", "sketch", before), "mixed")
+
+
 def roots_of(sets: DataFrame, percent: int) -> DataFrame | None:
     """``(node, root)`` of the components of all verified links, for classes that have one.
 
     Pairs inside a component found already are not compared; every other pair that the filters
     let through is, once.
     """
-    index, roots, done = store(index_rows(sets, percent), "index"), None, []
-    for r in range(ROUNDS):
-        x = _rooted(index, roots)
-        leaders = x.groupBy("shingle", "band").agg(
-            F.min(F.struct(F.xxhash64("cls", F.lit(r)).alias("h"), "cls", "n", "place", "root")).alias("y"),
-            F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "band", "y")
-        met = x.alias("x").join(leaders, ["shingle", "band"]).where("x.root <> y.root")
-        roots = _compare(_met(met, percent), sets, percent, done, roots)
-    x = _rooted(index, roots)
-    mixed = x.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    x = x.join(mixed.select("shingle"), "shingle", "left_semi")
-    # these rows are few and get their sketches, and their class's first entries before them: a pair is made
-    # only where it meets first
-    before = F.slice("shingles", F.lit(1), F.least(F.col("at"), F.lit(BEFORE))).alias("before")
-    x = x.join(sets.select("cls", "shingles", "sketch"), "cls").select("cls", "n", "shingle", "place", "root", "sketch", before)
-    x = store(x, "mixed")
-    met = x.alias("x").join(x.alias("y"), "shingle").where(
+    index, done = store(index_rows(sets, percent), "index"), []
+    x = index.withColumn("root", F.col("cls"))
+    leaders = x.groupBy("shingle", "band").agg(
+        F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n", "place", "root")).alias("y"),
+        F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "band", "y")
+    met = x.alias("x").join(leaders, ["shingle", "band"]).where("x.root <> y.root")
+    roots = _compare(_met(met, percent), sets, percent, done, None)
+    x = _mixed(index, sets, roots)
+    roots = _compare(proposed(x, percent), sets, percent, done, roots)
+    discard(x)
+    x = _mixed(index, sets, roots)
+    # the texts of a large entry are dealt to parts, each of which meets all of them
+    parts = F.ceil(F.col("k") / BLOCK).cast("int")
+    y = x.withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int"))
+    x_all = x.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = x_all.alias("x").join(y.alias("y"), ["shingle", "part"]).where(
         "x.cls < y.cls and x.root <> y.root and not arrays_overlap(x.before, y.before)").where(_suffix_filter(percent))
     roots = _compare(_met(met, percent), sets, percent, done, roots)
     discard(index, x, *done)
