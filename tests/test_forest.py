@@ -156,3 +156,47 @@ def test_a_python_model_ranks_whole_threads(spark):
     assert r.count() == 120
     ranks = {x.post_id: sorted(x.r) for x in r.groupBy("post_id").agg(F.collect_list("rank").alias("r")).collect()}
     assert all(v == list(range(1, len(v) + 1)) for v in ranks.values())
+
+
+def test_ranking_a_list_costs_its_length(spark, monkeypatch):
+    """The rows written over all rounds are a few times the elements, whatever the lists' lengths."""
+    rng, n, rows, want = random.Random(5), 6000, [], {}
+    ids = rng.sample(range(10 ** 9), n)
+    for lst in (ids[:5500], ids[5500:5990], ids[5990:5991], ids[5991:]):
+        total = 0
+        for i in reversed(range(len(lst))):
+            w = rng.randrange(2)
+            total += w
+            want[lst[i]] = total
+            rows.append((lst[i], lst[i + 1] if i + 1 < len(lst) else None, w))
+    rng.shuffle(rows)
+    links = spark.createDataFrame(rows, "e bigint, next bigint, w bigint").repartition(4)
+    written, keep = [], FO.stored
+
+    def counted(df, *a, **kw):
+        out = keep(df, *a, **kw)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(FO, "stored", counted)
+    monkeypatch.setattr(FO, "FEW", 200)
+    got = [(r.e, r["rank"]) for r in FO._ranked(links).collect()]
+    assert len(got) == n and dict(got) == want
+    assert sum(written) < 5 * n
+
+
+def test_climb_asks_only_for_ancestors(spark, monkeypatch):
+    """A late round of a deep thread does not carry the leaves that have long arrived."""
+    rows = [(1, i, i - 1 if i else None, i) for i in range(600)] + [(2, i, 0 if i else None, i) for i in range(5000)]
+    written, keep = [], FO.stored
+
+    def counted(df, name, *a, **kw):
+        out = keep(df, name, *a, **kw)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(FO, "stored", counted)
+    got = {(r.post_id, r.comment_id): (r.root_id, r.depth, r.status) for r in FO.climb(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(p, i): (0, i if p == 1 else min(i, 1), "ok") for p, i, _, _ in rows}
+    above = [n for name, n in written if name == "above"]
+    assert above and max(above) < 600

@@ -2,11 +2,12 @@
 
 ``climb`` finds every comment's root and depth by pointer doubling: each round joins a comment
 with the ancestor it points at and takes that one's ancestor, so the rounds grow with the
-logarithm of the depth. A round in which nobody arrives has only cycles left.
+logarithm of the depth. A round in which nobody arrives has only cycles left. Of the comments that
+have arrived, later rounds carry those that are still asked for.
 
 ``preorder_any`` numbers a forest in pre-order without paths: each comment has an entry and an
-exit, the successor of each is known from the siblings, and the list of a thread is ranked by
-pointer doubling. Every element has one successor and one predecessor, so no join key is hot.
+exit, the successor of each is known from the siblings, and the list of a thread is ranked over
+drawn elements. Every element has one successor and one predecessor, so no join key is hot.
 
 ``from_nested_any`` unfolds nested replies (VARIANT) one level a round until none is left.
 
@@ -41,25 +42,32 @@ def climb(comments: DataFrame, post: str = "post_id", cid: str = "comment_id", p
     none, away = F.lit(None).cast(kind), F.lit(None).cast("bigint")
     done = [base.where("_to is null").select(post, cid, F.col(cid).alias("root_id"), F.lit(0).cast("bigint").alias("depth"),
                                              F.lit("ok").alias("status"))]
-    active = base.where("_to is not null").withColumn("_far", F.lit(1).cast("bigint"))
-    left = active.count()
+    above = list(done)      # the done rows that a round may still ask for
+    active = base.where("_to is not null").select(post, cid, "_to", F.lit(1).cast("bigint").alias("_far"))
+    left = asked = active.count()
     while left:
-        look = _union(done).select(F.col(post).alias("_p"), F.col(cid).alias("_id"), "root_id", "depth", "status",
-                                   none.alias("_next"), away.alias("_more")).unionAll(
+        look = _union(above).select(F.col(post).alias("_p"), F.col(cid).alias("_id"), "root_id", "depth", "status",
+                                    none.alias("_next"), away.alias("_more")).unionAll(
             active.select(post, cid, none, away, F.lit(None).cast("string"), "_to", "_far"))
         j = active.join(look, (F.col(post) == F.col("_p")) & (F.col("_to") == F.col("_id")), "left")
         lost = F.col("_id").isNull()
-        r = stored(j.select(
+        r = j.select(
             post, cid, "root_id", (F.col("depth") + F.col("_far")).alias("depth"),
             F.when(lost, F.lit("orphan")).otherwise(F.col("status")).alias("status"),
-            F.col("_next").alias("_to"), (F.col("_far") + F.col("_more")).alias("_far")), "climb")
-        here, active = r.where("status is not null"), r.where("status is null")
+            F.col("_next").alias("_to"), (F.col("_far") + F.col("_more")).alias("_far"))
+        r = stored(r.withColumn("_done", F.col("status").isNotNull()), "climb", by="_done")
+        here, active = r.where("_done"), r.where("not _done")
         remain = active.count()
         if remain == left:      # depths have no holes: who does not arrive now never will
             done.append(active.select(post, cid, none.alias("root_id"), away.alias("depth"), F.lit("cycle").alias("status")))
             break
-        done.append(here.select(post, cid, "root_id", "depth", "status"))
-        active, left = active.select(post, cid, "_to", "_far"), remain
+        here, active, left = here.select(post, cid, "root_id", "depth", "status"), active.select(post, cid, "_to", "_far"), remain
+        done.append(here)
+        above.append(here)
+        if left and left * 2 <= asked:      # who is not asked for now never will be: the next round asks for their ancestors
+            asked = left
+            ask = active.select(F.col(post).alias("_p"), F.col("_to").alias("_id")).distinct()
+            above = [stored(_union(above).join(ask, (F.col(post) == F.col("_p")) & (F.col(cid) == F.col("_id")), "left_semi"), "above")]
     return _union(done)
 
 
@@ -80,20 +88,48 @@ def forest(comments: DataFrame, max_depth: int | None = None, max_roots: int | N
     return comments.join(places, [post, cid])
 
 
-def _ranked(links: DataFrame) -> DataFrame:
-    """``e, rank`` from lists ``e, next, w``: the sum of ``w`` from each element to its list's end."""
-    done = [links.where("next is null").select("e", F.col("w").alias("rank"))]
-    active = links.where("next is not null").select("e", "next", F.col("w").alias("s"))
-    while not active.isEmpty():
-        look = _union(done).select(F.col("e").alias("_e"), F.col("rank").alias("_s"), F.lit(None).cast("bigint").alias("_n")).unionAll(
-            active.select("e", "s", "next"))
-        r = stored(active.join(look, F.col("next") == F.col("_e")).select(
-            "e", F.col("_n").alias("next"), (F.col("s") + F.col("_s")).alias("s")), "ranks")
-        done.append(r.where("next is null").select("e", F.col("s").alias("rank")))
-        active = r.where("next is not null")
+FEW = 100_000      # a round's rows up to this number are broadcast
+_DRAW = 4          # one element in so many is drawn to stand for the others
+
+
+def _drawn(e: str, level: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(level), F.col(e)), F.lit(_DRAW)) == 0
+
+
+def _walked(links: DataFrame, stop: Column, look_at: Column, small: bool) -> DataFrame:
+    """Each list element's way, ``e, next, w``, made longer by pointer doubling until ``stop`` holds; an
+    element that does not stop the others is one of ``look_at``. ``small``: all lists fit a few tasks."""
+    own = ["e", "next", "w"]
+    done, active = [links.where(stop).select(*own)], links.where(~stop).select(*own)
+    left = active.count()
+    while left:
+        look = _union([*done, active]).where(look_at).select(F.col("e").alias("_e"), F.col("next").alias("_n"), F.col("w").alias("_w"))
+        r = (F.broadcast(active) if left <= FEW else active).join(look, F.col("next") == F.col("_e")).select(
+            "e", F.col("_n").alias("next"), (F.col("w") + F.col("_w")).alias("w"))
+        r = stored((r.coalesce(4) if small else r).withColumn("_done", stop), "ways", by="_done")
+        done.append(r.where("_done").select(*own))
+        active = r.where("not _done").select(*own)
+        left = active.count()
     return _union(done)
 
 
+def _ranked(links: DataFrame, level: int = 0) -> DataFrame:
+    """``e, rank`` from lists ``e, next, w``: the sum of ``w`` from each element to its list's end.
+
+    A fourth of the elements is drawn by a hash. Every element walks to the next drawn one, whatever the
+    list's length some four steps and never many, so the rounds are few; the drawn ones make a list a
+    fourth as long, ranked in the same way, and one join gives its ranks to all. The work is in proportion
+    to the elements; only the last list, of at most ``FEW`` elements, is walked to its end.
+    """
+    end = F.col("next").isNull()
+    if links.count() <= FEW:
+        return _walked(links, end, F.lit(True), True).select("e", F.col("w").alias("rank"))
+    ways = _walked(links, end | _drawn("next", level), ~_drawn("e", level), False)
+    far = _ranked(stored(ways.where(_drawn("e", level)), "drawn"), level + 1).select(F.col("e").alias("_e"), "rank")
+    near = ways.where(end).select("e", F.col("w").alias("rank"))
+    return near.unionAll(ways.where(~end).join(far, F.col("next") == F.col("_e")).select("e", (F.col("w") + F.col("rank")).alias("rank")))
+
+
 def preorder_any(tree: DataFrame, key: Column | None = None, post: str = "post_id", cid: str = "comment_id",
                  parent: str = "parent_id", out: str = "preorder") -> DataFrame:
     """TR2: adds the 1-based pre-order position of each comment of a forest, of any depth.
@@ -104,6 +140,7 @@ def preorder_any(tree: DataFrame, key: Column | None = None, post: str = "post_i
     group = F.when(F.col(parent).isNull(), F.lit("")).otherwise(F.concat(F.lit("p"), F.col(parent).cast("string")))
     n = tree.select(post, cid, parent, group.alias("_g"), (sibling_key() if key is None else key).alias("_key"))
     n = stored(n.withColumn("_node", F.monotonically_increasing_id() * 2), "nodes")
+    total = n.groupBy(post).agg(F.count(F.lit(1)).alias("_total")).select(F.col(post).alias("_p"), "_total")
     n = stored(group_positions(n, [post, "_g"], [("_key", False), (cid, False)], key=[cid], out="_pos", size="_n"), "siblings")
     own = n.select(F.col(post).alias("_p"), F.col(cid).alias("_id"), F.col("_node").alias("_up"))
     nxt = n.select(F.col(post).alias("_p"), F.col("_g").alias("_h"), (F.col("_pos") - 1).alias("_q"), F.col("_node").alias("_right"))
@@ -120,7 +157,6 @@ def preorder_any(tree: DataFrame, key: Column | None = None, post: str = "post_i
     links = enter.withColumn("w", F.lit(1).cast("bigint")).unionAll(
         beside.unionAll(last).unionAll(ends).withColumn("w", F.lit(0).cast("bigint")))
     rank = _ranked(stored(links, "tour"))
-    total = tree.groupBy(post).agg(F.count(F.lit(1)).alias("_total")).select(F.col(post).alias("_p"), "_total")
     place = n.join(rank, F.col("_node") == F.col("e")).join(total, F.col(post) == F.col("_p")).select(
         post, cid, (F.col("_total") - F.col("rank") + 1).alias(out))
     return tree.join(place, [post, cid])

@@ -54,12 +54,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), name)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read back.
 
     Like ``checkpoint()`` it cuts the lineage, but the planner then knows the table's true size; in
-    a loop of joins the size that a checkpoint inherits would grow without bound.
+    a loop of joins the size that a checkpoint inherits would grow without bound. ``by`` names a
+    column of few values: a filter on it reads the files of its value alone.
     """
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
