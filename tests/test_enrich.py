@@ -87,3 +87,16 @@ def test_rule_quality(spark):
                                "body string, score bigint")
     got = [r[0] for r in df.select(EN.rule_quality()).collect()]
     assert got == [10.0, 4.0 * (1 / 20)]
+
+
+def test_rule_words_are_found_as_whole_tokens(spark):
+    """Only the rule words of a text are kept, and the same ones as among all its tokens."""
+    import random
+    import re
+    words = {*EN.ADVICE_WORDS, *EN.EXPERIENCE_WORDS, *EN.SUPPORT_WORDS, *EN.CRITIC_WORDS}
+    rng = random.Random(4)
+    parts = [*words, "tries", "me2", "my_own", "_i", "usé", "isé", "ſhould", " ", "\n", "-", "'", "é", "日本", "", ".", "i", "i"]
+    texts = ["", "i", "I,i.ME", "should-try", "use" * 2] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", EN.tokens_of(F.lower("t")).alias("k"))
+    for r in df.collect():
+        assert r.k == [w for w in re.split("[^a-z0-9_]+", r.t.lower()) if w in words], r.t

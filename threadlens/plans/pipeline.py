@@ -170,9 +170,10 @@ def analyze_reuse(posts: DataFrame, comments: DataFrame, memo: DataFrame, as_of:
     ensure_checkpoint_dir(posts.sparkSession)
     hits = M.live(M.current(memo, "post_id"), as_of, params.memo_ttl_hours).where(
         F.col("report").isNotNull() & F.lit(use_cache)).join(posts.select("post_id"), "post_id", "left_semi")
-    todo = posts.join(hits.select("post_id"), "post_id", "left_anti")
-    fresh = analyze(todo, comments.join(todo.select("post_id"), "post_id", "left_semi"), as_of, params,
-                    **models).checkpoint(eager=True)
+    todo = posts.join(stored(hits.select("post_id"), "hits"), "post_id", "left_anti")
+    # several plans read the comments to analyse: their threads are settled once, by keys alone
+    threads = stored(comments.select("post_id").distinct().join(todo.select("post_id"), "post_id", "left_semi"), "todo")
+    fresh = analyze(todo, comments.join(threads, "post_id", "left_semi"), as_of, params, **models).checkpoint(eager=True)
     cached = F.col("report").withField("metadata.from_cache", F.lit(True)).alias("report")
     new = fresh.withColumn("cached_at", F.lit(as_of).cast("timestamp_ntz"))
     return hits.select("post_id", cached, "markdown").unionByName(fresh), new

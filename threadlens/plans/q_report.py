@@ -16,7 +16,7 @@ from threadlens.plans.oracle import WS, sql
 from threadlens.plans.q_scalars import _SRC1_SQL
 from threadlens.plans.q_threads import _HEUR, _tree_sql
 from threadlens.plans.registry import register, shared_plan, _v
-from threadlens.session import ensure_checkpoint_dir
+from threadlens.session import ensure_checkpoint_dir, stored
 from threadlens.sources import posts as P
 
 AS_OF = "2024-01-31T00:00:00"
@@ -213,7 +213,8 @@ SELECT post_id, post_id % 3 = 0 AS from_cache, {_EXEC} AS executive_summary,
        (SELECT count(*) FROM v_threads x WHERE x.post_id = rep.post_id) AS comments_available FROM rep"""))
 def q_analyze_reuse(spark, d):
     """PL1 behind its memo: a third of the posts has a live entry, a third an expired one."""
-    posts, threads, key = _posts(spark, d), _v(spark, d).threads(), F.col("post_id")
+    posts = stored(_posts(spark, d), "posts")      # read by the memo's analysis, the look-up and the new analysis
+    threads, key = _v(spark, d).threads(), F.col("post_id")
     hours = F.when(key % 3 == 0, F.lit(-1)).otherwise(F.lit(-72))
     memo = PL.analyze(posts.where(key % 3 < 2), threads, AS_OF).withColumn(
         "cached_at", F.timestamp_add("HOUR", hours, F.lit(AS_OF).cast("timestamp_ntz")))
